@@ -88,12 +88,14 @@ class LanguageProfile:
     targets: tuple[GlyphLanguage, ...]
     script: str
     script_code: str
+    script_label: str = "script"
+    alternate_signal: str = "hreflang"
     aliases: Mapping[str, str] = field(default_factory=dict)
     excluded_glyphs: tuple[tuple[str, str, str], ...] = ()
     excluded_pattern: tuple[str, str, str] | None = None
     excluded_host: tuple[str, str] | None = None
-    # (signal, weight, detail, pattern, field) with field "html" or "text"
-    patterns: tuple[tuple[str, int, str, str, str], ...] = ()
+    # (signal, weight, detail, pattern, field, needed words) with field "html" or "text"
+    patterns: tuple[tuple[str, int, str, str, str, tuple[str, ...]], ...] = ()
     companion: tuple[str, int, str, str, str] | None = None
     host_pattern: tuple[str, int, str] | None = None
     flag_names: tuple[str, ...] = ()
@@ -115,18 +117,20 @@ EAST_SLAVIC_SITES = LanguageProfile(
     ),
     script="\\u0400-\\u04FF",
     script_code="cyr",
+    script_label="cyrillic",
+    alternate_signal="hreflang_slavic",
     aliases={"ua": "uk"},
     excluded_glyphs=(("ђјљњћџЂЈЉЊЋЏ", "serbian_glyphs", "сербські гліфи ђјљњћџ"),),
-    excluded_pattern=("\\p{Ll}ъ(?=\\p{Ll})", "bulgarian", "болгарський патерн ъ"),
+    excluded_pattern=("\\p{Ll}ъ\\p{Ll}", "bulgarian", "болгарський патерн ъ"),
     excluded_host=("(?i)\\.(ru|by|su)$", "ru_by_domain"),
     patterns=(
         ("viber_contact", 35, "Viber у контактах",
-         "(?i)viber://|(?:href|data-href)=[\"'][^\"']*viber[^\"']*[\"']|(?:chat\\.)?viber\\.com/[a-z0-9]", "html"),
+         "(?i)viber://|(?:href|data-href)=[\"'][^\"']*viber[^\"']*[\"']|(?:chat\\.)?viber\\.com/[a-z0-9]", "html", ("viber",)),
         ("telegram_contact", 20, "Telegram у контактах",
-         "(?i)t\\.me/[a-z0-9_]|telegram\\.me/[a-z0-9_]|tg://|(?:href|data-href)=[\"'][^\"']*t\\.me/[^\"']*[\"']", "html"),
-        ("ua_phone", 45, "телефон +380", "\\+\\s?380[\\s\\-(]?\\d{2}", "text"),
-        ("ru_phone", 15, "телефон +7", "\\+\\s?7[\\s\\-(]?9\\d{2}[\\s\\-)]?\\d{3}", "text"),
-        ("uah_currency", 25, "ціни в гривні", "(?iu)₴|(?<!\\p{L})грн(?!\\p{L})", "text"),
+         "(?i)t\\.me/[a-z0-9_]|telegram\\.me/[a-z0-9_]|tg://|(?:href|data-href)=[\"'][^\"']*t\\.me/[^\"']*[\"']", "html", ("t.me/", "telegram.me/", "tg://")),
+        ("ua_phone", 45, "телефон +380", "\\+\\s?380[\\s\\-(]?\\d{2}", "text", ("+",)),
+        ("ru_phone", 15, "телефон +7", "\\+\\s?7[\\s\\-(]?9\\d{2}[\\s\\-)]?\\d{3}", "text", ("+",)),
+        ("uah_currency", 25, "ціни в гривні", "(?iu)₴|(?<!\\p{L})грн(?!\\p{L})", "text", ("₴", "грн", "Грн", "ГРН")),
     ),
     companion=("messenger_combo", 5, "Viber + WhatsApp",
                "(?i)wa\\.me/\\d|api\\.whatsapp\\.com/send", "viber_contact"),
