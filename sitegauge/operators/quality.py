@@ -15,6 +15,8 @@ DATED_BUILDER = r"(?i)GoDaddy|Weebly|Site123|Jimdo|Web\.com|Network Solutions|Wi
 OLD_YEARS = 3
 # --- end of fixed values ----------------------------------------------------
 
+NO_SPEED = "struct<mobile_score:bigint,desktop_score:bigint,lcp_ms:bigint,cls:double>"
+
 
 def _no(x: Column) -> Column:
     return ~F.coalesce(x, F.lit(False))
@@ -103,52 +105,58 @@ def dated_markers(a: Column, year: int) -> Column:
     )
 
 
-def _flat(score10: int, raw: int, reason: Column, status: str, markers: Column) -> Column:
-    return F.struct(
-        F.lit(score10).alias("score10"), F.lit(raw).alias("raw"), F.array(reason).alias("reasons"),
-        F.lit(status).alias("status"), markers.alias("dated_markers"),
-    )
-
+def site_quality(df: DataFrame, year: int, audit: str = "audit", psi: str | None = None,
+                 website: Column | None = None, name: str = "quality") -> DataFrame:
+    """Add ``struct(score10, raw, reasons, status, dated_markers)``; 1 is the worst site.
 
-def site_quality(a: Column, psi: Column, has_site: Column, year: int) -> Column:
-    """``struct(score10, raw, reasons, status, dated_markers)``; 1 is the worst site.
-
-    ``a`` is the audit struct and ``psi`` the speed struct; either may be null.
+    Every field is its own expression over the status, so a report that asks for the
+    score only does not build the reasons.
     """
-    status = page_status(a, has_site)
-    rules = penalties(a, psi, year)
+    a = F.col(audit)
+    speed = F.col(psi) if psi else F.lit(None).cast(NO_SPEED)
+    has_site = F.lit(True) if website is None else website.isNotNull()
+    rules = penalties(a, speed, year)
     points = F.lit(100)
     for cond, pts, _ in rules:
         points = points - F.when(cond, pts).otherwise(0)
     modern = ~_blank(a["modern_framework"])
     points = points + F.when(modern, 25).otherwise(0)
-    raw = clamp(points, 0, 100)
     reasons = F.array_compact(
         F.array(
             *[F.when(cond, F.concat(F.lit(f"−{pts} "), why)) for cond, pts, why in rules],
             F.when(modern, phrase(texts.MODERN_STACK_BONUS, a["modern_framework"])),
         )
     )
-    none = F.array().cast("array<string>")
-    by_status = F.coalesce(_yes(a["http_status"].isin(*BLOCKED_STATUSES)), F.lit(False))
-    blocked_reason = F.when(by_status, phrase(texts.BLOCKED_STATUS, a["http_status"])).otherwise(
+    refused = _yes(a["http_status"].isin(*BLOCKED_STATUSES))
+    blocked_reason = F.when(refused, phrase(texts.BLOCKED_STATUS, a["http_status"])).otherwise(
         phrase(texts.BLOCKED_STUB, a["html_bytes"], F.coalesce(a["http_status"].cast("string"), F.lit("null")))
     )
     dead_reason = phrase(
         texts.DEAD_REASON, F.coalesce(a["fetch_error"], a["http_status"].cast("string"), F.lit("no response"))
     )
-    return (
-        F.when(status == "no_site", _flat(1, 0, F.lit(texts.NO_SITE_REASON), "no_site", F.array(F.lit(texts.NO_SITE_MARKER))))
-        .when(status == "blocked", _flat(5, 50, blocked_reason, "blocked", none))
-        .when(status == "dead", _flat(1, 0, dead_reason, "dead", F.array(F.lit(texts.DEAD_MARKER))))
-        .otherwise(
-            F.struct(
-                clamp(round_half_up(raw / 10), 1, 10).alias("score10"), raw.alias("raw"),
-                reasons.alias("reasons"), F.lit("ok").alias("status"),
-                dated_markers(a, year).alias("dated_markers"),
-            )
+    status, raw = F.col("_status"), F.col("_raw")
+    none = F.array().cast("array<string>")
+
+    def by_status(ok: Column, blocked: Column, dead: Column, no_site: Column) -> Column:
+        return (
+            F.when(status == "ok", ok).when(status == "blocked", blocked).when(status == "dead", dead).otherwise(no_site)
         )
-    )
+
+    staged = df.withColumn("_status", page_status(a, has_site)).withColumn("_raw", clamp(points, 0, 100))
+    return staged.withColumn(
+        name,
+        F.struct(
+            by_status(clamp(round_half_up(raw / 10), 1, 10), F.lit(5), F.lit(1), F.lit(1)).alias("score10"),
+            by_status(raw, F.lit(50), F.lit(0), F.lit(0)).alias("raw"),
+            by_status(
+                reasons, F.array(blocked_reason), F.array(dead_reason), F.array(F.lit(texts.NO_SITE_REASON))
+            ).alias("reasons"),
+            status.alias("status"),
+            by_status(
+                dated_markers(a, year), none, F.array(F.lit(texts.DEAD_MARKER)), F.array(F.lit(texts.NO_SITE_MARKER))
+            ).alias("dated_markers"),
+        ),
+    ).drop("_status", "_raw")
 
 
 def score_band(score: Column) -> Column:

@@ -166,8 +166,10 @@ def unreviewed_potential(state: DataFrame, reviews: DataFrame, least: int = 10)
 
 # A12
 def marker_frequency(audited: DataFrame) -> DataFrame:
-    rows = audited.select(F.explode("dated_markers").alias("marker"))
-    return rows.groupBy("marker").agg(F.count("*").alias("n"))
+    # The outer form: the plain one adds a size filter that repeats the whole page
+    # computation below this point.
+    rows = audited.select(F.explode_outer("dated_markers").alias("marker"))
+    return rows.where(F.col("marker").isNotNull()).groupBy("marker").agg(F.count("*").alias("n"))
 
 
 def marker_coverage(audited: DataFrame) -> DataFrame:

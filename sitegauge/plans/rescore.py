@@ -17,6 +17,7 @@ from sitegauge.operators.effort import effort
 from sitegauge.operators.quality import site_quality
 from sitegauge.operators.verdict import apply_verdict, owner_score, with_pins
 from sitegauge.params import DEFAULT, Preset
+from sitegauge.session import reliable
 
 # Facts a re-score reads anew from the page; the others are kept from the first audit.
 FROM_HTML = (
@@ -31,19 +32,6 @@ FROM_FETCH = (
 )
 AUDIT_FIELDS = FROM_FETCH + FROM_HTML
 
-AUDIT_TYPE = (
-    "struct<final_url:string,http_status:int,fetch_error:string,redirected:boolean,tls_expired:boolean,"
-    "html_bytes:bigint,rendered:boolean,https:boolean,mixed_content:boolean,charset_declared:boolean,"
-    "page_count:int,unique_page_types:int,has_catalog:boolean,has_ecommerce:boolean,has_forms:boolean,"
-    "languages:int,has_viewport:boolean,title:string,meta_description:string,h1:string,og_tags:boolean,"
-    "favicon:boolean,jquery_version:string,bootstrap_major:int,has_flash:boolean,table_layout:boolean,"
-    "modern_framework:string,cms:string,builder:string,tech_stack:array<string>,footer_year:int,"
-    "emails:array<string>,socials:map<string,string>>"
-)
-SITE_SIGNAL = (
-    "struct<score:int,lang:string,hard_exclusion:string,"
-    "evidence:array<struct<signal:string,weight:int,detail:string>>>"
-)
 NAME_SIGNAL = "struct<score:int,exclusion:string,evidence:array<struct<signal:string,weight:int,detail:string>>>"
 
 
@@ -57,10 +45,11 @@ def page_texts(responses: DataFrame) -> DataFrame:
     )
 
 
-def page_facts(responses: DataFrame, preset: Preset = DEFAULT, with_text: bool = False) -> DataFrame:
-    """(place_id, audit, site_signal, declared_evidence) per stored home page.
+def page_columns(responses: DataFrame, preset: Preset = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every fact of a stored home page as a column of its own.
 
-    No shuffle: scan, three projections.  A column ``sitemap_pages`` (array of addresses),
+    No shuffle: scan and projections; what a query does not select is not computed.
+    A column ``sitemap_pages`` (array of addresses),
     if present, is used in place of the page's own links.
     """
     profile = preset.language
@@ -98,55 +87,68 @@ def page_facts(responses: DataFrame, preset: Preset = DEFAULT, with_text: bool =
         return F.col(name) if name in have else default
 
     null = F.lit(None)
-    audit = F.struct(
-        url.alias("final_url"),
-        given("http_status", F.lit(200)).cast("int").alias("http_status"),
-        given("fetch_error", null).cast("string").alias("fetch_error"),
-        given("redirected", F.lit(False)).cast("boolean").alias("redirected"),
-        given("tls_expired", F.lit(False)).cast("boolean").alias("tls_expired"),
-        given("html_bytes", F.octet_length(html)).cast("bigint").alias("html_bytes"),
-        given("rendered", F.lit(False)).cast("boolean").alias("rendered"),
-        markup.is_https(url).alias("https"),
-        markup.mixed_content(url, html).alias("mixed_content"),
-        markup.declares_charset(html).alias("charset_declared"),
-        s["page_count"].alias("page_count"), s["unique_page_types"].alias("unique_page_types"),
-        s["has_catalog"].alias("has_catalog"), s["has_ecommerce"].alias("has_ecommerce"),
-        s["has_forms"].alias("has_forms"),
-        F.greatest(
+    audit = {
+        "final_url": url,
+        "http_status": given("http_status", F.lit(200)).cast("int"),
+        "fetch_error": given("fetch_error", null).cast("string"),
+        "redirected": given("redirected", F.lit(False)).cast("boolean"),
+        "tls_expired": given("tls_expired", F.lit(False)).cast("boolean"),
+        "html_bytes": given("html_bytes", F.octet_length(html)).cast("bigint"),
+        "rendered": given("rendered", F.lit(False)).cast("boolean"),
+        "https": markup.is_https(url),
+        "mixed_content": markup.mixed_content(url, html),
+        "charset_declared": markup.declares_charset(html),
+        "page_count": s["page_count"], "unique_page_types": s["unique_page_types"],
+        "has_catalog": s["has_catalog"], "has_ecommerce": s["has_ecommerce"], "has_forms": s["has_forms"],
+        "languages": F.greatest(
             s["languages"], F.when(F.size(v["found"]) > 0, F.size(v["found"]) + 1).otherwise(1)
-        ).alias("languages"),
-        markup.has_viewport(html).alias("has_viewport"), markup.title(html).alias("title"),
-        markup.meta_description(html).alias("meta_description"), markup.first_heading(html).alias("h1"),
-        markup.has_open_graph(html).alias("og_tags"), markup.has_favicon(html).alias("favicon"),
-        F.col("jquery_version"), F.col("bootstrap_major"), F.col("has_flash"), F.col("table_layout"),
-        F.col("modern_framework"), F.col("cms"), F.col("builder"),
-        technology.stack_names(
+        ),
+        "has_viewport": markup.has_viewport(html), "title": markup.title(html),
+        "meta_description": markup.meta_description(html), "h1": markup.first_heading(html),
+        "og_tags": markup.has_open_graph(html), "favicon": markup.has_favicon(html),
+        "jquery_version": F.col("jquery_version"), "bootstrap_major": F.col("bootstrap_major"),
+        "has_flash": F.col("has_flash"), "table_layout": F.col("table_layout"),
+        "modern_framework": F.col("modern_framework"), "cms": F.col("cms"), "builder": F.col("builder"),
+        "tech_stack": technology.stack_names(
             low, F.col("cms"), F.col("builder"), F.col("modern_framework"), F.col("jquery_version"),
             F.col("bootstrap_major"), F.col("table_layout"),
-        ).alias("tech_stack"),
-        technology.footer_year(html, preset.year, preset.footer_chars).alias("footer_year"),
-        contacts.best_emails(F.col("found_emails")).alias("emails"),
-        contacts.social_profiles(html, low).alias("socials"),
-    )
+        ),
+        "footer_year": technology.footer_year(html, preset.year, preset.footer_chars),
+        "emails": contacts.best_emails(F.col("found_emails")),
+        "socials": contacts.social_profiles(html, low),
+    }
     observed = languages.observed_signal(html, low, text, F.col("host"), F.col("glyphs"), F.col("exclusion"), profile)
-    extra = ["html", "text"] if with_text else []
-    # One more projection, so that the evidence is built once and then summed.
-    listed = facts.select(
-        "place_id", *extra, "versions", audit.cast(AUDIT_TYPE).alias("audit"), observed.alias("observed")
+    return facts.select(
+        "place_id", *keep, "versions", *[c.alias(n) for n, c in audit.items()], observed.alias("observed")
     )
-    return listed.select(
-        "place_id", *extra, "audit",
-        languages.with_score(F.col("observed")).cast(SITE_SIGNAL).alias("site_signal"),
+
+
+def page_facts(responses: DataFrame, preset: Preset = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(place_id, audit, site_signal, declared_evidence) per stored home page."""
+    v = F.col("versions")
+    return page_columns(responses, preset, keep).select(
+        "place_id", *keep, F.struct(*[F.col(n) for n in AUDIT_FIELDS]).alias("audit"),
+        languages.with_score(F.col("observed")).alias("site_signal"),
         v["evidence"].alias("declared_evidence"), v["languages"].alias("declared_languages"),
         v["html_lang"].alias("html_lang"),
     )
 
 
+def stored_facts(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
+    """:func:`page_facts` written to the checkpoint folder.
+
+    Facts are a table of their own: what follows filters on scores and verdicts, and
+    without this boundary the optimizer moves such a filter, with all the patterns it
+    stands for, down to the scan.  The rows are a small part of the pages' size.
+    """
+    return reliable(page_facts(responses, preset))
+
+
 def refreshed(old: Column, new: Column) -> Column:
     """Old audit with the facts of the page read anew; without a page the old one stands."""
     merged = F.struct(
         *[old[f].alias(f) for f in FROM_FETCH], *[new[f].alias(f) for f in FROM_HTML]
-    ).cast(AUDIT_TYPE)
+    )
     return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(merged)
 
 
@@ -189,9 +191,9 @@ def assemble(state: DataFrame, facts: DataFrame, reviews: DataFrame, psi: DataFr
 def score(rows: DataFrame, name_signal: Column, preset: Preset = DEFAULT) -> DataFrame:
     """Quality, effort and owner score of assembled rows."""
     a = F.col("audit")
+    rated = site_quality(rows, preset.year, "audit", "psi", F.col("website"))
     return (
-        rows.withColumn("quality", site_quality(a, F.col("psi"), F.col("website").isNotNull(), preset.year))
-        .withColumn("effort", effort(a))
+        rated.withColumn("effort", effort(a))
         .withColumn(
             "owner",
             owner_score(
@@ -214,7 +216,7 @@ def rescore(state: DataFrame, responses: DataFrame, reviews: DataFrame, psi: Dat
             name_signal: Column, preset: Preset = DEFAULT, old_audits: DataFrame | None = None) -> DataFrame:
     """Next verdict of every place from its stored page; places without one are judged by name."""
     home = responses.where(F.col("role") == "home") if "role" in responses.columns else responses
-    rows = assemble(state, page_facts(home, preset), reviews, psi, pins, old_audits)
+    rows = assemble(state, stored_facts(home, preset), reviews, psi, pins, old_audits)
     return apply_verdict(score(rows, name_signal, preset), preset)
 
 
