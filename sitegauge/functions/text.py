@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -124,15 +125,25 @@ def transliterate(text: Column) -> Column:
     return F.translate(out, source, SINGLE_TO + SINGLE_TO)
 
 
+def _rewrite(text: Column, pattern: str, to: str) -> Column:
+    """One spelling rule; rules without regex syntax are plain replacements."""
+    if re.fullmatch(r"[A-Za-z|]+", pattern):
+        for part in pattern.split("|"):
+            text = F.replace(text, F.lit(part), F.lit(to))
+        return text
+    return F.regexp_replace(text, pattern, to)
+
+
 def name_key(text: Column) -> Column:
     """One key for all spellings of a word."""
-    out = transliterate(F.lower(F.trim(text)))
+    low = F.lower(F.trim(text))
+    out = F.when(low.rlike(r"[\u0400-\u04FF]"), transliterate(low)).otherwise(low)
     for letter, latin in DIGRAPH_LETTERS:
         out = F.replace(out, F.lit(letter), F.lit(latin))
     out = F.translate(out, PLAIN_FROM, PLAIN_TO)
     out = F.regexp_replace(unaccent(out), "[^a-z]", "")
     for pattern, to in KEY_RULES:
-        out = F.regexp_replace(out, pattern, to)
+        out = _rewrite(out, pattern, to)
     return out
 
 

@@ -22,14 +22,14 @@ ROLES = ("target_a", "target_b", "major_a", "major_b", "minor", "curated", "cura
 
 
 def prepare_lexicon(titles: DataFrame) -> DataFrame:
-    """Titles ``(lexicon, role, title)`` to distinct keys; service pages and phrases dropped."""
+    """Titles ``(lexicon, role, title)`` to distinct keys; service pages and phrases dropped.
+
+    Copies of a title are dropped first, so that each spelling is normalised once.
+    """
     one_word = ~F.col("title").contains(":") & ~F.trim("title").rlike(r"\s")
-    return (
-        titles.where(one_word)
-        .select("lexicon", "role", name_key(F.col("title")).alias("key"))
-        .where(F.length("key") >= MIN_KEY)
-        .distinct()
-    )
+    spellings = titles.where(one_word).select("lexicon", "role", "title").distinct()
+    keyed = spellings.select("lexicon", "role", name_key(F.col("title")).alias("key")).distinct()
+    return keyed.where(F.length("key") >= MIN_KEY)
 
 
 def key_verdicts(lexicon: DataFrame) -> DataFrame:
@@ -52,11 +52,14 @@ def key_verdicts(lexicon: DataFrame) -> DataFrame:
 
 
 def tokens_of(texts: DataFrame, id_col: str, text_col: str, normalise: bool = True) -> DataFrame:
-    """(id, pos, token, key) of every word of every text."""
+    """(id, pos, key) of every word of every text.
+
+    Words too short for a key are left in: they find nothing in a lexicon, and testing
+    the key here would normalise every word twice.
+    """
     words = F.split(F.col(text_col), TOKEN_SPLIT)
     out = texts.select(F.col(id_col), F.posexplode(words).alias("pos", "token"))
-    key = name_key(F.col("token")) if normalise else F.lower(F.col("token"))
-    return out.withColumn("key", key).where(F.length("key") >= MIN_KEY)
+    return out.select(id_col, "pos", (name_key(F.col("token")) if normalise else F.lower("token")).alias("key"))
 
 
 def lookup(tokens: DataFrame, keyed: DataFrame, salt: int = 1, salt_on: Column | None = None) -> DataFrame:
@@ -121,7 +124,11 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     verdict, and last the ending of the raw last word unless a big list holds it.
     """
     base = texts.select(id_col, F.trim(F.col(text_col)).alias("_text"))
-    tokens = tokens_of(base, id_col, "_text")
+    keys = F.filter(
+        F.transform(F.split("_text", TOKEN_SPLIT), lambda w: name_key(w)), lambda k: F.length(k) >= MIN_KEY
+    )
+    listed = base.select(id_col, keys.alias("_keys"))
+    tokens = listed.select(id_col, F.size("_keys").alias("_n"), F.posexplode("_keys").alias("pos", "key"))
     hits = lookup(tokens, key_verdicts(lexicon), salt)
     by_text = hits.groupBy(id_col).agg(
         F.max("curated").alias("curated"),
@@ -129,10 +136,8 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
         F.max("negative").alias("negative"),
         F.max(F.col("verdict") == "exclusive").alias("exclusive"),
         F.max(F.col("verdict") == "shared").alias("shared"),
-        F.max_by(F.col("major_a") | F.col("major_b"), F.col("pos")).alias("last_major"),
-        F.max("pos").alias("last_hit"),
+        F.max((F.col("pos") == F.col("_n") - 1) & (F.col("major_a") | F.col("major_b"))).alias("vetoed"),
     )
-    last_pos = tokens.groupBy(id_col).agg(F.max("pos").alias("last_pos"))
     words = F.filter(F.split(F.col("_text"), TOKEN_SPLIT), lambda w: F.length(w) >= MIN_KEY)
     last_word = F.get(words, F.size(words) - 1)
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
@@ -154,14 +159,13 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
         .when(flag("exclusive"), result(True, True, "lexicon"))
         .when(flag("shared"), result(True, False, "lexicon-shared"))
     )
-    vetoed = flag("last_major") & (F.col("last_hit") == F.col("last_pos"))
+    vetoed = flag("vetoed")
     if rules.strong_suffix:
         out = out.when(~vetoed & last_word.rlike(rules.strong_suffix), result(True, True, "suffix"))
     if rules.weak_suffix and not rules.business:
         out = out.when(~vetoed & last_word.rlike(rules.weak_suffix), result(True, False, "suffix-weak"))
     return (
         base.join(by_text, id_col, "left")
-        .join(last_pos, id_col, "left")
         .withColumn("_r", out.otherwise(no))
         .select(id_col, "_r.ok", "_r.strong", "_r.via")
     )

@@ -62,54 +62,55 @@ class TextRules:
     cap: int = 40
 
 
-def text_signal(name: Column, host: Column, rules: TextRules, strong_token: Column | None = None) -> Column:
-    """``struct(score, exclusion, evidence)`` of a record's name.
+def text_signal(df: DataFrame, name: Column, host: Column, rules: TextRules, out: str,
+                strong_token: Column | None = None) -> DataFrame:
+    """Add ``struct(score, exclusion, evidence)`` of a record's name.
 
     An exclusion ends it. Otherwise: script of the name, the heaviest marker, the first
     ending, and only without an ending the first word the lexicon is sure of.
+    The matches are columns of a projection of their own, so no rule is tried twice.
     """
+    null = F.lit(None).cast("struct<weight:int,label:string>")
     hay = F.concat(name, F.lit(" "), F.regexp_replace(F.coalesce(host, F.lit("")), "[.-]", " "))
-    excluded = first_match(hay, rules.exclusions)["label"] if rules.exclusions else F.lit(None).cast("string")
-    marker = best_match(hay, rules.markers) if rules.markers else None
-    ending = first_match(name, rules.endings) if rules.endings else None
-    token = F.lit(None).cast("string") if strong_token is None else strong_token
-    items, scores = [], []
-
-    def add(cond: Column, signal: str, weight, detail: Column) -> None:
-        weight = F.lit(weight) if isinstance(weight, int) else weight
-        items.append(item_when(cond, signal, weight, detail))
-        scores.append(F.when(cond, weight).otherwise(0))
-
-    if rules.script:
-        add(name.rlike(f"[{rules.script}]"), "script_in_name", rules.script_weight, F.lit("кирилиця в назві бізнесу"))
-    if marker is not None:
-        add(marker.isNotNull(), "brand_marker", marker["weight"], F.concat(F.lit("назва: "), marker["label"]))
-    if ending is not None:
-        add(ending.isNotNull(), "ending_pattern", ending["weight"], ending["label"])
-        token = F.when(ending.isNull(), token)
-    add(token.isNotNull(), "known_word", rules.token_weight, token)
-    score = scores[0]
-    for s in scores[1:]:
-        score = score + s
-    return F.struct(
+    staged = (
+        df.withColumn("_hay", hay)
+        .withColumn("_excluded", first_match(F.col("_hay"), rules.exclusions) if rules.exclusions else null)
+        .withColumn("_marker", best_match(F.col("_hay"), rules.markers) if rules.markers else null)
+        .withColumn("_ending", first_match(name, rules.endings) if rules.endings else null)
+        .withColumn("_script", name.rlike(f"[{rules.script}]") if rules.script else F.lit(False))
+    )
+    excluded, marker, ending = F.col("_excluded")["label"], F.col("_marker"), F.col("_ending")
+    token = F.lit(None).cast("string") if strong_token is None else F.when(ending.isNull(), strong_token)
+    parts = (
+        (F.col("_script"), "script_in_name", F.lit(rules.script_weight), F.lit("кирилиця в назві бізнесу")),
+        (marker.isNotNull(), "brand_marker", marker["weight"], F.concat(F.lit("назва: "), marker["label"])),
+        (ending.isNotNull(), "ending_pattern", ending["weight"], ending["label"]),
+        (token.isNotNull(), "known_word", F.lit(rules.token_weight), token),
+    )
+    score = F.lit(0)
+    for cond, _, weight, _ in parts:
+        score = score + F.when(cond, weight).otherwise(0)
+    signal = F.struct(
         F.when(excluded.isNotNull(), 0).otherwise(F.least(F.lit(rules.cap), score)).cast("int").alias("score"),
         excluded.alias("exclusion"),
         F.when(excluded.isNotNull(), evidence(item("name_exclusion", 0, excluded)))
-        .otherwise(evidence(*items)).alias("evidence"),
+        .otherwise(evidence(*[item_when(*p) for p in parts])).alias("evidence"),
     )
+    return staged.withColumn(out, signal).drop("_hay", "_excluded", "_marker", "_ending", "_script")
 
 
-def category_signal(primary_type: Column, rules: Sequence[Rule]) -> Column:
-    """``struct(score, exclusion, evidence)`` from prefixes of the category; first rule wins."""
+def category_signal(df: DataFrame, primary_type: Column, rules: Sequence[Rule], out: str) -> DataFrame:
+    """Add ``struct(score, exclusion, evidence)`` from prefixes of the category; first rule wins."""
     kind = F.lower(F.coalesce(primary_type, F.lit("")))
-    hit = first_match(kind, rules)
-    return F.struct(
+    hit = F.col("_category")
+    signal = F.struct(
         F.coalesce(hit["weight"], F.lit(0)).alias("score"),
         F.lit(None).cast("string").alias("exclusion"),
         evidence(
             item_when(hit.isNotNull(), "category_type", hit["weight"], F.concat(hit["label"], F.lit(" ("), kind, F.lit(")")))
         ).alias("evidence"),
     )
+    return df.withColumn("_category", first_match(kind, rules)).withColumn(out, signal).drop("_category")
 
 
 def rule_hits(df: DataFrame, key: str, text: Column, rules: Sequence[Rule], samples: int = 6) -> DataFrame:

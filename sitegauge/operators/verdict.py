@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge import texts
-from sitegauge.functions.evidence import empty, evidence, item, or_empty, strongest, strongest_counts, total
+from sitegauge.functions.evidence import empty, or_empty, strongest, strongest_counts, total
 from sitegauge.functions.text import clamp, phrase
 from sitegauge.operators.filters import all_types, excluded_type
 from sitegauge.params import DEFAULT, MAX_REVIEW_BOOST, Preset
@@ -16,49 +16,62 @@ NAME_AND_TYPE_CAP = 40
 NO_SITE_LEAD_SCORE = 26
 # --- end of fixed values ----------------------------------------------------
 
-SIGNAL = "struct<score:int,exclusion:string,evidence:array<struct<signal:string,weight:int,detail:string>>>"
-
-
-def combine_name_and_type(name: Column, kind: Column) -> Column:
-    """Sum of the two signals, capped; an excluded name stays as it is."""
-    both = F.struct(
-        F.least(F.lit(NAME_AND_TYPE_CAP), name["score"] + kind["score"]).cast("int").alias("score"),
-        F.lit(None).cast("string").alias("exclusion"),
-        F.concat(or_empty(name["evidence"]), or_empty(kind["evidence"])).alias("evidence"),
-    ).cast(SIGNAL)
-    return F.when(name["exclusion"].isNotNull(), name.cast(SIGNAL)).otherwise(both)
+def combine_name_and_type(df: DataFrame, name: str, kind: str, out: str) -> DataFrame:
+    """Add the sum of the two signals, capped; an excluded name stays as it is."""
+    n, k = F.col(name), F.col(kind)
+    excluded = n["exclusion"].isNotNull()
+    return df.withColumn(
+        out,
+        F.struct(
+            F.when(excluded, n["score"]).otherwise(F.least(F.lit(NAME_AND_TYPE_CAP), n["score"] + k["score"])).cast("int").alias("score"),
+            n["exclusion"].alias("exclusion"),
+            F.when(excluded, n["evidence"]).otherwise(F.concat(n["evidence"], k["evidence"])).alias("evidence"),
+        ),
+    )
 
 
-def owner_score(site: Column, reviews: Column, name: Column, versions: Column,
-                preset: Preset = DEFAULT) -> Column:
-    """``struct(score, lang, evidence, exclusion, bucket)``.
+def owner_score(df: DataFrame, site: str | None, reviews: str | None, name: str, versions: str | None,
+                preset: Preset = DEFAULT, out: str = "owner") -> DataFrame:
+    """Add ``struct(score, lang, evidence, exclusion, bucket)`` from four named columns.
 
     Version evidence is one fact found several ways, so only the strongest counts;
     site, review and name evidence are added without their own caps.
     ``site`` has ``lang``, ``hard_exclusion``, ``evidence``; ``reviews`` has
     ``preferred_lang`` and ``evidence``; ``name`` has ``exclusion`` and ``evidence``.
+    The list is built in one projection and summed in the next.
     """
-    parts = F.concat(
-        strongest_counts(versions), or_empty(site["evidence"]), or_empty(reviews["evidence"]),
-        or_empty(name["evidence"]),
+    null = F.lit(None).cast("string")
+
+    def part(column: str | None, field: str) -> Column:
+        return null if column is None else F.col(column)[field]
+
+    lists = [or_empty(F.col(c)["evidence"]) for c in (site, reviews, name) if c]
+    found = or_empty(F.col(versions)) if versions else empty()
+    staged = (
+        df.withColumn("_parts", F.concat(strongest_counts(found), *lists))
+        .withColumn("_excluded", F.coalesce(part(site, "hard_exclusion"), part(name, "exclusion")))
+        .withColumn("_score", F.when(F.col("_excluded").isNotNull(), 0).otherwise(clamp(total(F.col("_parts")), 0, 100)))
+        .withColumn("_named", strongest(found)["detail"])
     )
-    excluded = F.coalesce(site["hard_exclusion"], name["exclusion"])
-    proof = F.when(site["hard_exclusion"].isNotNull(), or_empty(site["evidence"])).otherwise(or_empty(name["evidence"]))
-    score = F.when(excluded.isNotNull(), 0).otherwise(clamp(total(parts), 0, 100))
-    detail = strongest(or_empty(versions))["detail"]
     known = None
     for code in preset.language.codes:
-        named = detail.rlike(rf"(?i)\b{code}\b")
+        named = F.col("_named").rlike(rf"(?i)\b{code}\b")
         known = F.when(named, code) if known is None else known.when(named, code)
-    lang = F.coalesce(site["lang"], reviews["preferred_lang"], known)
-    t = preset.thresholds
-    return F.struct(
-        score.cast("int").alias("score"),
-        F.when(excluded.isNull(), lang).alias("lang"),
-        F.when(excluded.isNotNull(), proof).otherwise(parts).alias("evidence"),
-        excluded.alias("exclusion"),
-        F.when(score >= t.lead, "leads").when(score >= t.manual, "manual").otherwise("rejected").alias("bucket"),
-    )
+    lang = F.coalesce(part(site, "lang"), part(reviews, "preferred_lang"), known)
+    proof = or_empty(F.col(name)["evidence"])
+    if site:
+        proof = F.when(F.col(site)["hard_exclusion"].isNotNull(), or_empty(F.col(site)["evidence"])).otherwise(proof)
+    excluded, score, t = F.col("_excluded"), F.col("_score"), preset.thresholds
+    return staged.withColumn(
+        out,
+        F.struct(
+            score.cast("int").alias("score"),
+            F.when(excluded.isNull(), lang).alias("lang"),
+            F.when(excluded.isNotNull(), proof).otherwise(F.col("_parts")).alias("evidence"),
+            excluded.alias("exclusion"),
+            F.when(score >= t.lead, "leads").when(score >= t.manual, "manual").otherwise("rejected").alias("bucket"),
+        ),
+    ).drop("_parts", "_excluded", "_score", "_named")
 
 
 def _out(bucket: str | Column, reason: Column | None, rule: int) -> Column:
@@ -137,18 +150,16 @@ def with_pins(state: DataFrame, pins: DataFrame) -> DataFrame:
     )
 
 
-def score_without_site(state: DataFrame, name_signal: Column, preset: Preset = DEFAULT) -> DataFrame:
+def score_without_site(state: DataFrame, name_signal: str, preset: Preset = DEFAULT) -> DataFrame:
     """Places without a site: excluded types are rejected, the others get a name-only score."""
-    f = preset.filters
-    kind = excluded_type(F.col("types"), f.excluded_types)
-    nothing = F.lit(None).cast("struct<lang:string,hard_exclusion:string,evidence:array<struct<signal:string,weight:int,detail:string>>>")
-    no_reviews = F.lit(None).cast("struct<preferred_lang:string,evidence:array<struct<signal:string,weight:int,detail:string>>>")
-    scored = owner_score(nothing, no_reviews, name_signal, empty(), preset)
+    rows = state.where(F.col("bucket") == "no_site").withColumn(
+        "excluded_type", excluded_type(F.col("types"), preset.filters.excluded_types)
+    )
+    scored = owner_score(rows, None, None, name_signal, None, preset, "_owner")
     s = F.col("owner")["score"]
     return (
-        state.where(F.col("bucket") == "no_site")
-        .withColumn("excluded_type", kind)
-        .withColumn("owner", F.when(kind.isNull(), scored))
+        scored.withColumn("owner", F.when(F.col("excluded_type").isNull(), F.col("_owner")))
+        .drop("_owner")
         .withColumn(
             "band",
             F.when(F.col("excluded_type").isNotNull(), "excluded").when(s >= 30, "30+").when(s >= 20, "20-29")

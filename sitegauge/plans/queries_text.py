@@ -18,6 +18,7 @@ from sitegauge.plans.inputs import prelude, table, with_types
 from sitegauge.plans.profiles import CATEGORY_RULES, NAME_RULES, PART_RULES, TRIAL
 from sitegauge.plans.queries_pages import DECLARED, SIGNALS, responses
 from sitegauge.plans.rescore import rescore as rescore_job
+from sitegauge.session import reliable
 from sitegauge.schemas import REVIEW_RESPONSE, SEARCH_RESPONSE
 from sitegauge.sources import readers
 
@@ -106,17 +107,15 @@ def rule_hits(spark, sf):
     return rules.rule_hits(table(spark, sf, "part"), "p_partkey", F.col("p_name"), PART_RULES)
 
 
-def _name_signal():
-    return verdict.combine_name_and_type(
-        rules.text_signal(F.col("name"), host_of(F.col("website")), NAME_RULES),
-        rules.category_signal(F.col("primary_type"), CATEGORY_RULES),
-    )
+def _with_names(rows: DataFrame) -> DataFrame:
+    texts = rules.text_signal(rows, F.col("name"), host_of(F.col("website")), NAME_RULES, "text_signal")
+    kinds = rules.category_signal(texts, F.col("primary_type"), CATEGORY_RULES, "category")
+    return verdict.combine_name_and_type(kinds, "text_signal", "category", "name_signal").drop("text_signal", "category")
 
 
 def name_signals(spark, sf):
-    s = F.col("s")
-    rows = with_types(table(spark, sf, "places")).select("place_id", _name_signal().alias("s"))
-    return rows.select(
+    s = F.col("name_signal")
+    return _with_names(with_types(table(spark, sf, "places"))).select(
         "place_id", s["score"].alias("score"), s["exclusion"].alias("exclusion"),
         F.array_join(F.transform(s["evidence"], lambda e: F.concat(e["signal"], F.lit("+"), e["weight"])), ";").alias("signals"),
     )
@@ -155,7 +154,7 @@ def review_signal(spark, sf):
 def _evidence(spark, sf):
     """Evidence lists per place out of its key and counts."""
     k = F.col("c_custkey")
-    rows = with_types(table(spark, sf, "state"))
+    rows = _with_names(with_types(table(spark, sf, "state")))
     versions = evidence(
         item_when(k % 2 == 0, "alternate", 18, F.lit("alternate fr")), item_when(k % 3 == 0, "route", 32, F.lit("route de")),
         item_when(k % 5 == 0, "switch", 32, F.lit("switch fr")),
@@ -168,7 +167,8 @@ def _evidence(spark, sf):
         F.when(k % 6 == 0, "de").alias("preferred_lang"),
         evidence(item_when(k % 11 < 4, "review_language", 25, F.lit("5/5"))).alias("evidence"),
     )
-    return rows.withColumn("owner", verdict.owner_score(site, seen, _name_signal(), versions, TRIAL))
+    rows = rows.withColumn("site", site).withColumn("seen", seen).withColumn("versions", versions)
+    return verdict.owner_score(rows, "site", "seen", "name_signal", "versions", TRIAL)
 
 
 def owner_scores(spark, sf):
@@ -184,8 +184,7 @@ def evidence_top(spark, sf):
 
 
 def no_site_scores(spark, sf):
-    rows = with_types(table(spark, sf, "state"))
-    out = verdict.score_without_site(rows, _name_signal(), TRIAL)
+    out = verdict.score_without_site(_with_names(with_types(table(spark, sf, "state"))), "name_signal", TRIAL)
     return out.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("owner")["score"]).alias("points"))
 
 
@@ -197,9 +196,9 @@ def _rescored(spark, sf):
         F.concat(F.lit("ручний розбір: "), F.col("o_orderkey").cast("string")).alias("reason"),
         F.struct("o_orderdate", "o_orderkey").alias("at"),
     )
+    places = with_types(table(spark, sf, "state")).drop("owner_score", "site_score", "fetch_error")
     return rescore_job(
-        with_types(table(spark, sf, "state")).drop("owner_score", "site_score", "fetch_error"),
-        responses(spark, sf).drop("page_id"), _review_signal(spark, sf), table(spark, sf, "psi"), pins, _name_signal(), TRIAL,
+        _with_names(places), responses(spark, sf).drop("page_id"), _review_signal(spark, sf), table(spark, sf, "psi"), pins, TRIAL
     )
 
 
@@ -212,13 +211,18 @@ def rescore(spark, sf):
 def rescore_transitions(spark, sf):
     from sitegauge.operators.merge import transitions
 
-    return transitions(_rescored(spark, sf))
+    # The new verdicts are a table of their own before anything filters on them.
+    return transitions(reliable(_rescored(spark, sf).select("place_id", "old_bucket", "bucket")))
 
 
 def export_rows(spark, sf):
     """The 23 published columns of every place."""
+    wanted = (
+        "place_id", "name", "address", "website", "phone", "primary_type", "niche_key", "hood_name", "metro_key", "c_custkey",
+        "rating_steps", "user_rating_count", "bucket", "reject_reason", "audit", "quality", "effort", "owner", "psi", "reviews",
+    )
     rows = (
-        _rescored(spark, sf).withColumn("rating", (F.col("rating_steps") / 10).cast("double"))
+        reliable(_rescored(spark, sf).select(*wanted)).withColumn("rating", (F.col("rating_steps") / 10).cast("double"))
         .withColumn("preferred_lang", F.col("reviews")["preferred_lang"])
         .withColumn("mobile_score", F.col("psi")["mobile_score"]).withColumn("desktop_score", F.col("psi")["desktop_score"])
         .withColumn("lcp_ms", F.col("psi")["lcp_ms"]).withColumn("primary_type_label", F.col("primary_type"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions import contacts, languages, markup, structure, technology
-from sitegauge.functions.evidence import empty, or_empty
 from sitegauge.functions.text import html_to_text
 from sitegauge.functions.urls import host_of
 from sitegauge.operators.effort import effort
@@ -32,9 +31,6 @@ FROM_FETCH = (
 )
 AUDIT_FIELDS = FROM_FETCH + FROM_HTML
 
-NAME_SIGNAL = "struct<score:int,exclusion:string,evidence:array<struct<signal:string,weight:int,detail:string>>>"
-
-
 def page_texts(responses: DataFrame) -> DataFrame:
     """Lower-cased page, visible text and host: computed once, used by all features."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -188,19 +184,13 @@ def assemble(state: DataFrame, facts: DataFrame, reviews: DataFrame, psi: DataFr
     return with_pins(rows, pins)
 
 
-def score(rows: DataFrame, name_signal: Column, preset: Preset = DEFAULT) -> DataFrame:
-    """Quality, effort and owner score of assembled rows."""
+def score(rows: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
+    """Quality, effort and owner score of assembled rows (which carry ``name_signal``)."""
     a = F.col("audit")
     rated = site_quality(rows, preset.year, "audit", "psi", F.col("website"))
+    owned = owner_score(rated, "site_signal", "reviews", "name_signal", "version_evidence", preset)
     return (
-        rated.withColumn("effort", effort(a))
-        .withColumn(
-            "owner",
-            owner_score(
-                F.col("site_signal"), F.col("reviews"), name_signal.cast(NAME_SIGNAL),
-                or_empty(F.col("version_evidence")), preset,
-            ),
-        )
+        owned.withColumn("effort", effort(a))
         .withColumn("has_audit", a.isNotNull())
         .withColumn("fetch_error", a["fetch_error"])
         .withColumn("modern_framework", a["modern_framework"])
@@ -213,16 +203,17 @@ def score(rows: DataFrame, name_signal: Column, preset: Preset = DEFAULT) -> Dat
 
 
 def rescore(state: DataFrame, responses: DataFrame, reviews: DataFrame, psi: DataFrame, pins: DataFrame,
-            name_signal: Column, preset: Preset = DEFAULT, old_audits: DataFrame | None = None) -> DataFrame:
-    """Next verdict of every place from its stored page; places without one are judged by name."""
+            preset: Preset = DEFAULT, old_audits: DataFrame | None = None) -> DataFrame:
+    """Next verdict of every place from its stored page; places without one are judged by name.
+
+    ``state`` carries the column ``name_signal`` (see :mod:`sitegauge.operators.rules`).
+    """
     home = responses.where(F.col("role") == "home") if "role" in responses.columns else responses
     rows = assemble(state, stored_facts(home, preset), reviews, psi, pins, old_audits)
-    return apply_verdict(score(rows, name_signal, preset), preset)
+    return apply_verdict(score(rows, preset), preset)
 
 
 def reverdict(state: DataFrame, changed: DataFrame, *inputs, **options) -> DataFrame:
     """:func:`rescore` for the places of ``changed`` only, after new speed or review data."""
     return rescore(state.join(changed.select("place_id"), "place_id", "left_semi"), *inputs, **options)
 
-
-NO_EVIDENCE = empty
