@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegauge.functions.text import bind
+
 # --- fixed values -----------------------------------------------------------
 # Bounded parts (64, 63, 12) keep the search linear on long runs of letters.
 EMAIL = (
@@ -13,7 +15,7 @@ EMAIL = (
 )
 # What a spelled-out address must contain (on lower-cased text).
 SPELLED_OUT = (
-    r"(?:\(\s*at\s*\)|\sat)\s*[a-z0-9\-]{1,63}(?:\s*\(\s*dot\s*\)\s*|\s+dot\s+|\.)[a-z0-9]"
+    r"[\s(]at\s*[\s)]\s*[a-z0-9\-]{1,63}(?:\s*\(\s*dot|\s+dot|\.)"
 )
 MAILTO = r"""(?i)mailto:([^"'?>\s]{3,120})"""
 OBFUSCATED = r"""(?i)data-cfemail=["']([0-9a-f]+)["']"""
@@ -106,7 +108,7 @@ def emails_found(html: Column, low: Column | None = None) -> Column:
     guessed = F.when(
         low.rlike(SPELLED_OUT), plain_addresses(spelled_out(strip_binary(html)))
     ).otherwise(none)
-    return F.array_distinct(F.when(F.size(sure) > 0, sure).otherwise(guessed))
+    return bind(sure, lambda found: F.array_distinct(F.when(F.size(found) > 0, found).otherwise(guessed)))
 
 
 def best_emails(found: Column, keep: int = EMAILS_KEPT) -> Column:

@@ -13,8 +13,10 @@ from sitegauge.params import LanguageProfile
 ALTERNATE_TAG = r"""(?i)<link[^>]+rel=["']alternate["'][^>]*>"""
 HREFLANG = r"""(?i)hreflang=["']([a-z]{2})(?:[-_][A-Za-z]{2})?["']"""
 HREF = r"""(?i)href=["']([^"']+)["']"""
+# A path segment closed by a slash, or a query value; then the end of the address or of its path.
 ROUTE_CODE = (
-    r"""(?i)href=["'][^"']*(?:/([a-z]{2})/|[?&](?:lang|language|locale)=([a-z]{2}))(?:["'?#]|/)"""
+    r"""href=["'][^"']*(?:/(?=[a-z]{2}/)|[?&](?:lang|language|locale)=)([a-z]{2})"""
+    r"""(?:(?<=/[a-z]{2})/)?+(?:["'?#]|/)"""
 )
 OG_LOCALE = r"""(?i)property=["']og:locale:alternate["'][^>]*content=["']([a-z]{2})[_-]"""
 IN_LANGUAGE = r'(?i)"inLanguage"\s*:\s*"([a-z]{2})'
@@ -36,8 +38,8 @@ def html_lang(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, HTML_LANG, 1)), F.lit(""))
 
 
-def _codes(html: Column, pattern: str, group: int = 1) -> Column:
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+def _codes(html: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, lambda c: F.lower(c)), lambda c: c != ""))
 
 
@@ -68,9 +70,7 @@ def declared(html: Column, low: Column, profile: LanguageProfile) -> Column:
     return F.struct(
         F.transform(pairs, lambda p: p["lang"]).alias("alternates"),
         F.transform(F.filter(pairs, lambda p: p["linked"]), lambda p: p["lang"]).alias("linked"),
-        only_if(
-            "href=", F.array_union(_codes(html, ROUTE_CODE, 1), _codes(html, ROUTE_CODE, 2))
-        ).alias("routes"),
+        only_if("href=", _codes(low, ROUTE_CODE)).alias("routes"),
         only_if("og:locale", _codes(html, OG_LOCALE)).alias("og"),
         only_if("inlanguage", _codes(html, IN_LANGUAGE)).alias("jsonld"),
         html_lang(html).alias("html_lang"),

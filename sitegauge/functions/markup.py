@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import collapse, decode_named_entities, decode_numeric_entities
+from sitegauge.functions.text import bind, collapse, decode_named_entities, decode_numeric_entities
 
 VIEWPORT = r"""(?i)<meta[^>]*\sname\s*=\s*["']?viewport["'\s/>]"""
 DESCRIPTION_TAG = r"""(?i)<meta[^>]*\sname\s*=\s*["']?description["'\s/>][^>]*>?"""
@@ -29,7 +29,8 @@ def attribute(tag: Column, name: str) -> Column:
 
 def _inner_text(html: Column, pattern: str) -> Column:
     inner = F.regexp_replace(F.regexp_extract(html, pattern, 1), r"<[^>]+>", "")
-    return F.nullif(F.trim(decode_numeric_entities(decode_named_entities(inner))), F.lit(""))
+    plain = F.trim(decode_numeric_entities(decode_named_entities(inner)))
+    return bind(plain, lambda t: F.when(t != "", t))
 
 
 def title(html: Column) -> Column:
@@ -42,7 +43,7 @@ def first_heading(html: Column) -> Column:
 
 def meta_description(html: Column) -> Column:
     tag = F.regexp_extract(html, DESCRIPTION_TAG, 0)
-    return F.when(tag != "", attribute(tag, "content"))
+    return bind(tag, lambda t: F.when(t != "", attribute(t, "content")))
 
 
 def has_viewport(html: Column) -> Column:
@@ -66,7 +67,7 @@ def is_https(url: Column) -> Column:
 
 
 def mixed_content(url: Column, html: Column) -> Column:
-    return is_https(url) & html.rlike(MIXED)
+    return is_https(url) & html.contains("://") & html.rlike(MIXED)
 
 
 def empty_shell(html: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegauge import texts
+from sitegauge.functions.text import bind
 
 
 @dataclass(frozen=True)
@@ -19,13 +20,16 @@ class TechRule:
     name: str
     words: tuple[str, ...] = ()
     pattern: str | None = None
-    # A word every match of ``pattern`` contains: the byte search spares the regex on most pages.
-    needs: str | None = None
+    # Every match of ``pattern`` contains one of these: the byte search spares the regex on most pages.
+    needs: tuple[str, ...] = ()
 
     def test(self, low: Column) -> Column:
         tests = [low.contains(w) for w in self.words]
         if self.pattern and self.needs:
-            tests.append(low.contains(self.needs) & low.rlike(self.pattern))
+            worded = low.contains(self.needs[0])
+            for word in self.needs[1:]:
+                worded = worded | low.contains(word)
+            tests.append(worded & low.rlike(self.pattern))
         elif self.pattern:
             tests.append(low.rlike(self.pattern))
         out = tests[0]
@@ -36,10 +40,10 @@ class TechRule:
 
 # --- fixed values: fingerprints, first match wins in the first three lists -----
 CMS = (
-    TechRule("WordPress", ("wp-content/", "wp-includes/"), "<meta[^>]+generator[^>]+wordpress", "wordpress"),
-    TechRule("Joomla", ("/media/jui/",), "<meta[^>]+generator[^>]+joomla", "joomla"),
-    TechRule("Drupal", ("/sites/default/files/", "drupal.settings"), "<meta[^>]+generator[^>]+drupal", "drupal"),
-    TechRule("Magento", ("/skin/frontend/", "mage.cookies"), r"static/version\d+/frontend", "static/version"),
+    TechRule("WordPress", ("wp-content/", "wp-includes/"), "<meta[^>]+generator[^>]+wordpress", ("wordpress",)),
+    TechRule("Joomla", ("/media/jui/",), "<meta[^>]+generator[^>]+joomla", ("joomla",)),
+    TechRule("Drupal", ("/sites/default/files/", "drupal.settings"), "<meta[^>]+generator[^>]+drupal", ("drupal",)),
+    TechRule("Magento", ("/skin/frontend/", "mage.cookies"), r"static/version\d+/frontend", ("static/version",)),
     TechRule("PrestaShop", ("prestashop",)),
     TechRule("DotNetNuke", ("dnncore", "dnn_", "dotnetnuke")),
     TechRule("Bitrix", ("bitrix/js", "bitrix/templates", "bitrix/cache")),
@@ -65,7 +69,7 @@ MODERN = (
     TechRule("SvelteKit", ("/_app/immutable/", "__sveltekit")),
     TechRule("Gatsby", ("___gatsby", "page-data.json")),
     TechRule(
-        "Tailwind (JIT build)", (), r"""class=["'][^"']*\b(?:md|lg):(?:flex|grid|hidden|w-|px-|py-)""", "class="
+        "Tailwind (JIT build)", (), r"""class=["'][^"']*\b(?:md|lg):(?:flex|grid|hidden|w-|px-|py-)""", ("md:", "lg:")
     ),
 )
 FLASH_PATTERN = r"\.swf\b|<embed[^>]+swf"
@@ -73,9 +77,9 @@ OLD_STACK = (
     TechRule("AngularJS 1.x", ("angular.min.js", "ng-app=")),
     TechRule("Prototype.js", ("prototype.js",)),
     TechRule("MooTools", ("mootools",)),
-    TechRule("Flash", ("application/x-shockwave-flash",), FLASH_PATTERN, "swf"),
-    TechRule("Silverlight", ("application/x-silverlight",), r"\.xap\b", ".xap"),
-    TechRule("Font Awesome 4", ("font-awesome/4.",), """fa-fw["' ]""", "fa-fw"),
+    TechRule("Flash", ("application/x-shockwave-flash",), FLASH_PATTERN, ("swf",)),
+    TechRule("Silverlight", ("application/x-silverlight",), r"\.xap\b", (".xap",)),
+    TechRule("Font Awesome 4", ("font-awesome/4.",), """fa-fw["' ]""", ("fa-fw",)),
     TechRule("Google Fonts (legacy)", ("fonts.googleapis.com/css?family=",)),
     TechRule("jQuery UI", ("jquery-ui",)),
 )
@@ -90,8 +94,9 @@ BOOTSTRAP_VERSION = (
     r"bootstrap\s+v(\d+)\.",
     r"bootstrap/(\d+)\.\d+",
 )
-COPYRIGHT_YEAR = r"(?i)(?:©|&copy;|copyright|\(c\))[^<>]{0,60}?((?:19|20)\d{2})"
-YEAR_RANGE = r"((?:19|20)\d{2})\s*(?:—|-|–)\s*((?:19|20)\d{2})"
+# The look-aheads reject most positions by one character class.
+COPYRIGHT_YEAR = r"(?=[©&c(])(?:©|&copy;|copyright|\(c\))[^<>]{0,60}?((?:19|20)\d{2})"
+YEAR_RANGE = r"(?=[12])((?:19|20)\d{2})\s*(?:—|-|–)\s*((?:19|20)\d{2})"
 # --- end of fixed values --------------------------------------------------------
 
 TABLE_OPEN = r"<table\b"
@@ -145,15 +150,23 @@ def table_layout(low: Column) -> Column:
     )
 
 
-def footer_year(html: Column, this_year: int, footer_chars: int) -> Column:
-    """Latest plausible copyright year in the page foot."""
-    foot = F.right(html, F.lit(footer_chars))
-    years = F.concat(
-        F.regexp_extract_all(foot, F.lit(COPYRIGHT_YEAR), F.lit(1)),
-        F.regexp_extract_all(foot, F.lit(YEAR_RANGE), F.lit(2)),
-    )
-    numbers = F.transform(years, lambda y: y.cast("int"))
-    return F.array_max(F.filter(numbers, lambda y: y.between(1995, this_year + 1)))
+def footer_year(low: Column, this_year: int, footer_chars: int) -> Column:
+    """Latest plausible copyright year in the page foot (of the lower-cased page)."""
+    none = F.array().cast("array<string>")
+
+    def latest(foot: Column) -> Column:
+        marked = foot.contains("©") | foot.contains("&copy;") | foot.contains("copyright") | foot.contains("(c)")
+        dashed = foot.contains("-") | foot.contains("–") | foot.contains("—")
+        years = F.concat(
+            F.when(marked, F.regexp_extract_all(foot, F.lit(COPYRIGHT_YEAR), F.lit(1))).otherwise(none),
+            F.when(dashed, F.regexp_extract_all(foot, F.lit(YEAR_RANGE), F.lit(2))).otherwise(none),
+        )
+        numbers = F.transform(years, lambda y: y.cast("int"))
+        return F.array_max(F.filter(numbers, lambda y: y.between(1995, this_year + 1)))
+
+    # Bytes are counted for free, characters are not: short pages are all foot.
+    foot = F.when(F.octet_length(low) <= footer_chars, low).otherwise(F.right(low, F.lit(footer_chars)))
+    return bind(foot, latest)
 
 
 def stack_names(low: Column, cms: Column, builder: Column, modern: Column, jquery: Column,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,8 +49,17 @@ _NOSCRIPT = r"(?i)<noscript[\s\S]*?</noscript>"
 _COMMENT = r"<!--[\s\S]*?-->"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_numeric_entities(text: Column) -> Column:
     """Replace ``&#NNN;`` by its character; texts without one are passed through."""
+    return bind(text, _decode_numeric)
+
+
+def _decode_numeric(text: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
 
     def put(acc: Column, code: Column) -> Column:

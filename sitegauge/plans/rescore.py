@@ -109,7 +109,7 @@ def page_columns(responses: DataFrame, preset: Preset = DEFAULT, keep: tuple[str
             low, F.col("cms"), F.col("builder"), F.col("modern_framework"), F.col("jquery_version"),
             F.col("bootstrap_major"), F.col("table_layout"),
         ),
-        "footer_year": technology.footer_year(html, preset.year, preset.footer_chars),
+        "footer_year": technology.footer_year(low, preset.year, preset.footer_chars),
         "emails": contacts.best_emails(F.col("found_emails")),
         "socials": contacts.social_profiles(html, low),
     }
