@@ -43,9 +43,6 @@ KEY_RULES = (
 )
 # --- end of fixed values ----------------------------------------------------
 
-_SCRIPT = r"(?i)<script[\s\S]*?</script>"
-_STYLE = r"(?i)<style[\s\S]*?</style>"
-_NOSCRIPT = r"(?i)<noscript[\s\S]*?</noscript>"
 _COMMENT = r"<!--[\s\S]*?-->"
 
 
@@ -76,12 +73,40 @@ def decode_named_entities(text: Column) -> Column:
     return text
 
 
+def _up_to_last(text: Column, closing: str, opening: str, to: str) -> Column:
+    """Replace blocks, looking for openings only in front of the last closing mark.
+
+    There every opening finds its end, so the work is linear; behind it, a page of
+    unclosed openings would be searched to its end once for each of them.
+    """
+
+    def swap(t: Column) -> Column:
+        front = F.regexp_extract(t, rf"(?i)^[\s\S]*{closing}", 0)
+        return bind(
+            front,
+            lambda f: F.when(f == "", t).otherwise(
+                F.concat(F.regexp_replace(f, opening, to), F.substr(t, F.length(f) + 1))
+            ),
+        )
+
+    return bind(text, swap)
+
+
+def drop_blocks(html: Column, tag: str, to: str) -> Column:
+    """Remove ``<tag ...> ... </tag>``; pages without the closing tag pass."""
+    return _up_to_last(html, f"</{tag}>", rf"(?i)<{tag}[\s\S]*?</{tag}>", to)
+
+
+def drop_tags(html: Column, to: str) -> Column:
+    return _up_to_last(html, ">", r"<[^>]+>", to)
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text: script, style and noscript dropped, tags to blanks, entities decoded."""
     out = html
-    for pattern in (_SCRIPT, _STYLE, _NOSCRIPT, r"<[^>]+>"):
-        out = F.regexp_replace(out, pattern, " ")
-    out = decode_numeric_entities(decode_named_entities(out))
+    for tag in ("script", "style", "noscript"):
+        out = drop_blocks(out, tag, " ")
+    out = decode_numeric_entities(decode_named_entities(drop_tags(out, " ")))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
@@ -90,9 +115,8 @@ def normalize_html(html: Column) -> Column:
 
     The whole page is kept, so that two long pages that differ only near their end differ.
     """
-    out = html
-    for pattern in (_SCRIPT, _STYLE, _COMMENT):
-        out = F.regexp_replace(out, pattern, "")
+    out = drop_blocks(drop_blocks(html, "script", ""), "style", "")
+    out = _up_to_last(out, "-->", _COMMENT, "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 

@@ -19,6 +19,8 @@ def local_session(cores: str = "*", app: str = "sitegauge", memory: str = "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Plans here have thousands of column expressions; a call site is not kept for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
