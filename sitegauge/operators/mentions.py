@@ -58,7 +58,7 @@ def _structured_names_udf():
     def walk(blocks: pd.Series) -> pd.Series:
         return blocks.map(lambda bs: [n for b in bs for n in names_of(b)])
 
-    return F.pandas_udf(walk, T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR)
+    return F.pandas_udf(walk, T.ArrayType(T.StringType()))
 
 
 def structured_blocks(html: Column) -> Column:

@@ -142,7 +142,7 @@ def _decode_udf():
             None if b is None else bytes(b).decode(c, errors="replace") for b, c in zip(raw, charset)
         ])
 
-    return F.pandas_udf(decode, T.StringType(), F.PandasUDFType.SCALAR)
+    return F.pandas_udf(decode, T.StringType())
 
 
 def decode_pages(files: DataFrame, content: str = "content") -> DataFrame:

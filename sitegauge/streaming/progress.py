@@ -13,7 +13,10 @@ QUOTA_WARN, QUOTA_LIMIT = 900, 1000
 
 
 def _timed(events: DataFrame, at: str, delay: str) -> DataFrame:
-    return events.withWatermark(at, delay) if events.isStreaming else events
+    """Event time with a watermark; times without a zone are read in the session's."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
 
 
 def throughput(events: DataFrame, at: str = "ts", every: str = "5 minutes", delay: str = "10 minutes",

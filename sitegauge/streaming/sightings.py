@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 def deduplicated(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
     """Drop repeated deliveries of one sighting."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def reduce_batch(batch: DataFrame, key: str, at: Sequence[str], context: Sequence[str],
