@@ -168,14 +168,17 @@ def _rewrite(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, pattern, to)
 
 
-def name_key(text: Column) -> Column:
-    """One key for all spellings of a word."""
-    low = F.lower(F.trim(text))
+def _to_ascii(low: Column) -> Column:
     out = F.when(low.rlike(r"[\u0400-\u04FF]"), transliterate(low)).otherwise(low)
     for letter, latin in DIGRAPH_LETTERS:
         out = F.replace(out, F.lit(letter), F.lit(latin))
-    out = F.translate(out, PLAIN_FROM, PLAIN_TO)
-    out = F.regexp_replace(unaccent(out), "[^a-z]", "")
+    return unaccent(F.translate(out, PLAIN_FROM, PLAIN_TO))
+
+
+def name_key(text: Column) -> Column:
+    """One key for all spellings of a word; plain ASCII words skip the letter tables."""
+    out = bind(F.lower(F.trim(text)), lambda w: F.when(w.rlike(r"[^\x00-\x7F]"), _to_ascii(w)).otherwise(w))
+    out = F.regexp_replace(out, "[^a-z]", "")
     for pattern, to in KEY_RULES:
         out = _rewrite(out, pattern, to)
     return out

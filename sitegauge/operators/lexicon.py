@@ -28,8 +28,11 @@ def prepare_lexicon(titles: DataFrame) -> DataFrame:
     """
     one_word = ~F.col("title").contains(":") & ~F.trim("title").rlike(r"\s")
     spellings = titles.where(one_word).select("lexicon", "role", "title").distinct()
-    keyed = spellings.select("lexicon", "role", name_key(F.col("title")).alias("key")).distinct()
-    return keyed.where(F.length("key") >= MIN_KEY)
+    # The length test sits inside the exploded array: as a filter it would be moved below
+    # the projection and every word would be normalised twice.
+    long_enough = F.filter(F.array(name_key(F.col("title"))), lambda k: F.length(k) >= MIN_KEY)
+    keyed = spellings.select("lexicon", "role", F.explode_outer(long_enough).alias("key"))
+    return keyed.where(F.col("key").isNotNull()).distinct()
 
 
 def key_verdicts(lexicon: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from sitegauge.plans import checks
 from sitegauge.plans.inputs import table
 from sitegauge.plans.profiles import ACCENTS, TRIAL
 from sitegauge.plans.rescore import page_columns, stored_facts
+from sitegauge.session import spread
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Stored home pages in the shape of the job's input."""
@@ -25,7 +26,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def columns(spark: SparkSession, sf: str) -> DataFrame:
-    return page_columns(responses(spark, sf), TRIAL, keep=("page_id",))
+    return page_columns(spread(responses(spark, sf)), TRIAL, keep=("page_id",))
 
 
 def with_quality(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sitegauge.operators.effort import effort
 from sitegauge.operators.quality import site_quality
 from sitegauge.operators.verdict import apply_verdict, owner_score, with_pins
 from sitegauge.params import DEFAULT, Preset
-from sitegauge.session import reliable
+from sitegauge.session import reliable, spread
 
 # Facts a re-score reads anew from the page; the others are kept from the first audit.
 FROM_HTML = (
@@ -137,7 +137,7 @@ def stored_facts(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
     without this boundary the optimizer moves such a filter, with all the patterns it
     stands for, down to the scan.  The rows are a small part of the pages' size.
     """
-    return reliable(page_facts(responses, preset))
+    return reliable(page_facts(spread(responses), preset))
 
 
 def refreshed(old: Column, new: Column) -> Column:

@@ -43,3 +43,13 @@ def reliable(df: DataFrame) -> DataFrame:
     """Materialise to the shared checkpoint folder and cut lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that has fewer partitions than the cluster has cores.
+
+    For heavy work per row on small inputs.  A large input has more splits than cores
+    and is returned as it is, so nothing big is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -49,6 +49,8 @@ def sessions(events: DataFrame, gap: str, at: str = "ts", keys: tuple[str, ...]
              delay: str = "10 minutes", poll: str = "1 minute") -> DataFrame:
     """Stretches of steady progress; each ends where nothing came for ``gap``.
 
+    A stream needs at least one key.
+
     Rows are first counted per poll interval, which combines before the shuffle, so a
     source with a third of all rows sends one row per interval and task.
     """

@@ -41,8 +41,8 @@ def test_quota_stream(stream):
 
 def test_sessions_stream_emits_closed_sessions(stream):
     batch, live, tmp = stream
-    got = run(progress.sessions(live, "3 hours"), "append", tmp, "sess")
-    want = {(r["start"], r["n"]) for r in progress.sessions(batch, "3 hours").collect()}
+    got = run(progress.sessions(live, "3 hours", keys=("event_type",)), "append", tmp, "sess")
+    want = {(r["start"], r["n"]) for r in progress.sessions(batch, "3 hours", keys=("event_type",)).collect()}
     rows = {(r["start"], r["n"]) for r in got.collect()}
     assert rows <= want
 
