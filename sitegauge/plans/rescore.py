@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions import contacts, languages, markup, structure, technology
+from sitegauge.functions.evidence import or_empty
 from sitegauge.functions.text import html_to_text
 from sitegauge.functions.urls import host_of
+from sitegauge.operators import probes
 from sitegauge.operators.effort import effort
+from sitegauge.operators.mentions import with_mentions
 from sitegauge.operators.quality import site_quality
 from sitegauge.operators.verdict import apply_verdict, owner_score, with_pins
 from sitegauge.params import DEFAULT, Preset
@@ -126,7 +129,7 @@ def page_facts(responses: DataFrame, preset: Preset = DEFAULT, keep: tuple[str,
         "place_id", *keep, F.struct(*[F.col(n) for n in AUDIT_FIELDS]).alias("audit"),
         languages.with_score(F.col("observed")).alias("site_signal"),
         v["evidence"].alias("declared_evidence"), v["languages"].alias("declared_languages"),
-        v["html_lang"].alias("html_lang"),
+        F.size(v["found"]).alias("declared_found"), v["html_lang"].alias("html_lang"),
     )
 
 
@@ -140,6 +143,30 @@ def stored_facts(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
     return reliable(page_facts(spread(responses), preset))
 
 
+def with_probe_evidence(facts: DataFrame, responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
+    """Add the evidence of stored probe answers, cheapest source first.
+
+    A negotiated answer counts only where the page declares no target language, and
+    routes only where there is neither; the probe answers of decided sites are left out
+    before their bodies are looked at.
+    """
+    open_sites = facts.where(F.col("declared_found") == 0).select("place_id")
+    asked = responses.join(open_sites, "place_id", "left_semi")
+    spoken = probes.negotiated(asked, preset).select("place_id", F.col("evidence").alias("_negotiated"))
+    still_open = asked.join(spoken, "place_id", "left_anti")
+    routed = probes.route_evidence(probes.confirmed_routes(still_open, preset)).select(
+        "place_id", F.col("evidence").alias("_routes")
+    )
+    return (
+        facts.join(spoken, "place_id", "left").join(routed, "place_id", "left")
+        .withColumn(
+            "declared_evidence",
+            F.concat("declared_evidence", or_empty(F.col("_negotiated")), or_empty(F.col("_routes"))),
+        )
+        .drop("_negotiated", "_routes")
+    )
+
+
 def refreshed(old: Column, new: Column) -> Column:
     """Old audit with the facts of the page read anew; without a page the old one stands."""
     merged = F.struct(
@@ -203,13 +230,24 @@ def score(rows: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
 
 
 def rescore(state: DataFrame, responses: DataFrame, reviews: DataFrame, psi: DataFrame, pins: DataFrame,
-            preset: Preset = DEFAULT, old_audits: DataFrame | None = None) -> DataFrame:
+            preset: Preset = DEFAULT, old_audits: DataFrame | None = None,
+            mentions: DataFrame | None = None, use_probes: bool = False) -> DataFrame:
     """Next verdict of every place from its stored page; places without one are judged by name.
 
     ``state`` carries the column ``name_signal`` (see :mod:`sitegauge.operators.rules`).
+    ``mentions`` is ``(place_id, mention_score, mentions)`` of
+    :func:`sitegauge.operators.mentions.mention_score`.  ``use_probes`` also reads the
+    stored answers with the roles junk, candidate and negotiated.
     """
     home = responses.where(F.col("role") == "home") if "role" in responses.columns else responses
-    rows = assemble(state, stored_facts(home, preset), reviews, psi, pins, old_audits)
+    facts = stored_facts(home, preset)
+    if use_probes:
+        facts = with_probe_evidence(facts, responses, preset)
+    if mentions is not None:
+        facts = facts.join(mentions, "place_id", "left").withColumn(
+            "site_signal", with_mentions(F.col("site_signal"), F.col("mention_score"), F.col("mentions"))
+        )
+    rows = assemble(state, facts, reviews, psi, pins, old_audits)
     return apply_verdict(score(rows, preset), preset)
 
 

@@ -194,3 +194,18 @@ def test_rule_table_is_refused_when_it_is_data(spark):
     with pytest.raises(ValueError):
         rules.rules_from(big)
     assert len(rules.rules_from(big.limit(3))) == 3
+
+
+def test_mentions_and_probes_add_evidence(job, spark):
+    places, pages, rev, psi, pins = job
+    found = spark.createDataFrame([("a", 30, 1)], "place_id string, mention_score int, mentions long")
+    other = "<p>" + "їжак " * 60 + "</p>"
+    extra = spark.createDataFrame([("c", "home", "https://c.com/", "<title>c</title><p>plain</p>" + "x" * 3000), ("c", "candidate", "https://c.com/uk/", other),
+                                   ("a", "candidate", "https://a.com/uk/", other), ("a", "negotiated", "https://a.com/", other)],
+                                  "place_id string, role string, final_url string, html string")
+    answers = pages.unionByName(extra).withColumn("http_status", F.lit(200))
+    out = {r["place_id"]: r for r in rescore(places, answers, rev, psi, pins, mentions=found, use_probes=True).collect()}
+    signals = {k: [x["signal"] for x in r["owner"]["evidence"]] for k, r in out.items()}
+    assert "accept_language_negotiation" in signals["a"] and "lang_route_confirmed" not in signals["a"]
+    assert "contact_word_on_site" in signals["a"] and out["a"]["owner"]["score"] == 100
+    assert "lang_route_confirmed" in signals["c"] and out["c"]["rule_no"] == 1
