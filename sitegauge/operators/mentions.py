@@ -80,7 +80,7 @@ def near_role(text: Column, role_pattern: str) -> Column:
     padded = F.concat(F.lit(" " * WINDOW), text)
     pattern = (
         rf"(?<![A-Za-z0-9_])(?=[A-Z][a-z'’\-]{{2}})(?<=([\s\S]{{{WINDOW}}}))({NAME_PAIR})"
-        rf"(?![A-Za-z0-9_])(?=([\s\S]{{0,{WINDOW}}}))"
+        rf"(?:(?<=[a-z])(?![A-Za-z0-9_])|(?<=['’\-])(?=[A-Za-z0-9_]))(?=([\s\S]{{0,{WINDOW}}}))"
     )
     part = lambda g: F.regexp_extract_all(padded, F.lit(pattern), F.lit(g))
     zipped = F.arrays_zip(part(1).alias("before"), part(2).alias("pair"), part(3).alias("after"))

@@ -478,7 +478,18 @@ an AS (SELECT 's' || CAST(floor(page_id / 4) AS BIGINT) AS place_id, page_id % 4
    len(regexp_extract_all(html, '[À-ɏ]')) AS script, CASE WHEN len(regexp_extract_all(html, '[éèêçàùâîôûëïœ]')) > len(regexp_extract_all(html, '[äöüß]')) THEN 'fr' ELSE 'de' END AS lang FROM pages),
 base AS (SELECT place_id, max(fp) FILTER (role = 0) AS home_fp, max(fp) FILTER (role = 1) AS junk_fp, max(n) FILTER (role = 1) AS junk_n, coalesce(bool_or(st = 404) FILTER (role = 1), false) AS honest FROM an WHERE role IN (0, 1) GROUP BY place_id)"""
 
+_PAIR = "\\b[A-Z][a-z''’\\-]{2,19}\\s+[A-Z][a-z''’\\-]{3,24}\\b"
+_MENTIONS = f"""
+t AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages),
+p AS (SELECT page_id, t, regexp_extract_all(t, '{_PAIR}') AS ps, string_split_regex(t, '{_PAIR}') AS ss FROM t),
+i AS (SELECT page_id, t, ps[k] AS c, CAST(list_sum(list_transform(ss[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ps[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS off
+      FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM p)),
+r AS (SELECT page_id, 'role' AS source, c FROM i WHERE regexp_matches(substr(repeat(' ', 40) || t, off + 1, 40) || ' | ' || substr(t, off + length(c) + 1, 40), '(?i)(?:the|les|der|una)')
+      UNION ALL SELECT page_id, 'copyright', unnest(regexp_extract_all(regexp_replace(right(html, 8000), '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM t),
+d AS (SELECT DISTINCT page_id, source, c FROM r WHERE NOT list_has_any(regexp_split_to_array(lower(c), '[\\s''’.\\-]+'), ['menu', 'search']))"""
+
 ORACLES = {
+    "mention_scores": f"WITH {_MENTIONS} SELECT page_id, count(*) AS mentions, CASE WHEN bool_or(length(c) % 4 = 0) THEN 25 ELSE 0 END AS mention_score FROM d WHERE length(c) % 2 = 0 GROUP BY page_id",
     "lexicon_prepare": f"WITH t AS (SELECT source, lang, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), k AS (SELECT DISTINCT source, lang, {_key_sql('w')} AS key FROM t WHERE NOT contains(w, ':')) SELECT lang AS role, count(DISTINCT key) AS keys, min(key) AS first_key, max(key) AS last_key, count(*) AS entries FROM k WHERE length(key) >= 3 GROUP BY lang",
     "key_verdicts": f"WITH {_LISTS} SELECT verdict, count(*) AS n FROM kv GROUP BY verdict",
     "text_verdicts": f"WITH {_LISTS} SELECT id, verdict, matched FROM tv",
