@@ -342,7 +342,7 @@ def sitemap_pages(spark, sf):
             F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<urlset>"), loc("/a"), loc("/b"), F.lit("</urlset>"))
         ).otherwise(F.concat(F.lit("<sitemapindex>"), *[loc(f"/part{i}.xml") for i in range(4)], F.lit("</sitemapindex>"))).alias("xml"),
     )
-    parts = s.where(F.col("s_suppkey") % 2 == 1).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select(
+    parts = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select(
         F.col("s_suppkey").alias("place_id"), F.concat("site", F.lit("/part"), F.col("i").cast("string"), F.lit(".xml")).alias("url"),
         F.concat(F.lit("<urlset><loc>"), "site", F.lit("/p"), F.col("i").cast("string"), F.lit("</loc></urlset>")).alias("xml"),
     )

@@ -46,10 +46,14 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that has fewer partitions than the cluster has cores.
+    """Deal out a scan that has fewer splits than the cluster has cores.
 
     For heavy work per row on small inputs.  A large input has more splits than cores
-    and is returned as it is, so nothing big is ever shuffled here.
+    and is returned as it is, so nothing big is ever shuffled here; neither is the
+    outcome of joins or aggregations, whose partitions are Spark's choice already.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -124,3 +124,14 @@ def test_declared_codes_are_read_from_routes(one):
     html = F.lit('<a href="/de/"><a href="/fr/about"><a href="/x?lang=es"><a href="/it/?p">')
     got = one(languages.declared(html, F.lower(html), DEFAULT.language))
     assert sorted(got["routes"]) == ["de", "es", "it"]
+
+
+def test_only_small_scans_are_dealt_out(spark):
+    from sitegauge.session import spread
+
+    small = spark.range(0, 10, 1, 1)
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, 64)
+    assert spread(wide).rdd.getNumPartitions() == 64
+    grouped = small.groupBy("id").count()
+    assert spread(grouped) is grouped
