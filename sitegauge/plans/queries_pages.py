@@ -155,10 +155,16 @@ def page_emails(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def social_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles per network over all pages and documents."""
+    """Profiles per network over all pages, documents and suppliers (whose names become profile links)."""
+    linked = table(spark, sf, "supplier").select(
+        F.concat(
+            F.lit('<a href="https://facebook.com/tr?id=1"><a href="https://www.'),
+            F.when(F.col("s_nationkey") > 12, "facebook.com/s").otherwise("instagram.com/i"), F.col("s_suppkey").cast("string"), F.lit('">'),
+        ).alias("html")
+    )
     both = table(spark, sf, "pages").select("html").unionByName(
         table(spark, sf, "documents").select(F.col("text").alias("html"))
-    )
+    ).unionByName(linked)
     kinds = both.select(F.explode(contacts.social_profiles(F.col("html"))).alias("network", "profile"))
     return kinds.groupBy("network").agg(F.count("*").alias("pages"), F.min("profile").alias("first_profile"))
 
@@ -288,7 +294,7 @@ ORACLES = {
     "email_extract": "WITH " + checks.email_ctes("documents", "doc_id", "text") + " SELECT doc_id, emails, total FROM best",
     "page_emails": "WITH " + checks.email_ctes("pages", "page_id", "html") + " SELECT page_id, emails, total FROM best",
     "phone_flags": "SELECT lang, count(*) AS docs, count(*) FILTER (regexp_matches(text, '\\+\\s?380[\\s\\-(]?\\d{2}')) AS ua, count(*) FILTER (regexp_matches(text, '\\+\\s?7[\\s\\-(]?9\\d{2}[\\s\\-)]?\\d{3}[\\s\\-)]?\\d{3}')) AS ru, count(*) FILTER (regexp_matches(text, '\\+\\s?\\d{1,3}[\\s\\-(]?\\d{2}')) AS any_plus FROM documents GROUP BY lang",
-    "social_links": """WITH b AS (SELECT html FROM pages UNION ALL SELECT text FROM documents),
+    "social_links": """WITH b AS (SELECT html FROM pages UNION ALL SELECT text FROM documents UNION ALL SELECT '<a href="https://facebook.com/tr?id=1"><a href="https://www.' || CASE WHEN s_nationkey > 12 THEN 'facebook.com/s' ELSE 'instagram.com/i' END || s_suppkey || '">' FROM supplier),
         p(network, pattern) AS (VALUES ('facebook', '(?i)https?://(?:www\\.|m\\.)?facebook\\.com/[A-Za-z0-9._%-]+'), ('instagram', '(?i)https?://(?:www\\.)?instagram\\.com/[A-Za-z0-9._%-]+'),
           ('telegram', '(?i)https?://t\\.me/[A-Za-z0-9_]+'), ('youtube', '(?i)https?://(?:www\\.)?youtube\\.com/(?:c/|channel/|@)[A-Za-z0-9._%-]+'),
           ('tiktok', '(?i)https?://(?:www\\.)?tiktok\\.com/@[A-Za-z0-9._%-]+'), ('linkedin', '(?i)https?://(?:www\\.)?linkedin\\.com/(?:company|in)/[A-Za-z0-9._%-]+'),
