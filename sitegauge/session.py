@@ -28,13 +28,16 @@ def local_session(cores: str = "*", app: str = "sitegauge", memory: str = "12g")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where unset on one machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="sitegauge-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sitegauge-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
