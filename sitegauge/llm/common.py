@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.session import reliable
+from sitegauge.session import reliable, with_package
 
-__all__ = ["bounded", "components", "read_table", "reliable", "semi_join"]
+__all__ = ["bounded", "components", "read_table", "reliable", "semi_join", "with_package"]
 
 #: A key list of so many rows at most is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import components, reliable, semi_join
+from sitegauge.llm.common import components, reliable, semi_join, with_package
 from sitegauge.llm.wordarrays import mix64, shingle_sets, text_chunks
 
 SHINGLE_WORDS = 5
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     A link at exactly 0.85 is missed by all 25 bands of 6 with probability 8e-6; nothing else is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = reliable(docs.mapInArrow(_profiles, _PROFILE))
+    profiles = reliable(with_package(docs).mapInArrow(_profiles, _PROFILE))
     known, repeats = profiles.where("doc_id is not null and n_shingles > 0"), False
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         first = F.min(F.struct("digest_a", "digest_b")).alias("d")

@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import minhash
+from sitegauge.llm import decontamination, minhash, mixing, quality_rules, token_counts, token_files
 from sitegauge.llm.common import read_table
+from sitegauge.session import ensure_checkpoint_dir
+
+#: Sources are evened out towards 95 % of the greatest entropy, none being shown more than twice as often as another.
+MIXTURE = mixing.Target(entropy=0.95, max_repeats=2.0)
+
+
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write a token folder beside the checkpoints and read it back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid4().hex}"
+    token_files.write_tokens(docs, folder)
+    return token_files.read_tokens(spark, folder)
+
+
+def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(spark, read_table(spark, sf_dir, "documents"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_minhash": op4_minhash}
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(read_table(spark, sf_dir, "documents"), MIXTURE)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_template_decontamination, op2_token_counts, op3_bit_planes, op4_minhash, op5_temperature_mixing, op9_quality_rules,
+    )
+}
 ORACLES: dict[str, str] = {}
