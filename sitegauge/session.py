@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,23 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_package(df: DataFrame) -> DataFrame:
+    """Let Python code of this package run on the executors of the session of `df`, once for a session.
+
+    Needed where tasks import the package and the job was not submitted with it (``--py-files``).
+    """
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_sitegauge_sent", False):
+        home = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="sitegauge-package-"), "sitegauge.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(home):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(home)))
+        sc.addPyFile(path)
+        sc._sitegauge_sent = True
+    return df
