@@ -6,7 +6,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontamination, minhash, mixing, quality_rules, token_counts, token_files
+from sitegauge.llm import (
+    decontamination, line_templates, minhash, mixing, ngram_trie, pii, quality_rules, repeats, token_counts, token_files,
+)
 from sitegauge.llm.common import read_table
 from sitegauge.session import ensure_checkpoint_dir
 
@@ -41,14 +43,31 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(read_table(spark, sf_dir, "documents"), MIXTURE)
 
 
+def op6_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op7_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.recurring_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_template_decontamination, op2_token_counts, op3_bit_planes, op4_minhash, op5_temperature_mixing, op9_quality_rules,
+        op1_template_decontamination, op2_token_counts, op3_bit_planes, op4_minhash, op5_temperature_mixing,
+        op6_repeated_units, op7_pii_field, op8_line_templates, op9_quality_rules, op10_ngram_trie,
     )
 }
 ORACLES: dict[str, str] = {}
