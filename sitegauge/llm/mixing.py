@@ -82,7 +82,8 @@ def _power(totals: DataFrame, target: Target) -> float:
         power = section(too_even, 0.0, 1.0)
     if target.max_repeats is not None:
         power = max(power, section(rare_enough, 0.0, 1.0))
-    return float(power)
+    # The sums above differ in their last digit with the order of their terms.
+    return round(float(power), 9)
 
 
 def _source(c: str) -> Column:
@@ -105,7 +106,7 @@ def plan(narrow: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
     budget = target.budget if target.budget is not None else (at_least or 0.0) * z
     quota = F.round(F.col("raw") / F.lit(float(z)) * F.lit(float(budget)))
     sources = reliable(
-        weighted.withColumn("power", F.lit(power)).withColumn("weight", F.col("raw") / F.lit(float(z))).withColumn("quota", quota.cast("long"))
+        weighted.withColumn("power", F.lit(power)).withColumn("weight", F.round(F.col("raw") / F.lit(float(z)), 12)).withColumn("quota", quota.cast("long"))
         .withColumn("blocks", F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)).cast("long"))
         # A source without a token costs nothing and is given once.
         .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("long"))
