@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from sitegauge.functions.text import bind
 
 # --- fixed values -----------------------------------------------------------
-# Bounded parts (64, 63, 12) keep the search linear on long runs of letters.
-EMAIL = (
-    r"(?<![A-Za-z0-9_])[A-Za-z0-9_][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}"
-    r"(?:\.[A-Za-z0-9\-]{1,63}){0,4}\.[A-Za-z]{2,12}(?![A-Za-z0-9_])"
-)
+# What stands between addresses, and the parts before and after an at sign.
+NOT_IN_ADDRESS = r"[^A-Za-z0-9._%+@\-]+"
+LOCAL_LEAD = r"^[.%+\-]+"
+DOMAIN = r"^(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9_])"
 # What a spelled-out address must contain (on lower-cased text).
-SPELLED_OUT = (
-    r"[\s(]at\s*[\s)]\s*[a-z0-9\-]{1,63}(?:\s*\(\s*dot|\s+dot|\.)"
-)
-MAILTO = r"""(?i)mailto:([^"'?>\s]{3,120})"""
+SPELLED_OUT = r"[\s(]at\s*[\s)]\s*[a-z0-9\-]++(?:\s*\(\s*dot|\s+dot|\.)"
+MAILTO = r"""(?i)mailto:([^"'?>\s]{3,})"""
 OBFUSCATED = r"""(?i)data-cfemail=["']([0-9a-f]+)["']"""
 EMAIL_BLOCKED = (
     r"(?i)@(?:example|sentry|wixpress|squarespace|godaddy|schema|w3|sentry\.io|2x|domain)\."
@@ -30,7 +27,6 @@ EMAIL_RANKS = (
     (9, r"(?i)^(no-?reply|donotreply)@"),
 )
 EMAIL_RANK_OTHER = 5
-EMAILS_KEPT = 5
 SOCIAL = (
     ("facebook", "facebook.com", r"(?i)https?://(?:www\.|m\.)?facebook\.com/[A-Za-z0-9._%-]+"),
     ("instagram", "instagram.com", r"(?i)https?://(?:www\.)?instagram\.com/[A-Za-z0-9._%-]+"),
@@ -65,9 +61,7 @@ def xor_decode(hex_text: Column) -> Column:
 
 
 def _valid(address: Column) -> Column:
-    return (
-        (F.length(address) < 80) & address.contains("@") & ~address.rlike(EMAIL_BLOCKED)
-    )
+    return address.contains("@") & ~address.rlike(EMAIL_BLOCKED)
 
 
 def email_rank(address: Column) -> Column:
@@ -78,8 +72,29 @@ def email_rank(address: Column) -> Column:
 
 
 def plain_addresses(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
-    return F.filter(F.transform(found, lambda e: F.lower(e)), _valid)
+    """Addresses in a text: it is cut at what no address may hold, and the pieces at their at signs.
+
+    Each part is looked at once, whatever its length.
+    """
+
+    def of_piece(piece: Column) -> Column:
+        def joined(parts: Column) -> Column:
+            pairs = F.arrays_zip(F.slice(parts, 1, F.size(parts) - 1).alias("local"), F.slice(parts, 2, F.size(parts) - 1).alias("domain"))
+            both = F.transform(
+                pairs,
+                lambda p: F.struct(
+                    F.regexp_replace(p["local"], LOCAL_LEAD, "").alias("local"), F.regexp_extract(p["domain"], DOMAIN, 0).alias("domain")
+                ),
+            )
+            return F.transform(
+                F.filter(both, lambda p: (p["local"] != "") & (p["domain"] != "")),
+                lambda p: F.lower(F.concat(p["local"], F.lit("@"), p["domain"])),
+            )
+
+        return bind(F.split(piece, "@", -1), joined)
+
+    pieces = F.filter(F.split(text, NOT_IN_ADDRESS, -1), lambda p: p.contains("@"))
+    return F.filter(F.flatten(F.transform(pieces, of_piece)), _valid)
 
 
 def spelled_out(text: Column) -> Column:
@@ -111,12 +126,12 @@ def emails_found(html: Column, low: Column | None = None) -> Column:
     return bind(sure, lambda found: F.array_distinct(F.when(F.size(found) > 0, found).otherwise(guessed)))
 
 
-def best_emails(found: Column, keep: int = EMAILS_KEPT) -> Column:
-    """Contact addresses before chance finds; equals keep their order."""
+def best_emails(found: Column) -> Column:
+    """All addresses, contact addresses before chance finds; equals keep their order."""
     ranked = F.transform(
         found, lambda e, i: F.struct(email_rank(e).alias("r"), i.alias("i"), e.alias("e"))
     )
-    return F.transform(F.slice(F.array_sort(ranked), 1, keep), lambda s: s["e"])
+    return F.transform(F.array_sort(ranked), lambda s: s["e"])
 
 
 def social_url(html: Column, low: Column, marker: str, pattern: str) -> Column:

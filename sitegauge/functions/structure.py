@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegauge.functions.text import bind
 from sitegauge.functions.urls import origin_of, path_of, resolve
 
 # --- fixed values -----------------------------------------------------------
@@ -14,7 +15,6 @@ SHOP_MARKUP = (
     r"(?i)add[- _]?to[- _]?cart|woocommerce-cart|wc-block-cart|data-product-id|snipcart"
     r"|shopping[- _]?cart|plugins/woocommerce"
 )
-FORM = r"(?i)<form[^>]*>[\s\S]{0,3000}?<(?:input|textarea)"
 FILE_SUFFIX = r"(?i)\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|doc|docx|xls|mp4|css|js)$"
 NOT_A_PAGE = r"(?i)^(mailto:|tel:|javascript:|data:)"
 LANGUAGE_SEGMENT = r"(?i)^/(ru|uk|ua|en|es|pl)(?:/|$)"
@@ -58,8 +58,17 @@ def shop_markup(html: Column, low: Column) -> Column:
     return worded & html.rlike(SHOP_MARKUP)
 
 
-def has_form(html: Column, low: Column) -> Column:
-    return low.contains("<form") & html.rlike(FORM)
+def has_form(low: Column) -> Column:
+    """A form with a field between its tags; an unclosed one reaches to the next form or the end."""
+
+    def with_field(part: Column) -> Column:
+        inside = F.substring_index(F.substring_index(part, "</form", 1), "<form", 1)
+        return (F.instr(inside, ">") > 0) & (inside.contains("<input") | inside.contains("<textarea"))
+
+    def any_of(parts: Column) -> Column:
+        return F.exists(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), with_field)
+
+    return low.contains("<form") & bind(F.split(low, "<form", -1), any_of)
 
 
 def structure(html: Column, low: Column, path_list: Column) -> Column:
@@ -69,6 +78,6 @@ def structure(html: Column, low: Column, path_list: Column) -> Column:
         F.greatest(F.lit(1), F.size(first_segments(path_list))).alias("unique_page_types"),
         (F.exists(path_list, lambda p: p.rlike(CATALOG)) | html.rlike(CATALOG)).alias("has_catalog"),
         (F.exists(path_list, lambda p: p.rlike(SHOP_PATH)) | shop_markup(html, low)).alias("has_ecommerce"),
-        has_form(html, low).alias("has_forms"),
+        has_form(low).alias("has_forms"),
         F.greatest(F.lit(1), F.size(language_segments(path_list))).alias("languages"),
     )

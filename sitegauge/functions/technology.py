@@ -94,8 +94,9 @@ BOOTSTRAP_VERSION = (
     r"bootstrap\s+v(\d+)\.",
     r"bootstrap/(\d+)\.\d+",
 )
-# The look-aheads reject most positions by one character class.
-COPYRIGHT_YEAR = r"(?=[©&c(])(?:©|&copy;|copyright|\(c\))[^<>]{0,60}?((?:19|20)\d{2})"
+COPYRIGHT_MARK = r"©|&copy;|copyright|\(c\)"
+MARKED_YEAR = r"^[^<>]*?((?:19|20)\d{2})"
+# The look-ahead rejects most positions by one character class.
 YEAR_RANGE = r"(?=[12])((?:19|20)\d{2})\s*(?:—|-|–)\s*((?:19|20)\d{2})"
 # --- end of fixed values --------------------------------------------------------
 
@@ -150,23 +151,24 @@ def table_layout(low: Column) -> Column:
     )
 
 
-def footer_year(low: Column, this_year: int, footer_chars: int) -> Column:
-    """Latest plausible copyright year in the page foot (of the lower-cased page)."""
-    none = F.array().cast("array<string>")
+def footer_year(low: Column, this_year: int) -> Column:
+    """Latest plausible copyright year of the (lower-cased) page.
 
-    def latest(foot: Column) -> Column:
-        marked = foot.contains("©") | foot.contains("&copy;") | foot.contains("copyright") | foot.contains("(c)")
-        dashed = foot.contains("-") | foot.contains("–") | foot.contains("—")
-        years = F.concat(
-            F.when(marked, F.regexp_extract_all(foot, F.lit(COPYRIGHT_YEAR), F.lit(1))).otherwise(none),
-            F.when(dashed, F.regexp_extract_all(foot, F.lit(YEAR_RANGE), F.lit(2))).otherwise(none),
-        )
-        numbers = F.transform(years, lambda y: y.cast("int"))
-        return F.array_max(F.filter(numbers, lambda y: y.between(1995, this_year + 1)))
-
-    # Bytes are counted for free, characters are not: short pages are all foot.
-    foot = F.when(F.octet_length(low) <= footer_chars, low).otherwise(F.right(low, F.lit(footer_chars)))
-    return bind(foot, latest)
+    The page is cut at the copyright marks; of each part, the first year in front of a tag counts, so the work is
+    linear however many marks there are.
+    """
+    none = F.array().cast("array<string>")
+    marked = low.contains("©") | low.contains("&copy;") | low.contains("copyright") | low.contains("(c)")
+    dashed = low.contains("-") | low.contains("–") | low.contains("—")
+    after = lambda parts: F.transform(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda t: F.regexp_extract(t, MARKED_YEAR, 1)
+    )
+    years = F.concat(
+        F.when(marked, bind(F.split(low, COPYRIGHT_MARK, -1), after)).otherwise(none),
+        F.when(dashed, F.regexp_extract_all(low, F.lit(YEAR_RANGE), F.lit(2))).otherwise(none),
+    )
+    numbers = F.transform(years, lambda y: y.try_cast("int"))
+    return F.array_max(F.filter(numbers, lambda y: y.between(1995, this_year + 1)))
 
 
 def stack_names(low: Column, cms: Column, builder: Column, modern: Column, jquery: Column,

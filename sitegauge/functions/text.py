@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,15 +57,43 @@ def decode_numeric_entities(text: Column) -> Column:
     return bind(text, _decode_numeric)
 
 
+def character(point: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none. Made of its UTF-8 bytes, so nothing can fail."""
+
+    def tail(shift: int) -> Column:
+        return F.lit(0x80).bitwiseOR(F.shiftright(p, shift).bitwiseAND(F.lit(63)))
+
+    none = (point < 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    p = F.when(F.coalesce(none, F.lit(True)), F.lit(0xFFFD)).otherwise(point).cast("int")
+    two = (F.shiftright(p, 6) + 0xC0) * 256 + tail(0)
+    three = ((F.shiftright(p, 12) + 0xE0) * 256 + tail(6)) * 256 + tail(0)
+    four = (((F.shiftright(p, 18) + 0xF0).cast("long") * 256 + tail(12)) * 256 + tail(6)) * 256 + tail(0)
+    code = F.when(p < 0x80, F.lpad(F.hex(p), 2, "0")).when(p < 0x800, F.hex(two)).when(p < 0x10000, F.hex(three)).otherwise(F.hex(four))
+    return F.unhex(code).cast("string")
+
+
+def _number(code: Column) -> Column:
+    """Digits as a number; null beyond nine of them, which is no code point."""
+    digits = F.regexp_replace(code, "^0+(?=\\d)", "")
+    return F.when(F.length(digits) <= 9, digits.cast("int"))
+
+
 def _decode_numeric(text: Column) -> Column:
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
+    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(5[56]\d{3});&#(5[67]\d{3});"), F.lit(0)))
+
+    def put_pair(acc: Column, pair: Column) -> Column:
+        high, low = F.substring(pair, 3, 5).cast("int"), F.substring(pair, 11, 5).cast("int")
+        point = (high - 0xD800) * 1024 + (low - 0xDC00) + 0x10000
+        fits = high.between(0xD800, 0xDBFF) & low.between(0xDC00, 0xDFFF)
+        return F.when(fits, F.replace(acc, pair, character(point))).otherwise(acc)
+
+    codes = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d+);"), F.lit(1)))
 
     def put(acc: Column, code: Column) -> Column:
-        unit = F.try_to_number(code, F.lit("9" * 18)).cast("long") % 65536
-        char = F.decode(F.unhex(F.lpad(F.hex(unit), 4, "0")), "UTF-16BE")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), F.coalesce(char, F.lit("")))
+        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), character(_number(code)))
 
-    return F.when(text.contains("&#"), F.aggregate(codes, text, put)).otherwise(text)
+    whole = lambda t: F.aggregate(codes(t), t, put)
+    return F.when(text.contains("&#"), bind(F.aggregate(pairs, text, put_pair), whole)).otherwise(text)
 
 
 def decode_named_entities(text: Column) -> Column:
@@ -142,14 +171,6 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-def head(text: Column, n: int) -> Column:
-    return F.left(text, F.lit(n))
-
-
-def tail(text: Column, n: int) -> Column:
-    return F.right(text, F.lit(n))
-
-
 def transliterate(text: Column) -> Column:
     """Cyrillic letters to Latin ones, lower and upper case alike to lower case Latin."""
     out = text
@@ -184,10 +205,21 @@ def name_key(text: Column) -> Column:
     return out
 
 
+@lru_cache(1)
+def _plain_letters() -> dict[str, str]:
+    """Every letter whose full decomposition begins with a Latin letter, and that letter."""
+    pairs = {}
+    for c in map(chr, range(0xC0, 0x30000)):
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            first = unicodedata.normalize("NFD", c)[0]
+            if first.isascii() and first.isalpha():
+                pairs[c] = first
+    return pairs
+
+
 def unaccent(text: Column) -> Column:
     """Strip accents of Latin letters (the letters a Unicode decomposition would split)."""
-    letters = [c for c in map(chr, range(0xC0, 0x250)) if unicodedata.decomposition(c)[:1] == "0"]
-    pairs = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+    pairs = _plain_letters()
     return F.translate(text, "".join(pairs), "".join(pairs.values()))
 
 

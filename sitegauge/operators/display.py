@@ -1,4 +1,4 @@
-"""Published row: display cells, their parse-back, type labels, and the brief."""
+"""Published row: display cells, their parse-back, and type labels."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sitegauge import texts
 from sitegauge.functions.evidence import as_text
 from sitegauge.functions.address import city_of, location_label, state_of
-from sitegauge.functions.text import capitalize, phrase, plural
+from sitegauge.functions.text import capitalize
 from sitegauge.functions.urls import maps_url, report_cell
+from sitegauge.operators.brief import brief
 from sitegauge.operators.effort import difficulty, stars_text
 from sitegauge.operators.notes import warning_note
 from sitegauge.params import DEFAULT, Preset
@@ -94,164 +95,6 @@ def sheet_date(cell: Column) -> Column:
     return F.when((n > 20_000) & (n < 100_000), F.date_format(date, "dd.MM.yyyy")).otherwise(text)
 
 
-# --- the brief: four sentences and a person's note ------------------------------
-def _sentence_business(p: dict[str, Column]) -> Column:
-    label = type_label(p["type_label"])
-    what = F.when((label != "") & (label != texts.DASH), F.lower(label)).otherwise("бізнес")
-    location = p["location"]
-    where = F.when(
-        (F.coalesce(location, F.lit("")) != "") & (location != texts.DASH),
-        F.concat(F.lit(", "), F.regexp_replace(location, r"\s*\(.*\)$", "")),
-    ).otherwise("")
-    n = p["reviews"]
-    fame = F.when(n >= 200, ", дуже помітний у своєму районі").when(n >= 60, ", стабільний потік клієнтів").otherwise("")
-    rated = F.concat(
-        phrase(" — %s★ з %s ", number_text(p["rating"]), n), plural(n, "відгуку", "відгуків", "відгуків"), fame
-    )
-    counted = F.concat(phrase(" — %s ", n), plural(n, "відгук", "відгуки", "відгуків"))
-    social = F.when(p["rating"].isNotNull() & (n > 0), rated).when(n > 0, counted).otherwise("")
-    return F.concat(capitalize(what), where, social, F.lit("."), F.coalesce(p["language_note"], F.lit("")))
-
-
-def _sentence_site(p: dict[str, Column], a: Column) -> Column:
-    seen = p["seen_by_speed_test"]
-    platform = F.coalesce(a["builder"], a["cms"], a["modern_framework"])
-    pages, kinds = a["page_count"], a["unique_page_types"]
-    bits = F.array_compact(F.array(
-        F.when(platform.isNotNull(), F.concat(F.lit("зроблений на "), platform)).when(
-            F.size(a["tech_stack"]) > 0,
-            F.concat(F.lit("зібраний на "), F.array_join(F.slice(a["tech_stack"], 1, 2), " + ")),
-        ),
-        F.when(pages > 1, F.concat(pages.cast("string"), F.lit(" "), plural(pages, "сторінка", "сторінки", "сторінок"))),
-        F.when(
-            (pages >= 6) & (kinds >= 3) & (kinds / pages <= 0.6),
-            F.concat(kinds.cast("string"), F.lit(" "), plural(kinds, "тип", "типи", "типів"), F.lit(" сторінок")),
-        ),
-    ))
-    can = F.array_compact(F.array(
-        F.when(
-            a["has_ecommerce"],
-            F.when(is_retail(p["type_label"]), "інтернет-магазин").otherwise("модуль магазину (може бути неактивний)"),
-        ).when(a["has_catalog"], "каталог або меню"),
-        F.when(a["has_forms"], "форми заявок"),
-        F.when(
-            a["languages"] > 1,
-            F.concat(a["languages"].cast("string"), F.lit(" "), plural(a["languages"], "мова", "мови", "мов")),
-        ),
-    ))
-    head = F.when(F.size(bits) > 0, F.concat(F.lit("Сайт "), F.array_join(bits, ", "))).otherwise("Сайт")
-    rest = F.when(F.size(can) > 0, F.concat(F.lit(", є "), F.array_join(can, ", "))).otherwise("")
-    failed = a["fetch_error"].isNotNull() | F.coalesce(a["http_status"] >= 500, F.lit(False))
-    return (
-        F.when(p["website"].isNull(), "Сайту немає взагалі — тільки картка в Google Maps.")
-        .when(a.isNull(), "Сайт вказано, але прочитати його не вдалось.")
-        .when(
-            p["site_status"] == "blocked",
-            "Сайт закритий захистом від ботів — ми його не бачили, тому нічого про нього не стверджуємо. "
-            "Відкрий очима перед дзвінком.",
-        )
-        .when(failed & seen, "Наш робот не зміг прочитати сайт, хоча Google його бачить — перед дзвінком відкрий очима.")
-        .when(failed, "Сайт зазначений у Google, але не відкривається — фактично бізнес в інтернеті без вітрини.")
-        .when((F.size(bits) == 0) & (F.size(can) == 0), "Сайт односторінковий, без каталогу й форм — по суті візитівка.")
-        .otherwise(F.concat(head, rest, F.lit(".")))
-    )
-
-
-def _sentence_problems(p: dict[str, Column], a: Column, year: int) -> Column:
-    readable = a.isNotNull() & a["fetch_error"].isNull()
-    no = lambda x: readable & ~F.coalesce(x, F.lit(False))
-    yes = lambda x: readable & F.coalesce(x, F.lit(False))
-    age = F.lit(year) - a["footer_year"]
-    bad = F.array_compact(F.array(
-        F.when(no(a["has_viewport"]), "не адаптивний — на телефоні його треба розтягувати пальцями"),
-        F.when(no(a["https"]), "без HTTPS: Chrome пише «Не захищено» просто в адресному рядку"),
-        F.when(yes(a["tls_expired"]), "прострочений SSL-сертифікат"),
-        F.when(yes(a["mixed_content"]), "змішаний контент — браузер лається на небезпечні файли"),
-        F.when(yes(a["has_flash"]), "на сайті ще лишився Flash, який мертвий з 2020 року"),
-        F.when(yes(a["table_layout"]), "верстка таблицями — прийом із початку 2000-х"),
-        F.when(yes(a["jquery_version"].startswith("1.")), phrase("jQuery %s — версія віком понад 10 років", a["jquery_version"])),
-        F.when(
-            yes(age >= 3),
-            F.concat(
-                phrase("у футері %s — сайт не чіпали %s ", a["footer_year"], age), plural(age, "рік", "роки", "років")
-            ),
-        ),
-        F.when(
-            readable & (F.coalesce(a["meta_description"], F.lit("")) == "") & ~F.coalesce(a["og_tags"], F.lit(False)),
-            "нема опису для Google і прев'ю для соцмереж",
-        ),
-        F.when(
-            p["lcp_ms"] > 4000,
-            F.concat(F.lit("головний екран з'являється аж через "), F.format_string("%.1f", p["lcp_ms"] / 1000), F.lit(" с")),
-        ),
-        F.when(p["mobile_score"] < 40, phrase("оцінка Google для мобільних %s зі 100", p["mobile_score"])),
-    ))
-    said = F.concat(F.lit("Проблеми: "), F.array_join(F.slice(bad, 1, 3), "; "), F.lit("."))
-    silent = p["website"].isNull() | (p["site_status"] == "blocked") | (F.size(bad) == 0)
-    return F.when(~silent, said)
-
-
-def _sentence_hook(p: dict[str, Column], a: Column) -> Column:
-    seen = p["seen_by_speed_test"]
-    many = F.when(F.coalesce(p["reviews"], F.lit(0)) >= 50, " і активно туди пишуть").otherwise("")
-    markers = F.when(
-        seen, F.filter(p["dated_markers"], lambda m: ~m.contains("не відкривається"))
-    ).otherwise(p["dated_markers"])
-    return (
-        F.when(
-            p["website"].isNull(),
-            F.concat(
-                F.lit("Зачіпка: бізнес шукають у Google Maps"), many,
-                F.lit(", але перейти нікуди — кожен такий клієнт іде до конкурента з сайтом."),
-            ),
-        )
-        .when(
-            p["site_status"] == "blocked",
-            "Зачіпка: спершу відкрий сайт сам. Якщо він сучасний — це не наш клієнт, і краще дізнатись це до "
-            "дзвінка, а не під час.",
-        )
-        .when(a["fetch_error"].isNotNull() & ~seen, "Зачіпка: посилання з Google веде в нікуди — це видно за 5 секунд прямо під час дзвінка.")
-        .when(
-            a.isNotNull() & a["fetch_error"].isNull() & ~F.coalesce(a["has_viewport"], F.lit(False)),
-            "Зачіпка: більшість заходів із Google Maps — з телефона, а саме на телефоні сайт розсипається. "
-            "Показати екран і мовчати.",
-        )
-        .when(p["lcp_ms"] > 8000, "Зачіпка: відкрити сайт разом із клієнтом і порахувати вголос секунди до появи вмісту.")
-        .when(
-            a["builder"].isNotNull(),
-            phrase("Зачіпка: за %s власник уже платить щомісяця — розмова не про «нову витрату», а про заміну наявної.", a["builder"]),
-        )
-        .when(
-            F.size(markers) > 0,
-            phrase("Зачіпка: %s — видно неозброєним оком, доводити нічого не треба.", F.get(markers, F.lit(0))),
-        )
-        .otherwise("Зачіпка: сайт робочий, але візуально відстав — заходити варто через дизайн і довіру, а не через поломки.")
-    )
-
-
-def _manual_sentence(note: Column) -> Column:
-    return (
-        F.when(
-            note.startswith("ручний розбір"),
-            F.concat(F.lit("Перевірено вручну: "), F.regexp_replace(note, r"^ручний розбір:\s*", ""), F.lit(".")),
-        ).when(note.startswith("увага:"), F.concat(capitalize(note), F.lit(".")))
-    )
-
-
-def brief(a: Column, columns: dict[str, Column], preset: Preset = DEFAULT) -> Column:
-    """Four sentences and the manual note; a fact that is missing gives no sentence.
-
-    ``columns``: type_label, location, rating, reviews, website, site_status,
-    dated_markers, mobile_score, desktop_score, lcp_ms, note, language_note.
-    """
-    p = dict(columns)
-    p["seen_by_speed_test"] = p["mobile_score"].isNotNull() | p["desktop_score"].isNotNull()
-    return F.concat_ws(
-        " ", _sentence_business(p), _sentence_site(p, a), _sentence_problems(p, a, preset.year),
-        _manual_sentence(F.coalesce(p["note"], F.lit(""))), _sentence_hook(p, a),
-    )
-
-
 def export_rows(state: DataFrame, preset: Preset = DEFAULT, language_notes: dict[str, str] | None = None) -> DataFrame:
     """The 23 machine columns of a publication.
 
@@ -268,16 +111,19 @@ def export_rows(state: DataFrame, preset: Preset = DEFAULT, language_notes: dict
     dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(texts.DASH))
     notes = _map(language_notes)[lang] if language_notes else F.lit(None).cast("string")
     has_audit = a.isNotNull()
+    label = type_label(raw_label)
+    known = F.when((label != "") & (label != texts.DASH), label)
+    place = F.when(location != texts.DASH, F.regexp_replace(location, r"\s*\(.*\)$", ""))
     text = brief(
         a,
         {
-            "type_label": raw_label, "location": location, "rating": F.col("rating"),
-            "reviews": F.col("user_rating_count"), "website": website, "site_status": q["status"],
-            "dated_markers": q["dated_markers"], "mobile_score": F.col("mobile_score"),
-            "desktop_score": F.col("desktop_score"), "lcp_ms": F.col("lcp_ms"),
-            "note": warning_note(F.col("bucket"), F.col("reject_reason")), "language_note": notes,
+            "kind": capitalize(F.coalesce(known, F.lit(texts.SOME_BUSINESS))), "retail": is_retail(raw_label), "location": place,
+            "rating": number_text(F.col("rating")), "reviews": F.col("user_rating_count"), "website": website, "site_status": q["status"],
+            "dated_markers": q["dated_markers"], "mobile_score": F.col("mobile_score"), "desktop_score": F.col("desktop_score"),
+            "lcp_ms": F.col("lcp_ms"), "note": F.coalesce(warning_note(F.col("bucket"), F.col("reject_reason")), F.lit("")),
+            "language_note": notes,
         },
-        preset,
+        preset.year,
     )
     cells = (
         F.col("place_id"), F.col("name"),

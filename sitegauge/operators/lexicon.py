@@ -24,15 +24,22 @@ ROLES = ("target_a", "target_b", "major_a", "major_b", "minor", "curated", "cura
 def prepare_lexicon(titles: DataFrame) -> DataFrame:
     """Titles ``(lexicon, role, title)`` to distinct keys; service pages and phrases dropped.
 
-    Copies of a title are dropped first, so that each spelling is normalised once.
+    Each spelling is normalised once, however many lists and roles hold it.
     """
     one_word = ~F.col("title").contains(":") & ~F.trim("title").rlike(r"\s")
     spellings = titles.where(one_word).select("lexicon", "role", "title").distinct()
-    # The length test sits inside the exploded array: as a filter it would be moved below
-    # the projection and every word would be normalised twice.
-    long_enough = F.filter(F.array(name_key(F.col("title"))), lambda k: F.length(k) >= MIN_KEY)
-    keyed = spellings.select("lexicon", "role", F.explode_outer(long_enough).alias("key"))
-    return keyed.where(F.col("key").isNotNull()).distinct()
+    keys = keyed_words(spellings.select("title").distinct(), "title")
+    return spellings.join(keys, "title").select("lexicon", "role", "key").distinct()
+
+
+def keyed_words(words: DataFrame, word: str) -> DataFrame:
+    """(word, key) of distinct words whose key is long enough.
+
+    The length test sits inside the exploded array: as a filter it would be moved below
+    the projection and every word would be normalised twice.
+    """
+    long_enough = F.filter(F.array(name_key(F.col(word))), lambda k: F.length(k) >= MIN_KEY)
+    return words.select(word, F.explode(long_enough).alias("key"))
 
 
 def key_verdicts(lexicon: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ class Cascade:
     negative_patterns: Sequence[str] = ()
     strong_suffix: str | None = None
     weak_suffix: str | None = None
-    max_len: int = 60
+    max_len: int | None = None
     min_len: int = field(default=3)
 
     @property
@@ -127,19 +134,19 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     verdict, and last the ending of the raw last word unless a big list holds it.
     """
     base = texts.select(id_col, F.trim(F.col(text_col)).alias("_text"))
-    keys = F.filter(
-        F.transform(F.split("_text", TOKEN_SPLIT), lambda w: name_key(w)), lambda k: F.length(k) >= MIN_KEY
-    )
-    listed = base.select(id_col, keys.alias("_keys"))
-    tokens = listed.select(id_col, F.size("_keys").alias("_n"), F.posexplode("_keys").alias("pos", "key"))
-    hits = lookup(tokens, key_verdicts(lexicon), salt)
+    # Keys are made once for each distinct word and joined back to the words' places.
+    spoken = base.select(id_col, F.posexplode(F.split("_text", TOKEN_SPLIT)).alias("pos", "word"))
+    keys = keyed_words(spoken.select("word").distinct(), "word")
+    tokens = spoken.join(keys, "word").select(id_col, "pos", "key")
+    last = tokens.groupBy(id_col).agg(F.max("pos").alias("_last"))
+    hits = lookup(tokens, key_verdicts(lexicon), salt).join(last, id_col)
     by_text = hits.groupBy(id_col).agg(
         F.max("curated").alias("curated"),
         F.max("curated_second").alias("curated_second"),
         F.max("negative").alias("negative"),
         F.max(F.col("verdict") == "exclusive").alias("exclusive"),
         F.max(F.col("verdict") == "shared").alias("shared"),
-        F.max((F.col("pos") == F.col("_n") - 1) & (F.col("major_a") | F.col("major_b"))).alias("vetoed"),
+        F.max((F.col("pos") == F.col("_last")) & (F.col("major_a") | F.col("major_b"))).alias("vetoed"),
     )
     words = F.filter(F.split(F.col("_text"), TOKEN_SPLIT), lambda w: F.length(w) >= MIN_KEY)
     last_word = F.get(words, F.size(words) - 1)
@@ -149,7 +156,8 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     )
     no = result(False, False, "none")
     n = F.length("_text")
-    out = F.when((n < rules.shortest) | (n > rules.max_len) | F.col("_text").isNull(), no)
+    too_long = n > rules.max_len if rules.max_len is not None else F.lit(False)
+    out = F.when((n < rules.shortest) | too_long | F.col("_text").isNull(), no)
     if rules.business and rules.block_words:
         out = out.when(F.lower("_text").isin(*[w.lower() for w in rules.block_words]), no)
     out = out.when(flag("curated"), result(True, True, "list"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegauge.functions.evidence import evidence, item_when
-from sitegauge.functions.text import clamp, collapse, phrase
+from sitegauge.functions.text import clamp, collapse, drop_tags, phrase
 
 # --- fixed values -----------------------------------------------------------
 LD_JSON = r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""
@@ -25,7 +25,6 @@ WINDOW = 40
 COPYRIGHT_WORD = (
     r"(?:©|&copy;|copyright)\s*(?:\d{4}(?:\s*[-–]\s*\d{4})?)?\s*([A-Z][A-Za-z'’\-]{2,24})"
 )
-COPYRIGHT_TAIL = 8000
 SURE_SOURCES = ("structured", "script")
 SURE_SCORE, OTHER_SCORE = 30, 25
 # --- end of fixed values ----------------------------------------------------
@@ -100,8 +99,7 @@ def without_stop_words(candidates: Column, stop_words: Sequence[str]) -> Column:
 
 
 def copyright_words(html: Column) -> Column:
-    foot = F.regexp_replace(F.right(html, F.lit(COPYRIGHT_TAIL)), r"<[^>]+>", " ")
-    return F.regexp_extract_all(foot, F.lit(COPYRIGHT_WORD), F.lit(1))
+    return F.regexp_extract_all(drop_tags(html, " "), F.lit(COPYRIGHT_WORD), F.lit(1))
 
 
 def email_words(emails: Column) -> Column:

@@ -123,21 +123,31 @@ class Decision:
     place_id: str | None = None
 
 
+def by_prefix(rows: DataFrame, name: str, prefixes: DataFrame, prefix: str, letters: int = 4) -> DataFrame:
+    """Rows joined to the prefixes that their name begins with, in lower case.
+
+    Equal first letters are joined, the rest is tested, so the plan is the same for any number of prefixes. Shorter
+    prefixes meet the names by as many letters as they have; there are at most ``letters`` lengths.
+    """
+    wanted = prefixes.withColumn("_p", F.lower(prefix)).withColumn("_n", F.least(F.length("_p"), F.lit(letters)))
+    wanted = wanted.withColumn("_k", F.left("_p", F.col("_n")))
+    low = F.lower(F.col(name))
+    keyed = rows.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(letters)))).withColumn("_k", F.left(low, F.col("_n")))
+    return keyed.join(wanted, ["_n", "_k"]).where(low.startswith(F.col("_p"))).drop("_n", "_k", "_p")
+
+
 def resolve_decisions(places: DataFrame, decisions: Sequence[Decision]) -> DataFrame:
     """Hand decisions to place keys: by key if given, else by name prefix.
 
     Every decision comes back once: ``matches`` tells how many places it fits and only
     those with exactly one carry a ``place_id``; ambiguous ones are left to a person.
     """
-    name = F.lower(F.col("name"))
-    tests = []
-    for i, d in enumerate(decisions):
-        cond = F.col("place_id") == d.place_id if d.place_id else name.startswith(d.name.lower())
-        tests.append(F.when(cond, F.lit(i)))
-    matched = places.select("place_id", F.explode(F.array_compact(F.array(*tests))).alias("idx"))
+    rows = [(i, d.name, d.verdict, d.why, d.place_id) for i, d in enumerate(decisions)]
+    listed = places.sparkSession.createDataFrame(rows, "idx int, name string, verdict string, reason string, _key string")
+    by_key = places.select("place_id").join(listed.select("idx", F.col("_key").alias("place_id")), "place_id").select("idx", "place_id")
+    named = listed.where(F.col("_key").isNull()).select("idx", F.col("name").alias("prefix"))
+    matched = by_key.unionByName(by_prefix(places, "name", named, "prefix").select("idx", "place_id"))
     per = matched.groupBy("idx").agg(F.count("*").alias("matches"), F.min("place_id").alias("_one"))
-    rows = [(i, d.name, d.verdict, d.why) for i, d in enumerate(decisions)]
-    listed = places.sparkSession.createDataFrame(rows, "idx int, name string, verdict string, reason string")
     return listed.join(per, "idx", "left").select(
         "idx", "name", "verdict", "reason",
         F.coalesce("matches", F.lit(0)).alias("matches"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.evidence import evidence, item_when
 from sitegauge.functions.text import count_class, fingerprint, html_to_text, phrase
 from sitegauge.params import DEFAULT, LanguageProfile, Preset
+from sitegauge.session import reliable, spread
 
 # --- fixed values -----------------------------------------------------------
 SOFT_404 = (
@@ -52,10 +53,14 @@ def baselines(facts: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_routes(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
-    """Candidate routes that really serve another version in the target script."""
+def stored_answers(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
+    """:func:`answer_facts`, written once: comparisons join these narrow rows, and no body is read twice."""
+    return reliable(answer_facts(spread(responses), preset.language))
+
+
+def confirmed_routes(facts: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
+    """Candidate routes that really serve another version in the target script, of :func:`stored_answers`."""
     profile = preset.language
-    facts = answer_facts(responses, profile)
     honest = F.coalesce(F.col("honest_404"), F.lit(False))
     junk_len = F.coalesce(F.col("junk_len"), F.lit(0))
     return (
@@ -86,10 +91,9 @@ def route_evidence(routes: DataFrame) -> DataFrame:
     )
 
 
-def negotiated(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
+def negotiated(facts: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
     """Sites that answer a language preference with another page in the target script."""
     profile = preset.language
-    facts = answer_facts(responses, profile)
     return (
         facts.where(F.col("role") == "negotiated")
         .join(baselines(facts).select("place_id", "home_fp"), "place_id")

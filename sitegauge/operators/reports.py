@@ -221,7 +221,7 @@ def top_labels(rows: DataFrame, key: Column, top: int = 8) -> DataFrame:
     cut = F.when(
         F.length("label") > LABEL_CHARS, F.concat(F.left("label", F.lit(LABEL_CHARS - 1)), F.lit("…"))
     ).otherwise(F.col("label"))
-    return counted.orderBy(F.col("n").desc(), "label").limit(top).select(cut.alias("label"), "n")
+    return counted.orderBy(F.col("n").desc(), "label").limit(top).select(cut.alias("label"), F.col("label").alias("full_label"), "n")
 
 
 # A16
@@ -363,8 +363,8 @@ def lead_listing(state: DataFrame, scores: DataFrame, audits: DataFrame, top: in
 
 
 # O3
-def sorted_rows(rows: DataFrame, key: str, top: int) -> DataFrame:
-    """First rows in one of the five panel orders."""
+def sorted_rows(rows: DataFrame, key: str, top: int | None = None) -> DataFrame:
+    """All rows in one of the five panel orders, or the first ``top`` of them."""
     orders = {
         "site_score": F.coalesce("site_score", F.lit(0)).asc(),
         "reviews": F.coalesce("user_rating_count", F.lit(0)).desc(),
@@ -372,7 +372,5 @@ def sorted_rows(rows: DataFrame, key: str, top: int) -> DataFrame:
         "difficulty": F.coalesce("stars", F.lit(0)).desc(),
         "name": F.coalesce("name", F.lit("")).asc(),
     }
-    return rows.orderBy(orders[key], "place_id").limit(top)
-
-
-MAX_BOOST = MAX_REVIEW_BOOST
+    ordered = rows.orderBy(orders[key], "place_id")
+    return ordered if top is None else ordered.limit(top)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.text import short_id
-from sitegauge.operators.ranking import top_per_group
+from sitegauge.operators.ranking import global_row_number
 from sitegauge.params import DEFAULT, FREE_TIER, Preset
 
 # --- fixed values -----------------------------------------------------------
@@ -132,24 +132,18 @@ def usage_by_month(log: DataFrame, caps: dict[str, int] | None = None) -> DataFr
 
 
 def quota_cut(log: DataFrame, caps: dict[str, int], key: str = "event_id") -> DataFrame:
-    """Which calls a monthly cap lets through: the first ``cap`` of each (api, month).
+    """Which calls a monthly cap lets through: the first ``cap`` of each (api, month), whatever the cap.
 
-    Only ``cap`` rows per task and group are shuffled to find the last admitted call;
-    the rest is one comparison against that row.
+    Capped calls are numbered over range partitions, so no task holds a whole (api, month).
     """
     free = {api: min(cap, FREE_TIER.get(api, cap)) for api, cap in caps.items()}
     calls = log.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn(
         "cap", F.create_map(*[F.lit(x) for kv in free.items() for x in kv])[F.col("api")]
     )
-    most = max(free.values())
-    admitted = top_per_group(calls.select("api", "month", "cap", "ts", key), ["api", "month"], [F.col("ts"), F.col(key)], most)
-    last = admitted.where(F.col("rank") <= F.col("cap")).groupBy("api", "month").agg(
-        F.max(F.struct("ts", key)).alias("_last")
-    )
-    return calls.join(last, ["api", "month"], "left").withColumn(
-        "admitted",
-        F.col("cap").isNull() | F.coalesce(F.struct("ts", key) <= F.col("_last"), F.lit(False)),
-    ).drop("_last")
+    capped = calls.where(F.col("cap").isNotNull())
+    numbered = global_row_number(capped, ["api", "month"], [F.col("ts"), F.col(key)], "_number")
+    admitted = numbered.withColumn("admitted", F.col("_number") <= F.col("cap")).drop("_number")
+    return admitted.unionByName(calls.where(F.col("cap").isNull()).withColumn("admitted", F.lit(True)))
 
 
 def remaining(used: Column, cap: int, api: str) -> Column:

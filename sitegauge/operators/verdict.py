@@ -9,6 +9,7 @@ from sitegauge import texts
 from sitegauge.functions.evidence import empty, or_empty, strongest, strongest_counts, total
 from sitegauge.functions.text import clamp, phrase
 from sitegauge.operators.filters import all_types, excluded_type
+from sitegauge.operators.merge import by_prefix
 from sitegauge.params import DEFAULT, MAX_REVIEW_BOOST, Preset
 
 # --- fixed values -----------------------------------------------------------
@@ -185,20 +186,15 @@ def promote_without_site(state: DataFrame, not_business: tuple[str, ...] = (),
 def pick_by_prefix(state: DataFrame, picks: list[tuple[str, str]]) -> DataFrame:
     """Hand-picked names to pins, guarded: only unread sites or scores up to 6 pass.
 
-    ``picks`` is a list of (name prefix, why); it is a person's list, so it becomes a
-    ``when`` chain and the big table is neither shuffled nor joined.
+    ``picks`` is a list of (name prefix, why), of any length; the first that fits counts.
     """
-    name = F.lower(F.col("name"))
-    why = None
-    for prefix, reason in picks:
-        cond = name.startswith(prefix.lower())
-        why = F.when(cond, reason) if why is None else why.when(cond, reason)
+    listed = state.sparkSession.createDataFrame([(i, p, w) for i, (p, w) in enumerate(picks)], "_i int, _prefix string, _why string")
     unread = ~F.col("has_audit") | F.col("fetch_error").isNotNull()
     score = F.coalesce(F.col("site_score"), F.lit(10))
+    open_ = state.where(F.col("bucket").isin("manual", "pending"))
+    first = by_prefix(open_.select("place_id", "name"), "name", listed, "_prefix").groupBy("place_id").agg(F.min_by("_why", "_i").alias("why"))
     return (
-        state.where(F.col("bucket").isin("manual", "pending"))
-        .withColumn("why", why)
-        .where(F.col("why").isNotNull())
+        open_.join(first, "place_id")
         .withColumn("passes", unread | (score <= 6))
         .withColumn(
             "state",

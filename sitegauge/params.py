@@ -151,7 +151,6 @@ class Preset:
     max_place_details: int = 950
     tiers: tuple[str, ...] = ("A", "B", "C")
     # The page foot is where a copyright year is looked for.
-    footer_chars: int = 12_000
 
     @property
     def year(self) -> int:

@@ -62,8 +62,8 @@ facts AS (
          WHEN regexp_matches(low, '___gatsby|page-data\\.json') THEN 'Gatsby'
          WHEN regexp_matches(low, 'class=["''][^"'']*\\b(?:md|lg):(?:flex|grid|hidden|w-|px-|py-)') THEN 'Tailwind (JIT build)' END AS modern_framework,
     list_max(list_filter(list_transform(list_concat(
-        regexp_extract_all(right(html, 12000), '(?i)(?:©|&copy;|copyright|\\(c\\))[^<>]{{0,60}}?((?:19|20)\\d{{2}})', 1),
-        regexp_extract_all(right(html, 12000), '((?:19|20)\\d{{2}})\\s*(?:—|-|–)\\s*((?:19|20)\\d{{2}})', 2)),
+        regexp_extract_all(html, '(?i)(?:©|&copy;|copyright|\\(c\\))[^<>]*?((?:19|20)\\d{{2}})', 1),
+        regexp_extract_all(html, '((?:19|20)\\d{{2}})\\s*(?:—|-|–)\\s*((?:19|20)\\d{{2}})', 2)),
       lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1995 AND 2027)) AS footer_year
   FROM pg)
 """
@@ -98,7 +98,7 @@ structure AS (
            OR regexp_matches(html, '(?i)/(menu|shop|store|catalog|catalogue|products?|services?|prices?|pricing|portfolio|gallery)\\b') AS has_catalog,
          len(list_filter(ps, lambda p: regexp_matches(p, '(?i)/(cart|checkout|basket)\\b'))) > 0
            OR regexp_matches(html, '(?i)add[- _]?to[- _]?cart|woocommerce-cart|wc-block-cart|data-product-id|snipcart|shopping[- _]?cart|plugins/woocommerce') AS has_ecommerce,
-         regexp_matches(html, '(?i)<form[^>]*>[\\s\\S]{0,1000}?<(?:input|textarea)') AS has_forms,
+         len(list_filter(string_split(lower(html), '<form')[2:], lambda p: contains(split_part(p, '</form', 1), '>') AND regexp_matches(split_part(p, '</form', 1), '<(?:input|textarea)'))) > 0 AS has_forms,
          greatest(1, len(list_distinct(list_filter(list_transform(ps, lambda p: lower(regexp_extract(p, '(?i)^/(ru|uk|ua|en|es|pl)(?:/|$)', 1))), lambda c: c <> '')))) AS languages
   FROM paths)
 """
@@ -159,7 +159,7 @@ def normalized(html: str = "html") -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-EMAIL = "[A-Za-z0-9_][A-Za-z0-9._%+\\-]{0,63}@[A-Za-z0-9\\-]{1,63}(?:\\.[A-Za-z0-9\\-]{1,63}){0,4}\\.[A-Za-z]{2,12}\\b"
+EMAIL = "[A-Za-z0-9_][A-Za-z0-9._%+\\-]*@(?:[A-Za-z0-9\\-]+\\.)+[A-Za-z]{2,}\\b"
 BLOCKED = (
     "(?i)@(?:example|sentry|wixpress|squarespace|godaddy|schema|w3|sentry\\.io|2x|domain)\\."
     "|\\.(?:png|jpg|jpeg|gif|svg|webp|css|js)$"
@@ -170,7 +170,7 @@ BLOCKED = (
 def addresses(text: str) -> str:
     """Valid plain addresses of a text, lower case, in order."""
     found = f"list_transform(regexp_extract_all({text}, '\\b{EMAIL}'), lambda e: lower(e))"
-    return f"list_filter({found}, lambda e: length(e) < 80 AND NOT regexp_matches(e, '{BLOCKED}'))"
+    return f"list_filter({found}, lambda e: NOT regexp_matches(e, '{BLOCKED}'))"
 
 
 def stripped(text: str) -> str:
@@ -191,15 +191,15 @@ RANK = (
 
 
 def email_ctes(source: str, key: str, text: str) -> str:
-    """CTE ``best`` (key, emails) of the five best addresses per row."""
+    """CTE ``best`` (key, emails) of the addresses per row, best first."""
     return f"""
 sure AS (SELECT {key}, {text} AS body, list_concat(
-            list_filter(list_transform(regexp_extract_all({text}, '(?i)mailto:([^"''?>\\s]{{3,120}})', 1), lambda m: trim(lower(url_decode(m)))),
-                        lambda e: length(e) < 80 AND contains(e, '@') AND NOT regexp_matches(e, '{BLOCKED}')),
+            list_filter(list_transform(regexp_extract_all({text}, '(?i)mailto:([^"''?>\\s]{{3,}})', 1), lambda m: trim(lower(url_decode(m)))),
+                        lambda e: contains(e, '@') AND NOT regexp_matches(e, '{BLOCKED}')),
             {addresses(stripped(text))}) AS found FROM {source}),
 picked AS (SELECT {key}, CASE WHEN len(found) > 0 THEN found ELSE {addresses(spelled(stripped('body')))} END AS found FROM sure),
 each AS (SELECT {key}, e, min(i) AS i FROM (SELECT {key}, unnest(found) AS e, generate_subscripts(found, 1) AS i FROM picked) GROUP BY {key}, e),
 best AS (SELECT {key}, string_agg(e, ',' ORDER BY r) AS emails, CAST(max(total) AS BIGINT) AS total FROM (
             SELECT {key}, e, row_number() OVER (PARTITION BY {key} ORDER BY {RANK}, i) AS r,
-                   count(*) OVER (PARTITION BY {key}) AS total FROM each) WHERE r <= 5 GROUP BY {key})
+                   count(*) OVER (PARTITION BY {key}) AS total FROM each) GROUP BY {key})
 """

@@ -11,7 +11,7 @@ from sitegauge.plans.inputs import prelude, table
 from sitegauge.streaming import progress, sightings
 
 HALF = "2024-01-16"
-CAPS = {"text_search": 980, "place_details": 950}
+CAPS = {"text_search": 980, "place_details": 950, "psi": 25_000}
 FACTS = ("value", "props")
 CONTEXT = ("event_type",)
 
@@ -146,7 +146,7 @@ ORACLES = {
     "status_changes": f"SELECT user_id AS place_id, arg_max(props, {_AT}) FILTER (event_type = 'purchase') AS status, arg_max(event_type, {_AT}) AS owner, max(ts) AS date, 'e' || arg_max(event_id, {_AT}) FILTER (event_type = 'error') AS note FROM events GROUP BY user_id",
     "usage_by_month": f"{_LOG}, u AS (SELECT api, strftime(ts, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS used, CASE api WHEN 'text_search' THEN 980 WHEN 'place_details' THEN 950 ELSE 25000 END AS cap FROM usage_log GROUP BY 1, 2) SELECT *, used >= cap AS exhausted FROM u",
     "quota_cut": f"""{_LOG}, r AS (SELECT *, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY api, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS i FROM usage_log)
-        SELECT api, month, i <= CASE api WHEN 'text_search' THEN 980 WHEN 'place_details' THEN 950 ELSE 1000000000 END AS admitted, count(*) AS calls, max(event_id) AS last_event FROM r GROUP BY 1, 2, 3""",
+        SELECT api, month, i <= CASE api WHEN 'text_search' THEN 980 WHEN 'place_details' THEN 950 WHEN 'psi' THEN 25000 ELSE 1000000000 END AS admitted, count(*) AS calls, max(event_id) AS last_event FROM r GROUP BY 1, 2, 3""",
     "quota_warnings": f"{_LOG}, u AS (SELECT api, strftime(ts, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS used FROM usage_log GROUP BY 1, 2) SELECT *, used >= 900 AS warning, greatest(0, 1000 - used) AS left FROM u",
     "running_usage": f"{_LOG} SELECT api, event_id, CAST(sum(n) OVER (PARTITION BY api ORDER BY ts, event_id) AS BIGINT) AS used FROM usage_log",
     "fresh_counts": "SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-20 11:55:00') AS last_5, count(*) FILTER (ts > TIMESTAMP '2024-01-20 11:45:00') AS last_15, count(*) FILTER (ts > TIMESTAMP '2024-01-20 11:00:00') AS last_60, count(*) AS total, max(ts) AS latest FROM events",

@@ -88,7 +88,9 @@ def page_structure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    text = html_to_text(F.col("html"))
+    """Visible text; every page ends in entities: a character in two halves, a high one, half a one, and none."""
+    entities = "<p>&#55357;&#56832; &#128512; &#55357;x &#1234567890; &#169;</p>"
+    text = html_to_text(F.concat("html", F.lit(entities)))
     base = table(spark, sf, "pages").select("page_id", text.alias("t"), F.length("html").alias("n"))
     return base.select(
         "page_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5"),
@@ -135,9 +137,14 @@ def page_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reports.count_by(table(spark, sf, "pages").select(F.split(path, "/")[1].alias("segment")), "segment")
 
 
+def _found(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows with addresses. The exploded array keeps the filter behind the search, which so is done once."""
+    found = rows.select(key, F.explode(F.array(contacts.emails_found(F.col(text)))).alias("found"))
+    return found.where(F.size("found") > 0)
+
+
 def email_extract(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    found = docs.select("doc_id", contacts.emails_found(F.col("text")).alias("found")).where(F.size("found") > 0)
+    found = _found(table(spark, sf, "documents"), "doc_id", "text")
     return found.select(
         "doc_id", F.array_join(contacts.best_emails(F.col("found")), ",").alias("emails"),
         F.size("found").cast("long").alias("total"),
@@ -145,9 +152,7 @@ def email_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_emails(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "pages").select(
-        "page_id", contacts.emails_found(F.col("html")).alias("found")
-    ).where(F.size("found") > 0)
+    found = _found(table(spark, sf, "pages"), "page_id", "html")
     return found.select(
         "page_id", F.array_join(contacts.best_emails(F.col("found")), ",").alias("emails"),
         F.size("found").cast("long").alias("total"),
@@ -228,6 +233,7 @@ QUERIES = {
 _Q = "WITH " + checks.PAGE_FACTS + "," + checks.quality()
 _PATHS = "WITH " + checks.PAGE_PATHS
 _TEXT = checks.visible_text()
+_ENDED = checks.visible_text("(html || '<p>' || chr(128512) || ' ' || chr(128512) || ' ' || chr(65533) || 'x ' || chr(65533) || ' ©</p>')")
 _SWITCH = """(?i)href=["'']([^"'']*(?:/(?:fr|de|at)(?:/|["''?#])|[?&](?:lang|language|locale)=(?:fr|de|at)))"""
 _ROUTE = """(?i)href=["''][^"'']*(?:/([a-z]{2})/|[?&](?:lang|language|locale)=([a-z]{2}))(?:["''?#]|/)"""
 
@@ -284,11 +290,11 @@ ORACLES = {
     "page_metadata": "WITH " + checks.PAGE_FACTS + " SELECT page_id, title, trim(regexp_replace(h1, '\\s+', ' ', 'g')) AS h1, meta_description, has_viewport, og_tags, favicon, charset_declared, https, mixed_content FROM facts",
     "technology": "WITH " + checks.PAGE_FACTS + " SELECT page_id, cms, builder, modern_framework, jquery_version, bootstrap_major, has_flash, table_layout, footer_year FROM facts",
     "page_structure": _PATHS + " SELECT page_id, page_count, unique_page_types, has_catalog, has_ecommerce, has_forms FROM structure",
-    "page_text": f"SELECT page_id, length(t) AS chars, md5(t) AS text_md5, length(t) < 250 AND length(html) > 500 AS empty_shell FROM (SELECT page_id, html, {_TEXT} AS t FROM pages)",
+    "page_text": f"SELECT page_id, length(t) AS chars, md5(t) AS text_md5, length(t) < 250 AND length(html) > 500 AS empty_shell FROM (SELECT page_id, html, {_ENDED} AS t FROM pages)",
     "page_fingerprint": f"SELECT page_id, sha1({checks.normalized()}) AS fp FROM pages",
     "declared_languages": f"WITH {DECLARED} SELECT page_id, html_lang, languages, {_JOINED}, array_to_string(list_transform(ev, lambda e: e.d), ';') AS details FROM versions",
     "site_signal": f"WITH {checks.PAGE_BASE}, {SIGNALS} SELECT page_id, CASE WHEN len(ev) = 0 THEN 0 ELSE least(100, list_sum(list_transform(ev, lambda e: e.w))) END AS score, lang, hard_exclusion, {_JOINED} FROM observed",
-    "host_counts": "WITH " + checks.PAGE_BASE + " SELECT CASE WHEN length(host) > 24 THEN left(host, 23) || '…' ELSE host END AS label, count(*) AS n FROM pg GROUP BY host ORDER BY n DESC, host LIMIT 8",
+    "host_counts": "WITH " + checks.PAGE_BASE + " SELECT CASE WHEN length(host) > 24 THEN left(host, 23) || '…' ELSE host END AS label, host AS full_label, count(*) AS n FROM pg GROUP BY host ORDER BY n DESC, host LIMIT 8",
     "https_share": "SELECT count(*) AS fired, count(*) FILTER (starts_with(lower(url), 'https:')) AS proved, count(*) FILTER (NOT starts_with(lower(url), 'https:')) AS unproved, CAST(floor(count(*) FILTER (NOT starts_with(lower(url), 'https:')) * 100 / count(*) + 0.5) AS BIGINT) AS false_share FROM pages WHERE regexp_matches(url, '(?i)^https?://[^/?#\\s]+')",
     "page_type_counts": "SELECT split_part(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '/', 2) AS segment, count(*) AS n FROM pages GROUP BY 1",
     "email_extract": "WITH " + checks.email_ctes("documents", "doc_id", "text") + " SELECT doc_id, emails, total FROM best",

@@ -13,6 +13,7 @@ from sitegauge.params import US_REGION_CODES
 from sitegauge.operators.reviews import review_queue as queue_of
 from sitegauge.plans.inputs import prelude, table, with_types
 from sitegauge.plans.profiles import MARKERS, NICHES, STANDALONE, TRIAL
+from sitegauge.session import reliable
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +390,7 @@ def destinations(spark, sf):
 
 
 def panel_sorted(spark, sf):
-    rows = state(spark, sf)
+    rows = reliable(state(spark, sf).select("place_id", "site_score", "user_rating_count", "owner_score", "name"))
     out = None
     for key in ("site_score", "reviews", "owner_score", "difficulty", "name"):
         part = reports.sorted_rows(rows.withColumn("stars", F.col("site_score") % 6), key, 20).select(F.lit(key).alias("sort_key"), "place_id")

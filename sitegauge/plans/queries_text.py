@@ -17,7 +17,9 @@ from sitegauge.plans import checks
 from sitegauge.plans.inputs import prelude, table, with_types
 from sitegauge.plans.profiles import CATEGORY_RULES, NAME_RULES, PART_RULES, TRIAL
 from sitegauge.plans.queries_pages import DECLARED, SIGNALS, responses
+from sitegauge.plans.rescore import audits_of, stored_facts
 from sitegauge.plans.rescore import rescore as rescore_job
+from sitegauge.plans.rescore import reverdict as reverdict_job
 from sitegauge.session import reliable
 from sitegauge.schemas import REVIEW_RESPONSE, SEARCH_RESPONSE
 from sitegauge.sources import readers
@@ -189,23 +191,50 @@ def no_site_scores(spark, sf):
 
 
 # --- the job ---------------------------------------------------------------------
-def _rescored(spark, sf):
-    pins = table(spark, sf, "orders").where(F.col("o_totalprice") > 480000).select(
+def _pins(spark, sf):
+    return table(spark, sf, "orders").where(F.col("o_totalprice") > 480000).select(
         F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("place_id"),
         F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("leads").alias("verdict"),
         F.concat(F.lit("ручний розбір: "), F.col("o_orderkey").cast("string")).alias("reason"),
         F.struct("o_orderdate", "o_orderkey").alias("at"),
     )
-    places = with_types(table(spark, sf, "state")).drop("owner_score", "site_score", "fetch_error")
+
+
+def _named_state(spark, sf):
+    return _with_names(with_types(table(spark, sf, "state")).drop("owner_score", "site_score", "fetch_error"))
+
+
+def _rescored(spark, sf):
     return rescore_job(
-        _with_names(places), responses(spark, sf).drop("page_id"), _review_signal(spark, sf), table(spark, sf, "psi"), pins, TRIAL
+        _named_state(spark, sf), responses(spark, sf).drop("page_id"), _review_signal(spark, sf), table(spark, sf, "psi"), _pins(spark, sf), TRIAL
     )
 
 
+_VERDICT = ("place_id", "bucket", "reject_reason", "rule_no", "owner_score", "site_score", "site_status")
+
+
+def reverdict(spark, sf):
+    """Places with a speed measurement get their verdict anew from stored audits; no page is read for it."""
+    audits = reliable(audits_of(stored_facts(responses(spark, sf).drop("page_id"), TRIAL)))
+    psi = table(spark, sf, "psi")
+    return reverdict_job(
+        _named_state(spark, sf), psi, audits, _review_signal(spark, sf), psi, _pins(spark, sf), TRIAL
+    ).select(*_VERDICT)
+
+
+def rescore_with_history(spark, sf):
+    """The job with old audits: places whose page is gone keep what was found before, the others are refreshed."""
+    pages = responses(spark, sf).drop("page_id")
+    old = reliable(audits_of(stored_facts(pages, TRIAL)))
+    gone = table(spark, sf, "psi").select("place_id")
+    return rescore_job(
+        _named_state(spark, sf), pages.join(gone, "place_id", "left_anti"), _review_signal(spark, sf), table(spark, sf, "psi"),
+        _pins(spark, sf), TRIAL, old_audits=old,
+    ).select(*_VERDICT)
+
+
 def rescore(spark, sf):
-    return _rescored(spark, sf).select(
-        "place_id", "bucket", "reject_reason", "rule_no", "owner_score", "site_score", "site_status"
-    )
+    return _rescored(spark, sf).select(*_VERDICT)
 
 
 def rescore_transitions(spark, sf):
@@ -266,13 +295,13 @@ def _answers(spark, sf):
 
 
 def language_routes(spark, sf):
-    found = probes.confirmed_routes(_answers(spark, sf), TRIAL)
+    found = probes.confirmed_routes(probes.stored_answers(_answers(spark, sf), TRIAL), TRIAL)
     told = probes.route_evidence(found).select("place_id", as_text(F.col("evidence")).alias("told"))
     return found.join(told, "place_id")
 
 
 def negotiated_language(spark, sf):
-    return probes.negotiated(_answers(spark, sf), TRIAL).select("place_id", "lang", as_text(F.col("evidence")).alias("told"))
+    return probes.negotiated(probes.stored_answers(_answers(spark, sf), TRIAL), TRIAL).select("place_id", "lang", as_text(F.col("evidence")).alias("told"))
 
 
 # --- sources ---------------------------------------------------------------------
@@ -333,7 +362,7 @@ def speed_answers(spark, sf):
 
 
 def sitemap_pages(spark, sf):
-    """Site maps of suppliers: every second one is an index of four parts, of which three count."""
+    """Site maps of suppliers: every second one is an index of four parts."""
     s = table(spark, sf, "supplier").select(F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("site"), "s_suppkey")
     loc = lambda path: F.concat(F.lit("<loc> "), "site", F.lit(path), F.lit("</loc>"))
     top = s.select(
@@ -350,12 +379,12 @@ def sitemap_pages(spark, sf):
 
 
 def decoded_pages(spark, sf):
-    """Documents as bytes with a charset line, read back as text."""
+    """Documents as bytes with a charset line, read back as text; where it is UTF-8, with broken bytes behind."""
     latin = F.col("text").rlike(r"^[\x00-\xFF]*$")
     raw = table(spark, sf, "documents").select(
         "doc_id",
         F.when(latin, F.encode(F.concat(F.lit("<meta charset=iso-8859-1>"), "text"), "ISO-8859-1"))
-        .otherwise(F.encode(F.concat(F.lit("<meta charset=unknown-8>"), "text"), "UTF-8")).alias("content"),
+        .otherwise(F.concat(F.encode(F.concat(F.lit("<meta charset=unknown-8>"), "text"), "UTF-8"), F.unhex(F.lit("FFFE80")))).alias("content"),
     )
     return readers.decode_pages(raw).select("doc_id", "charset", F.length("html").alias("chars"), F.md5("html").alias("digest"))
 
@@ -365,7 +394,7 @@ QUERIES = {
     for f in (
         lexicon_prepare, key_verdicts, text_verdicts, text_verdicts_salted, text_classes, rule_best_match, rule_hits,
         name_signals, review_languages, author_totals, review_signal, owner_scores, evidence_top, no_site_scores, rescore,
-        rescore_transitions, export_rows, mention_candidates, mention_scores, language_routes, negotiated_language,
+        reverdict, rescore_with_history, rescore_transitions, export_rows, mention_candidates, mention_scores, language_routes, negotiated_language,
         search_answers, review_answers, speed_answers, sitemap_pages, decoded_pages,
     )
 }
@@ -485,7 +514,7 @@ p AS (SELECT page_id, t, regexp_extract_all(t, '{_PAIR}') AS ps, string_split_re
 i AS (SELECT page_id, t, ps[k] AS c, CAST(list_sum(list_transform(ss[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ps[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS off
       FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM p)),
 r AS (SELECT page_id, 'role' AS source, c FROM i WHERE regexp_matches(substr(repeat(' ', 40) || t, off + 1, 40) || ' | ' || substr(t, off + length(c) + 1, 40), '(?i)(?:the|les|der|una)')
-      UNION ALL SELECT page_id, 'copyright', unnest(regexp_extract_all(regexp_replace(right(html, 8000), '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM t),
+      UNION ALL SELECT page_id, 'copyright', unnest(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM t),
 d AS (SELECT DISTINCT page_id, source, c FROM r WHERE NOT list_has_any(regexp_split_to_array(lower(c), '[\\s''’.\\-]+'), ['menu', 'search']))"""
 
 ORACLES = {
@@ -511,16 +540,18 @@ ORACLES = {
     "no_site_scores": f"""{prelude('state')}, {_names('state')}, x AS (SELECT CASE WHEN types_csv LIKE '%church%' OR types_csv LIKE '%museum%' THEN NULL WHEN ex THEN 0 ELSE coalesce(list_sum(list_transform(name_ev, lambda e: e.w)), 0) END AS s FROM nm WHERE bucket = 'no_site')
         SELECT CASE WHEN s IS NULL THEN 'excluded' WHEN s >= 30 THEN '30+' WHEN s >= 20 THEN '20-29' WHEN s >= 10 THEN '10-19' WHEN s > 0 THEN '1-9' ELSE '0' END AS band, count(*) AS n, CAST(sum(s) AS BIGINT) AS points FROM x GROUP BY 1""",
     "rescore": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
+    "reverdict": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd WHERE psi_done",
+    "rescore_with_history": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
     "rescore_transitions": f"{_JOB} SELECT old_bucket AS from_bucket, v.b AS to_bucket, count(*) AS n FROM vd WHERE old_bucket <> v.b GROUP BY 1, 2",
     "mention_candidates": f"""WITH {checks.email_ctes('documents', 'doc_id', 'text')}, lp AS (SELECT doc_id, split_part(unnest(string_split(emails, ',')), '@', 1) AS l FROM best), w AS (SELECT doc_id, unnest(regexp_split_to_array(l, '[._\\-+0-9]+')) AS candidate FROM lp)
         SELECT doc_id, 'email' AS source, candidate FROM w WHERE length(candidate) >= 4
-        UNION ALL SELECT doc_id, 'copyright', unnest(regexp_extract_all(regexp_replace(right(text, 8000), '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM documents""",
+        UNION ALL SELECT doc_id, 'copyright', unnest(regexp_extract_all(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM documents""",
     "language_routes": f"""WITH {_ANSWERS}, ok AS (SELECT an.place_id, url, lang, script FROM an LEFT JOIN base USING (place_id) WHERE role = 2 AND st = 200 AND (coalesce(honest, false) OR junk_fp IS NULL OR fp <> junk_fp) AND fp IS DISTINCT FROM home_fp AND (coalesce(honest, false) OR abs(n - coalesce(junk_n, 0)) >= 200) AND NOT soft AND script >= 150)
         SELECT place_id, url, lang, script AS script_chars, 'робоча ' || lang || ' версія: ' || url || ' (+32)' AS told FROM ok""",
     "negotiated_language": f"WITH {_ANSWERS} SELECT an.place_id, lang, 'сайт віддає ' || lang || ' за Accept-Language (+35)' AS told FROM an JOIN base USING (place_id) WHERE role = 3 AND fp <> home_fp AND script >= 100",
     "search_answers": "SELECT 'p' || c_custkey AS place_id, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS name, '' AS address, CASE WHEN c_nationkey > 3 THEN c_acctbal ELSE 0.0 END AS lat, CAST(CASE WHEN c_nationkey > 3 THEN 1.5 ELSE 0 END AS DOUBLE) AS lng, CASE WHEN c_nationkey % 2 = 0 THEN 'store,' || c_mktsegment ELSE '' END AS types, NULL AS website, c_nationkey AS user_rating_count FROM customer",
     "review_answers": "SELECT lower(substr(o_orderpriority, 3, 2)) AS language_code, o_orderstatus AS author_token, count(*) AS n, min(o_orderdate) AS first_time, CAST(max(o_orderkey % 5 + 1) AS DOUBLE) AS best FROM orders GROUP BY 1, 2",
     "speed_answers": "SELECT p_partkey AS place_id, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 100 END AS mobile_score, p_partkey % 50 AS desktop_score, CAST(CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 1.5 ELSE p_partkey * 0.5 END AS DOUBLE) AS lcp_ms, NULL AS cls FROM part",
-    "sitemap_pages": "WITH s AS (SELECT s_suppkey AS k, 'https://s' || s_suppkey || '.example' AS site FROM supplier) SELECT k AS place_id, site || p AS page_url FROM s, (VALUES ('/a'), ('/b')) v(p) WHERE k % 2 = 0 UNION ALL SELECT k, site || '/p' || i FROM s, (VALUES (0), (1), (2)) v(i) WHERE k % 2 = 1",
-    "decoded_pages": "WITH d AS (SELECT doc_id, text, regexp_matches(text, '^[\\x00-\\x{FF}]*$') AS l FROM documents) SELECT doc_id, CASE WHEN l THEN 'latin-1' ELSE 'utf-8' END AS charset, length(CASE WHEN l THEN '<meta charset=iso-8859-1>' ELSE '<meta charset=unknown-8>' END || text) AS chars, md5(CASE WHEN l THEN '<meta charset=iso-8859-1>' ELSE '<meta charset=unknown-8>' END || text) AS digest FROM d",
+    "sitemap_pages": "WITH s AS (SELECT s_suppkey AS k, 'https://s' || s_suppkey || '.example' AS site FROM supplier) SELECT k AS place_id, site || p AS page_url FROM s, (VALUES ('/a'), ('/b')) v(p) WHERE k % 2 = 0 UNION ALL SELECT k, site || '/p' || i FROM s, (VALUES (0), (1), (2), (3)) v(i) WHERE k % 2 = 1",
+    "decoded_pages": "WITH d AS (SELECT doc_id, regexp_matches(text, '^[\\x00-\\x{FF}]*$') AS l, text FROM documents), h AS (SELECT doc_id, l, CASE WHEN l THEN '<meta charset=iso-8859-1>' || text ELSE '<meta charset=unknown-8>' || text || repeat(chr(65533), 3) END AS t FROM d) SELECT doc_id, CASE WHEN l THEN 'latin-1' ELSE 'utf-8' END AS charset, length(t) AS chars, md5(t) AS digest FROM h",
 }

@@ -112,7 +112,7 @@ def page_columns(responses: DataFrame, preset: Preset = DEFAULT, keep: tuple[str
             low, F.col("cms"), F.col("builder"), F.col("modern_framework"), F.col("jquery_version"),
             F.col("bootstrap_major"), F.col("table_layout"),
         ),
-        "footer_year": technology.footer_year(low, preset.year, preset.footer_chars),
+        "footer_year": technology.footer_year(low, preset.year),
         "emails": contacts.best_emails(F.col("found_emails")),
         "socials": contacts.social_profiles(html, low),
     }
@@ -147,11 +147,12 @@ def with_probe_evidence(facts: DataFrame, responses: DataFrame, preset: Preset =
     """Add the evidence of stored probe answers, cheapest source first.
 
     A negotiated answer counts only where the page declares no target language, and
-    routes only where there is neither; the probe answers of decided sites are left out
-    before their bodies are looked at.
+    routes only where there is neither. The bodies are read once, for narrow facts; only
+    those are joined.
     """
+    answers = probes.stored_answers(responses, preset)
     open_sites = facts.where(F.col("declared_found") == 0).select("place_id")
-    asked = responses.join(open_sites, "place_id", "left_semi")
+    asked = answers.join(open_sites, "place_id", "left_semi")
     spoken = probes.negotiated(asked, preset).select("place_id", F.col("evidence").alias("_negotiated"))
     still_open = asked.join(spoken, "place_id", "left_anti")
     routed = probes.route_evidence(probes.confirmed_routes(still_open, preset)).select(
@@ -175,10 +176,14 @@ def refreshed(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(merged)
 
 
-def assemble(state: DataFrame, facts: DataFrame, reviews: DataFrame, psi: DataFrame, pins: DataFrame,
+def assemble(state: DataFrame, facts: DataFrame | None, reviews: DataFrame, psi: DataFrame, pins: DataFrame,
              old_audits: DataFrame | None = None) -> DataFrame:
     """Everything the verdict reads, one row per place.  All joins are on ``place_id``,
-    so the places are partitioned once."""
+    so the places are partitioned once.  ``facts`` of stored pages, ``old_audits``
+    ``(place_id, audit, site_signal, version_evidence)``, or both."""
+    if facts is None:
+        rows = state.join(old_audits.select("place_id", "audit", "site_signal", "version_evidence"), "place_id", "left")
+        return _with_sources(rows, reviews, psi, pins)
     rows = state.join(
         facts.select("place_id", F.col("audit").alias("_new"), F.col("site_signal").alias("_signal"),
                      F.col("declared_evidence").alias("_declared")),
@@ -200,7 +205,10 @@ def assemble(state: DataFrame, facts: DataFrame, reviews: DataFrame, psi: DataFr
             .withColumn("version_evidence", F.coalesce("_old_versions", "_declared"))
             .drop("_old", "_old_signal", "_old_versions")
         )
-    rows = rows.drop("_new", "_signal", "_declared")
+    return _with_sources(rows.drop("_new", "_signal", "_declared"), reviews, psi, pins)
+
+
+def _with_sources(rows: DataFrame, reviews: DataFrame, psi: DataFrame, pins: DataFrame) -> DataFrame:
     rows = rows.join(
         reviews.select("place_id", F.struct("preferred_lang", "evidence").alias("reviews")), "place_id", "left"
     )
@@ -251,7 +259,18 @@ def rescore(state: DataFrame, responses: DataFrame, reviews: DataFrame, psi: Dat
     return apply_verdict(score(rows, preset), preset)
 
 
-def reverdict(state: DataFrame, changed: DataFrame, *inputs, **options) -> DataFrame:
-    """:func:`rescore` for the places of ``changed`` only, after new speed or review data."""
-    return rescore(state.join(changed.select("place_id"), "place_id", "left_semi"), *inputs, **options)
+def audits_of(facts: DataFrame) -> DataFrame:
+    """Facts of pages in the shape of stored audits."""
+    return facts.select("place_id", "audit", "site_signal", F.col("declared_evidence").alias("version_evidence"))
+
 
+def reverdict(state: DataFrame, changed: DataFrame, audits: DataFrame, reviews: DataFrame, psi: DataFrame, pins: DataFrame,
+              preset: Preset = DEFAULT) -> DataFrame:
+    """Next verdict of the places of ``changed`` only, after new speed or review data, from stored audits.
+
+    No page is read: ``audits`` is the table (place_id, audit, site_signal, version_evidence) of the last
+    :func:`rescore`, see :func:`audits_of`.
+    """
+    places = changed.select("place_id").distinct()
+    rows = assemble(state.join(places, "place_id", "left_semi"), None, reviews, psi, pins, audits)
+    return apply_verdict(score(rows, preset), preset)

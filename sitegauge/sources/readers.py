@@ -18,9 +18,7 @@ CHARSET_ALIASES = {
     "koi8-r": "koi8-r", "koi8-u": "koi8-r", "iso-8859-5": "iso8859-5", "windows-1252": "latin-1",
     "iso-8859-1": "latin-1", "ascii": "utf-8",
 }
-CHARSET_HEAD = 2048
 SITEMAP_CANDIDATES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml")
-SITEMAP_CHILDREN = 3
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -114,24 +112,24 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 def sitemap_urls(maps: DataFrame) -> DataFrame:
     """Page addresses per site from stored site maps ``(place_id, url, xml)``.
 
-    The first of the usual addresses that holds a map wins; an index file leads to its
-    first three children.
+    The first of the usual addresses that holds a map wins; an index file leads to all its children. The addresses
+    are taken out in one scan; the mark-up goes no further.
     """
     xml = F.col("xml")
     rank = F.lit(None).cast("int")
     for i, suffix in reversed(list(enumerate(SITEMAP_CANDIDATES))):
         rank = F.when(F.col("url").endswith(suffix), i).otherwise(rank)
-    valid = maps.where(xml.rlike("(?i)<(?:urlset|sitemapindex)")).withColumn("_rank", rank).where(F.col("_rank").isNotNull())
-    locations = sitemap_locations(xml)
-    chosen = valid.select(
-        "place_id", "_rank", xml.rlike("(?i)<sitemapindex").alias("is_index"), locations.alias("locs")
-    ).groupBy("place_id").agg(F.min_by(F.struct("is_index", "locs"), "_rank").alias("c"))
-    direct = chosen.where(~F.col("c.is_index")).select("place_id", F.explode("c.locs").alias("page_url"))
-    children = chosen.where("c.is_index").select(
-        "place_id", F.explode(F.slice("c.locs", 1, SITEMAP_CHILDREN)).alias("url")
+    read = maps.select(
+        "place_id", "url", rank.alias("_rank"), xml.rlike("(?i)<(?:urlset|sitemapindex)").alias("_valid"),
+        xml.rlike("(?i)<sitemapindex").alias("is_index"), sitemap_locations(xml).alias("locs"),
     )
-    nested = children.join(maps, ["place_id", "url"]).select("place_id", F.explode(locations).alias("page_url"))
-    return direct.unionByName(nested).distinct()
+    chosen = read.where(F.col("_valid") & F.col("_rank").isNotNull()).groupBy("place_id").agg(
+        F.min_by(F.struct("is_index", "locs"), "_rank").alias("c")
+    )
+    listed = chosen.select("place_id", "c.is_index", F.explode("c.locs").alias("url"))
+    direct = listed.where(~F.col("is_index")).select("place_id", F.col("url").alias("page_url"))
+    nested = listed.where("is_index").select("place_id", "url").join(read.select("place_id", "url", "locs"), ["place_id", "url"])
+    return direct.unionByName(nested.select("place_id", F.explode("locs").alias("page_url"))).distinct()
 
 
 def _decode_udf():
@@ -146,23 +144,23 @@ def _decode_udf():
 
 
 def decode_pages(files: DataFrame, content: str = "content") -> DataFrame:
-    """Raw bytes to text by the charset named in the first bytes, else UTF-8.
+    """Raw bytes to text by the first charset named anywhere in them, else UTF-8, in one pass.
 
-    UTF-8 and Latin-1 stay in the JVM; only the rare legacy charsets go to Python.
+    UTF-8 and Latin-1 stay in the JVM; only the rare legacy charsets go to Python. Bytes that are no text in their
+    charset become U+FFFD.
     """
-    start = F.decode(F.substring(F.col(content), 1, CHARSET_HEAD), "ISO-8859-1")
-    named = F.lower(F.regexp_extract(start, r"""(?i)charset\s*=\s*["']?\s*([\w-]+)""", 1))
+    raw = F.col(content)
+    named = F.lower(F.regexp_extract(F.decode(raw, "ISO-8859-1"), r"""(?i)charset\s*=\s*["']?\s*([\w-]+)""", 1))
     aliases = F.create_map(*[F.lit(x) for kv in CHARSET_ALIASES.items() for x in kv])
     known = files.withColumn("charset", F.coalesce(aliases[named], F.lit("utf-8")))
-    jvm = known.where(F.col("charset").isin("utf-8", "latin-1")).withColumn(
+    charset = F.col("charset")
+    legacy = _decode_udf()(F.when(~charset.isin("utf-8", "latin-1"), raw), charset)
+    return known.withColumn("_legacy", legacy).withColumn(
         "html",
-        F.when(F.col("charset") == "latin-1", F.decode(F.col(content), "ISO-8859-1"))
-        .otherwise(F.decode(F.col(content), "UTF-8")),
-    )
-    legacy = known.where(~F.col("charset").isin("utf-8", "latin-1")).withColumn(
-        "html", _decode_udf()(F.col(content), F.col("charset"))
-    )
-    return jvm.unionByName(legacy)
+        F.when(charset == "latin-1", F.decode(raw, "ISO-8859-1"))
+        .when(charset == "utf-8", F.make_valid_utf8(raw.cast("string")))
+        .otherwise(F.col("_legacy")),
+    ).drop("_legacy")
 
 
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -131,3 +131,52 @@ RETAIL_TYPES = (
     "supermarket", "deli", "restaurant", "ukrainian restaurant", "eastern european restaurant",
     "cafe",
 )
+
+# Words that notes begin with, and that a marker of an unreachable site holds.
+BY_HAND, WARNING, DEAD_SITE_WORD = "ручний розбір", "увага", "не відкривається"
+SOME_BUSINESS = "заклад"
+
+# Wording of the brief; see operators/brief.py. %s stands for a value.
+BRIEF = {
+    "between": ", ",
+    "place": "%s.",
+    "place_at": "%s, %s.",
+    "rated": "Рейтинг %s, відгуків: %s.",
+    "counted": "Відгуків: %s.",
+    "no_site": "Власної сторінки не має.",
+    "blocked": "До сайту не пустив захист; його стан невідомий.",
+    "not_stored": "Копії сайту немає.",
+    "only_measured": "Сторінку бачив лише вимірювач швидкості; подивіться її самі.",
+    "dead": "За вказаною адресою ніхто не відповідає.",
+    "platform": "Основа: %s.",
+    "pages": "Сторінок %s, різних видів %s.",
+    "single": "Одна сторінка.",
+    "offers": "Має: %s.",
+    "shop": "продаж онлайн",
+    "shop_module": "модуль продажу, можливо, вимкнений",
+    "catalog": "перелік товарів чи страв",
+    "forms": "форму запиту",
+    "versions": "мовних версій: %s",
+    "flaws": "Недоліки: %s.",
+    "no_viewport": "незручний на телефоні",
+    "no_https": "з'єднання не захищене",
+    "tls_expired": "сертифікат минув",
+    "mixed_content": "частина вмісту без захисту",
+    "flash": "потребує Flash",
+    "tables": "розмітка з таблиць",
+    "jquery": "стара jQuery %s",
+    "old_year": "останній рік унизу сторінки: %s",
+    "no_preview": "без опису для пошуку й посилань",
+    "slow": "вміст з'являється за %s с",
+    "low_score": "мобільна оцінка %s",
+    "decided": "Людина вже дивилась: %s.",
+    "warned": "Застереження: %s.",
+    "open_no_site": "Перша тема: людям з карти нікуди перейти.",
+    "open_blocked": "Перша дія: подивитися сайт у браузері.",
+    "open_dead": "Перша тема: адреса не працює.",
+    "open_phone": "Перша тема: вигляд на телефоні.",
+    "open_slow": "Перша тема: %s с очікування.",
+    "open_builder": "Перша тема: щомісячна плата за %s.",
+    "open_marker": "Перша тема: %s.",
+    "open_design": "Перша тема: оновити вигляд.",
+}

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sitegauge import texts
-from sitegauge.operators import display, lexicon, mentions, merge, notes, probes, publish, ranking, tasks
+from sitegauge.operators import brief, lexicon, mentions, merge, notes, probes, publish, ranking, tasks
 from sitegauge.params import DEFAULT
 
 
@@ -157,21 +157,21 @@ def test_brief_says_nothing_about_a_site_nobody_saw(spark):
         ("has_viewport", False, "boolean"), ("https", True, "boolean"), ("tls_expired", False, "boolean"), ("mixed_content", False, "boolean"),
         ("has_flash", False, "boolean"), ("table_layout", False, "boolean"), ("jquery_version", "1.9", "string"), ("footer_year", 2016, "int"),
         ("meta_description", None, "string"), ("og_tags", False, "boolean"))])
-    base = dict(type_label=F.lit("Bakery"), location=F.lit("Reno, NV  (знайдено через x)"), rating=F.lit(4.5), reviews=F.lit(212), website=F.lit("https://a.com"),
+    base = dict(kind=F.lit("Пекарня"), retail=F.lit(True), location=F.lit("Reno, NV"), rating=F.lit("4.5"), reviews=F.lit(212), website=F.lit("https://a.com"),
                 site_status=F.lit("ok"), dated_markers=F.array(F.lit("m")), mobile_score=F.lit(None).cast("int"), desktop_score=F.lit(None).cast("int"),
-                lcp_ms=F.lit(None).cast("int"), note=F.lit(None).cast("string"), language_note=F.lit(None).cast("string"))
-    say = lambda **kw: spark.range(1).select(display.brief(a, {**base, **kw}).alias("b")).collect()[0]["b"]
+                lcp_ms=F.lit(None).cast("int"), note=F.lit(""), language_note=F.lit(None).cast("string"))
+    say = lambda **kw: spark.range(1).select(brief.brief(a, {**base, **kw}, 2026).alias("b")).collect()[0]["b"]
     assert say() == (
-        "Пекарня, Reno, NV — 4.5★ з 212 відгуків, дуже помітний у своєму районі. "
-        "Сайт зроблений на Wix, 7 сторінок, 3 типи сторінок, є інтернет-магазин, форми заявок. "
-        "Проблеми: не адаптивний — на телефоні його треба розтягувати пальцями; jQuery 1.9 — версія віком понад 10 років; "
-        "у футері 2016 — сайт не чіпали 10 років. "
-        "Зачіпка: більшість заходів із Google Maps — з телефона, а саме на телефоні сайт розсипається. Показати екран і мовчати."
+        "Пекарня, Reno, NV. Рейтинг 4.5, відгуків: 212. Основа: Wix. Сторінок 7, різних видів 3. Має: продаж онлайн, форму запиту. "
+        "Недоліки: незручний на телефоні, стара jQuery 1.9, останній рік унизу сторінки: 2016. Перша тема: вигляд на телефоні."
     )
     blocked = say(site_status=F.lit("blocked"))
-    assert "Проблеми" not in blocked and "Wix" not in blocked
-    assert "Сайту немає взагалі" in say(website=F.lit(None).cast("string"))
-    assert "Перевірено вручну: float." in say(note=F.lit("ручний розбір: float"))
+    assert "Недоліки" not in blocked and "Wix" not in blocked
+    assert "Власної сторінки не має" in say(website=F.lit(None).cast("string"))
+    assert "Людина вже дивилась: float." in say(note=F.lit("ручний розбір: float"))
+    other = {k: f"{k} %s %s"[: len(k) + 3 * v.count("%s")] for k, v in texts.BRIEF.items()}
+    said = spark.range(1).select(brief.brief(a, base, 2026, other).alias("b")).collect()[0]["b"]
+    assert said.startswith("place_at Пекарня Reno, NV rated 4.5 212") and said.endswith("open_phone")
 
 
 def test_published_texts_have_every_column(spark):
