@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegauge.llm import (
-    decontamination, line_templates, minhash, mixing, ngram_trie, pii, quality_rules, repeats, token_counts, token_files,
+    decontamination, line_templates, minhash, mixing, ngram_trie, oracles, pii, quality_rules, repeats, token_counts, token_files,
 )
 from sitegauge.llm.common import read_table
 from sitegauge.session import ensure_checkpoint_dir
@@ -70,4 +70,8 @@ QUERIES = {
         op6_repeated_units, op7_pii_field, op8_line_templates, op9_quality_rules, op10_ngram_trie,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_minhash": oracles.NEAR_DUPLICATES,
+    "op8_line_templates": oracles.LINE_TEMPLATES,
+    "op9_quality_rules": oracles.QUALITY,
+}
