@@ -5,10 +5,26 @@ Regular expressions are RE2: ASCII ``\\b``, no look-around.
 
 from __future__ import annotations
 
+# Mark-up that the stored pages lack, added by key, so that every detector finds something and nothing somewhere.
+# Both engines read this expression.
+RICH_HTML = """(html || CASE CAST(page_id % 7 AS INT)
+  WHEN 0 THEN '<meta name="viewport" content="width=device-width"><link rel="icon" href="/i.png"><meta property="og:title" content="t">'
+  WHEN 1 THEN '<form action="/a"><p>x</p><input name=q></form><script src="/js/jquery-1.' || CAST(page_id % 12 AS STRING) || '.1.min.js"></script>'
+  WHEN 2 THEN '<table><tr><td><table></table></td></tr></table><table></table><div>Copyright of all parts ' || CAST(2005 + page_id % 22 AS STRING) || '</div>'
+  WHEN 3 THEN '<link rel="alternate" hreflang="fr" href="/fr/"><link rel="alternate" hreflang="de-AT" href="/de/"><a href="/fr/about">fr</a>'
+  WHEN 4 THEN '<link href="/wp-content/themes/x.css"><link href="/css/bootstrap-3.3.' || CAST(page_id % 8 AS STRING) || '.min.css"><img src="http://pics.example/a.png">'
+  WHEN 5 THEN '<a href="/shop/cart">Add to cart</a><script id="__NEXT_DATA__"></script><a href="/shop/a">a</a><a href="/blog/b?lang=de">b</a>'
+  ELSE '<meta name="description" content="about ' || CAST(page_id AS STRING) || '"><embed src="a.swf"><meta charset="utf-8">' END
+  || CASE WHEN page_id % 5 = 0 THEN '<a href="mailto:Info' || CAST(page_id AS STRING) || '@firm' || CAST(page_id % 9 AS STRING) || '.international?subject=x">m</a>' ELSE '' END
+  || CASE WHEN page_id % 10 = 0 THEN '<p>or sales@firm.example.org</p>' ELSE '' END
+  || CASE WHEN page_id % 11 = 3 THEN '<img src="https://static.wixstatic.com/x.png">' WHEN page_id % 11 = 4 THEN '<script src="https://cdn.shopify.com/s.js"></script>' ELSE '' END
+  || CASE WHEN page_id % 13 = 2 THEN '<form><textarea></textarea></form><form></form><footer>(c) 2011 - 2024</footer>' ELSE '' END)"""
+RICH_PAGES = f"(SELECT * REPLACE ({RICH_HTML} AS html) FROM pages) AS rich"
+
 PAGE_BASE = """
 pg AS (SELECT page_id, url, html, lower(html) AS low,
               regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', '') AS host
-       FROM pages)
+       FROM @PAGES@)
 """
 
 _TITLE = """nullif(trim(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')), '')"""
@@ -75,7 +91,7 @@ links AS (
          regexp_extract(url, '^([^?#]*)', 1) AS bare,
          list_filter(list_distinct(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)["'']', 1)),
                      lambda h: NOT regexp_matches(h, '(?i)^(mailto:|tel:|javascript:|data:)')) AS hrefs
-  FROM pages),
+  FROM @PAGES@),
 urls AS (
   SELECT page_id, url, html, list_distinct(list_filter(list_transform(hrefs, lambda h:
       regexp_replace(CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN h
@@ -203,3 +219,5 @@ best AS (SELECT {key}, string_agg(e, ',' ORDER BY r) AS emails, CAST(max(total)
             SELECT {key}, e, row_number() OVER (PARTITION BY {key} ORDER BY {RANK}, i) AS r,
                    count(*) OVER (PARTITION BY {key}) AS total FROM each) GROUP BY {key})
 """
+
+PAGE_BASE, PAGE_FACTS, PAGE_PATHS = (x.replace("@PAGES@", RICH_PAGES) for x in (PAGE_BASE, PAGE_FACTS, PAGE_PATHS))

@@ -18,10 +18,10 @@ from sitegauge.plans.rescore import page_columns, stored_facts
 from sitegauge.session import spread
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored home pages in the shape of the job's input."""
+    """Stored home pages in the shape of the job's input, with the mark-up that the table lacks."""
     return table(spark, sf, "pages").select(
         F.col("page_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("place_id"),
-        F.col("url").alias("final_url"), "html",
+        F.col("url").alias("final_url"), F.expr(checks.RICH_HTML).alias("html"),
     )
 
 
@@ -152,7 +152,7 @@ def email_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_emails(spark: SparkSession, sf: str) -> DataFrame:
-    found = _found(table(spark, sf, "pages"), "page_id", "html")
+    found = _found(responses(spark, sf), "page_id", "html")
     return found.select(
         "page_id", F.array_join(contacts.best_emails(F.col("found")), ",").alias("emails"),
         F.size("found").cast("long").alias("total"),
@@ -246,13 +246,13 @@ tags AS (
        list_transform(regexp_extract_all(html, '{_ROUTE}', 2), lambda c: lower(c)))), lambda c: c <> '' AND c <> 'js') AS routes,
     len(regexp_extract_all(html, '{_SWITCH}', 1)) AS switches,
     regexp_matches(html, '(?i)src=["''][^"'']*(?:flags?[/_-])?(?:fr|de)(?:[-_]?flag)?\\.(?:png|gif|svg|jpe?g)') AS flags
-  FROM pages),
+  FROM {checks.RICH_PAGES}),
 declared AS (
   SELECT *, greatest(1, len(list_distinct(list_concat(alternates, routes)))) AS languages FROM tags),
 versions AS (
   SELECT page_id, html_lang, languages,
     list_filter([
-      CASE WHEN len(list_filter(alternates, lambda c: c IN ('fr', 'de'))) > 0 THEN {{'s': 'hreflang', 'w': CASE WHEN languages <= 3 THEN 45 WHEN languages <= 5 THEN 18 ELSE 5 END, 'd': 'hreflang: ' || array_to_string(list_distinct(list_filter(alternates, lambda c: c IN ('fr', 'de'))), ', ')}} END,
+      CASE WHEN len(list_filter(alternates, lambda c: c IN ('fr', 'de'))) > 0 THEN {{'s': 'hreflang', 'w': CASE WHEN languages <= 3 THEN 45 WHEN languages <= 5 THEN 18 ELSE 5 END, 'd': 'hreflang: ' || array_to_string(list_filter(list_filter(alternates, lambda c: c IN ('fr', 'de')), lambda x, i: list_position(list_filter(alternates, lambda c: c IN ('fr', 'de')), x) = i), ', ')}} END,
       CASE WHEN html_lang IN ('fr', 'de') THEN {{'s': 'html_lang', 'w': 30, 'd': '<html lang="' || html_lang || '">'}} END,
       CASE WHEN switches > 0 THEN {{'s': 'lang_switcher_link', 'w': CASE WHEN languages <= 3 THEN 35 WHEN languages <= 5 THEN 14 ELSE 5 END,
            'd': 'перемикач мови на сторінці (' || switches || ' посил.)' || CASE WHEN languages > 3 THEN ', всього ' || languages || ' мов' ELSE '' END}} END,
@@ -298,7 +298,7 @@ ORACLES = {
     "https_share": "SELECT count(*) AS fired, count(*) FILTER (starts_with(lower(url), 'https:')) AS proved, count(*) FILTER (NOT starts_with(lower(url), 'https:')) AS unproved, CAST(floor(count(*) FILTER (NOT starts_with(lower(url), 'https:')) * 100 / count(*) + 0.5) AS BIGINT) AS false_share FROM pages WHERE regexp_matches(url, '(?i)^https?://[^/?#\\s]+')",
     "page_type_counts": "SELECT split_part(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '/', 2) AS segment, count(*) AS n FROM pages GROUP BY 1",
     "email_extract": "WITH " + checks.email_ctes("documents", "doc_id", "text") + " SELECT doc_id, emails, total FROM best",
-    "page_emails": "WITH " + checks.email_ctes("pages", "page_id", "html") + " SELECT page_id, emails, total FROM best",
+    "page_emails": "WITH " + checks.email_ctes(checks.RICH_PAGES, "page_id", "html") + " SELECT page_id, emails, total FROM best",
     "phone_flags": "SELECT lang, count(*) AS docs, count(*) FILTER (regexp_matches(text, '\\+\\s?380[\\s\\-(]?\\d{2}')) AS ua, count(*) FILTER (regexp_matches(text, '\\+\\s?7[\\s\\-(]?9\\d{2}[\\s\\-)]?\\d{3}[\\s\\-)]?\\d{3}')) AS ru, count(*) FILTER (regexp_matches(text, '\\+\\s?\\d{1,3}[\\s\\-(]?\\d{2}')) AS any_plus FROM documents GROUP BY lang",
     "social_links": """WITH b AS (SELECT html FROM pages UNION ALL SELECT text FROM documents UNION ALL SELECT '<a href="https://facebook.com/tr?id=1"><a href="https://www.' || CASE WHEN s_nationkey > 12 THEN 'facebook.com/s' ELSE 'instagram.com/i' END || s_suppkey || '">' FROM supplier),
         p(network, pattern) AS (VALUES ('facebook', '(?i)https?://(?:www\\.|m\\.)?facebook\\.com/[A-Za-z0-9._%-]+'), ('instagram', '(?i)https?://(?:www\\.)?instagram\\.com/[A-Za-z0-9._%-]+'),
