@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sitegauge.functions.evidence import evidence, item_when
 from sitegauge.functions.text import clamp, collapse, drop_tags, phrase
+from sitegauge.session import reliable
 
 # --- fixed values -----------------------------------------------------------
 LD_JSON = r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""
@@ -66,8 +67,11 @@ def structured_blocks(html: Column) -> Column:
 
 def structured_names(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Names in the person nodes of structured data; only those blocks go to Python."""
-    blocks = pages.select(key, structured_blocks(F.col(html)).alias("_b")).where(F.size("_b") > 0)
-    return blocks.select(key, F.explode(_structured_names_udf()("_b")).alias("candidate"))
+    return names_in_blocks(pages.select(key, structured_blocks(F.col(html)).alias("_b")), key)
+
+
+def names_in_blocks(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.where(F.size("_b") > 0).select(key, F.explode(_structured_names_udf()("_b")).alias("candidate"))
 
 
 def near_role(text: Column, role_pattern: str) -> Column:
@@ -117,7 +121,10 @@ def script_near_role(text: Column, roles: str, script: str) -> Column:
 
 def candidates(pages: DataFrame, key: str, role_pattern: str, stop_words: Sequence[str] = (),
                script_roles: str | None = None, script: str | None = None) -> DataFrame:
-    """(key, source, candidate) of a table with ``html``, ``text`` and ``emails``."""
+    """(key, source, candidate) of a table with ``html``, ``text`` and ``emails``; each word once, from its first source.
+
+    The pages are read once: what is found is stored, and only the structured blocks go to Python.
+    """
     listed = [
         ("role", without_stop_words(near_role(collapse(F.col("text")), role_pattern), stop_words)),
         ("copyright", without_stop_words(copyright_words(F.col("html")), stop_words)),
@@ -132,11 +139,13 @@ def candidates(pages: DataFrame, key: str, role_pattern: str, stop_words: Sequen
         )
 
     found = F.flatten(F.array(*[tag(source, c) for source, c in listed]))
-    inline = pages.select(key, F.explode(F.array_distinct(found)).alias("_c")).select(
-        key, "_c.source", "_c.candidate"
+    read = reliable(pages.select(key, F.array_distinct(found).alias("_inline"), structured_blocks(F.col("html")).alias("_b")))
+    inline = read.select(key, F.explode("_inline").alias("_c")).select(key, "_c.source", "_c.candidate")
+    tagged = names_in_blocks(read, key).select(key, F.lit("structured").alias("source"), "candidate")
+    rank = F.array_position(F.array(*[F.lit(s) for s in _SOURCE_ORDER]), F.col("source"))
+    return tagged.unionByName(inline).groupBy(key, "candidate").agg(F.min_by("source", rank).alias("source")).select(
+        key, "source", "candidate"
     )
-    tagged = structured_names(pages, key).select(key, F.lit("structured").alias("source"), "candidate")
-    return tagged.unionByName(inline)
 
 
 def mention_score(hits: DataFrame, key: str) -> DataFrame:

@@ -91,6 +91,12 @@ def quota_cut(spark, sf):
     return cut.groupBy("api", "month", "admitted").agg(F.count("*").alias("calls"), F.max("event_id").alias("last_event"))
 
 
+def silent_sources(spark, sf):
+    """Users of whom nothing was heard for a day at the end of January."""
+    seen = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return progress.silent(seen, F.lit("2024-01-31 00:00:00").cast("timestamp"), ("user_id",), polls=24 * 60).select("user_id", "idle")
+
+
 def quota_warnings(spark, sf):
     return progress.quota_warnings(table(spark, sf, "usage_log"))
 
@@ -124,7 +130,7 @@ def work_sessions(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        merge_sightings, merged_parts, upsert_places, upsert_newest, upsert_sticky, status_changes, usage_by_month, quota_cut,
+        merge_sightings, merged_parts, upsert_places, upsert_newest, upsert_sticky, status_changes, usage_by_month, quota_cut, silent_sources,
         quota_warnings, running_usage, fresh_counts, throughput, failure_windows, stall_gaps, work_sessions,
     )
 }
@@ -147,6 +153,7 @@ ORACLES = {
     "usage_by_month": f"{_LOG}, u AS (SELECT api, strftime(ts, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS used, CASE api WHEN 'text_search' THEN 980 WHEN 'place_details' THEN 950 ELSE 25000 END AS cap FROM usage_log GROUP BY 1, 2) SELECT *, used >= cap AS exhausted FROM u",
     "quota_cut": f"""{_LOG}, r AS (SELECT *, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY api, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS i FROM usage_log)
         SELECT api, month, i <= CASE api WHEN 'text_search' THEN 980 WHEN 'place_details' THEN 950 WHEN 'psi' THEN 25000 ELSE 1000000000 END AS admitted, count(*) AS calls, max(event_id) AS last_event FROM r GROUP BY 1, 2, 3""",
+    "silent_sources": "SELECT user_id, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts)))) / 60) AS BIGINT) AS idle FROM events GROUP BY user_id HAVING floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts)))) / 60) >= 1440",
     "quota_warnings": f"{_LOG}, u AS (SELECT api, strftime(ts, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS used FROM usage_log GROUP BY 1, 2) SELECT *, used >= 900 AS warning, greatest(0, 1000 - used) AS left FROM u",
     "running_usage": f"{_LOG} SELECT api, event_id, CAST(sum(n) OVER (PARTITION BY api ORDER BY ts, event_id) AS BIGINT) AS used FROM usage_log",
     "fresh_counts": "SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-20 11:55:00') AS last_5, count(*) FILTER (ts > TIMESTAMP '2024-01-20 11:45:00') AS last_15, count(*) FILTER (ts > TIMESTAMP '2024-01-20 11:00:00') AS last_60, count(*) AS total, max(ts) AS latest FROM events",

@@ -518,7 +518,7 @@ r AS (SELECT page_id, 'role' AS source, c FROM i WHERE regexp_matches(substr(rep
 d AS (SELECT DISTINCT page_id, source, c FROM r WHERE NOT list_has_any(regexp_split_to_array(lower(c), '[\\s''’.\\-]+'), ['menu', 'search']))"""
 
 ORACLES = {
-    "mention_scores": f"WITH {_MENTIONS} SELECT page_id, count(*) AS mentions, CASE WHEN bool_or(length(c) % 4 = 0) THEN 25 ELSE 0 END AS mention_score FROM d WHERE length(c) % 2 = 0 GROUP BY page_id",
+    "mention_scores": f"WITH {_MENTIONS} SELECT page_id, count(DISTINCT c) AS mentions, CASE WHEN bool_or(length(c) % 4 = 0) THEN 25 ELSE 0 END AS mention_score FROM d WHERE length(c) % 2 = 0 GROUP BY page_id",
     "lexicon_prepare": f"WITH t AS (SELECT source, lang, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), k AS (SELECT DISTINCT source, lang, {_key_sql('w')} AS key FROM t WHERE NOT contains(w, ':')) SELECT lang AS role, count(DISTINCT key) AS keys, min(key) AS first_key, max(key) AS last_key, count(*) AS entries FROM k WHERE length(key) >= 3 GROUP BY lang",
     "key_verdicts": f"WITH {_LISTS} SELECT verdict, count(*) AS n FROM kv GROUP BY verdict",
     "text_verdicts": f"WITH {_LISTS} SELECT id, verdict, matched FROM tv",

@@ -80,6 +80,31 @@ def stalls(events: DataFrame, at: str = "ts", keys: tuple[str, ...] = (), polls:
     )
 
 
+def last_seen(events: DataFrame, keys: tuple[str, ...], at: str = "ts") -> DataFrame:
+    """Newest time per source; the newest of several such tables is the same of all their rows."""
+    return events.groupBy(*keys).agg(F.max(at).alias(at))
+
+
+def record(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...], at: str = "ts", available_now: bool = False):
+    """Keep :func:`last_seen` of every micro-batch under ``out/batch=N``, for :func:`silent`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last_seen(batch, keys, at).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def silent(seen: DataFrame, as_of: Column, keys: tuple[str, ...], at: str = "ts", polls: int = STALL_POLLS) -> DataFrame:
+    """The stall alarm: sources from which nothing came for ``polls`` minutes before ``as_of``.
+
+    A stalled source sends nothing that could move a watermark, so the clock comes from outside: this is a small
+    batch over the recorded times, run as often as an alarm may be late.
+    """
+    idle = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(at)) / 60).cast("long")
+    return last_seen(seen, keys, at).select(*keys, F.col(at).alias("last_progress"), idle.alias("idle")).where(F.col("idle") >= polls)
+
+
 def quota_warnings(log: DataFrame, at: str = "ts", warn: int = QUOTA_WARN, limit: int = QUOTA_LIMIT) -> DataFrame:
     """Running calls per (api, month) with the warning flags; use output mode ``update``."""
     return (

@@ -56,5 +56,27 @@ def start(stream: DataFrame, out: str, checkpoint: str, key: str, at: Sequence[s
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_parts(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("batch")
+def read_parts(spark: SparkSession, out: str, compacted: str | None = None) -> DataFrame:
+    """All parts, or those that a compaction holds already and the parts after it."""
+    parts = spark.read.parquet(out)
+    if compacted is None:
+        return parts.drop("batch")
+    held = spark.read.parquet(compacted)
+    upto = held.agg(F.max("upto")).first()[0]
+    return held.drop("upto").unionByName(parts.where(F.col("batch") > upto).drop("batch"))
+
+
+def compact(spark: SparkSession, out: str, to: str, key: str, previous: str | None = None) -> None:
+    """Merge the parts written so far, and a previous compaction, to one row per key in the new folder ``to``.
+
+    Parts stay where they are; those up to the newest batch seen now can be removed once no reader needs them. A batch
+    that is still being written has a higher number and is read as a part.
+    """
+    newest = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    seen = spark.read.parquet(out).where(F.col("batch") <= newest)
+    rows = seen.drop("batch")
+    if previous is not None:
+        held = spark.read.parquet(previous)
+        upto = held.agg(F.max("upto")).first()[0]
+        rows = held.drop("upto").unionByName(seen.where(F.col("batch") > upto).drop("batch"))
+    merge_parts(rows, key).withColumn("upto", F.lit(newest)).write.parquet(to)

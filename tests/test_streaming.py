@@ -63,3 +63,35 @@ def test_sightings_stream_merges_to_the_batch_result(stream, spark):
     got = sightings.current(sightings.read_parts(spark, str(tmp / "parts")), "user_id", "ts")
     want = sightings.current(sightings.reduce_batch(batch, "user_id", at, ctx, facts), "user_id", "ts")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_compaction_changes_nothing(stream, spark):
+    batch, live, tmp = stream
+    at, ctx, facts = ("ts", "event_id"), ("event_type",), ("value", "props")
+    q = sightings.start(live, str(tmp / "parts"), str(tmp / "ck"), "user_id", at, ctx, facts, available_now=True)
+    assert q.awaitTermination(120)
+    rows = lambda *a: sorted(map(tuple, sightings.current(sightings.read_parts(spark, *a), "user_id", "ts").collect()))
+    want = rows(str(tmp / "parts"))
+    sightings.compact(spark, str(tmp / "parts"), str(tmp / "c1"), "user_id")
+    assert rows(str(tmp / "parts"), str(tmp / "c1")) == want
+    assert spark.read.parquet(str(tmp / "c1")).count() == batch.select("user_id").distinct().count()
+    # More batches after the compaction, and a second one on top of it.
+    sightings.reduce_batch(batch, "user_id", at, ctx, facts).write.parquet(str(tmp / "parts" / "batch=7"))
+    later = rows(str(tmp / "parts"))
+    assert later != want and rows(str(tmp / "parts"), str(tmp / "c1")) == later
+    sightings.compact(spark, str(tmp / "parts"), str(tmp / "c2"), "user_id", str(tmp / "c1"))
+    assert rows(str(tmp / "parts"), str(tmp / "c2")) == later
+
+
+def test_a_stream_that_stops_raises_the_alarm(stream, spark):
+    """No event comes to close a window; the alarm comes from the clock."""
+    batch, live, tmp = stream
+    q = progress.record(live, str(tmp / "seen"), str(tmp / "ck"), ("event_type",), available_now=True)
+    assert q.awaitTermination(120)
+    seen = spark.read.parquet(str(tmp / "seen"))
+    newest = {r["event_type"]: r["ts"] for r in progress.last_seen(batch, ("event_type",)).collect()}
+    latest = F.lit(max(newest.values()))
+    early = progress.silent(seen, latest, ("event_type",), polls=60 * 24 * 365)
+    assert early.count() == 0
+    alarm = progress.silent(seen, latest + F.expr("INTERVAL 10 MINUTES"), ("event_type",), polls=10).collect()
+    assert {r["event_type"]: r["last_progress"] for r in alarm} == newest and all(r["idle"] >= 10 for r in alarm)
