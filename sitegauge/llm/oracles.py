@@ -33,7 +33,7 @@ m AS (
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
     coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN cov ON cov.rid = d.rid LEFT JOIN ln ON ln.rid = d.rid),
 x AS (
-  SELECT rid, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeat_words']) AS metric, unnest([1.5, 0.1, 0.15, 0.15]::DOUBLE[]) AS slack,
+  SELECT rid, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeat_words']) AS metric, unnest([1.5, 0.1, 0.35, 0.3]::DOUBLE[]) AS slack,
     unnest([word_chars / greatest(n_words, 1), n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1)]) AS x FROM m),
 b AS (
   SELECT lang, source, metric, slack, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln(CAST(1.02 AS DOUBLE))) AS INTEGER) ELSE -100000 END AS bucket, count(*) AS n

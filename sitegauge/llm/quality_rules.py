@@ -20,8 +20,8 @@ GAMMA = 1.02
 MIN_ROWS = 200
 #: Words a text must have, and the share of words in repeated windows (percent) it may have, whatever its group.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: metric -> slack: distance beyond the fences that is always allowed.
-SLACK = {"word_length": 1.5, "symbols": 0.1, "dup_lines": 0.15, "repeat_words": 0.15}
+#: metric -> slack: distance beyond the fences that is always allowed; one line of three may be a repetition.
+SLACK = {"word_length": 1.5, "symbols": 0.1, "dup_lines": 0.35, "repeat_words": 0.3}
 #: Fences lie this many inter-quantile spreads outside the 10 % and 90 % quantiles.
 SPREADS = 2.0
 _ZERO = -100_000
