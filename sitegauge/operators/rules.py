@@ -23,24 +23,25 @@ class Rule:
     label: str
 
 
-MAX_RULES = 2000
+#: Rules in one chain; longer tables become several chains, tried in order.
+CHAIN = 500
 
 
 def rules_from(table: DataFrame) -> list[Rule]:
-    """Rule table ``(pos, pattern, weight, label)`` to rules; refuses a table that is not configuration."""
-    rows = table.orderBy("pos").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: join them as data instead")
-    return [Rule(r["pattern"], r["weight"], r["label"]) for r in rows]
+    """Rule table ``(pos, pattern, weight, label)`` to rules, all of them: a list that people write."""
+    return [Rule(r["pattern"], r["weight"], r["label"]) for r in table.orderBy("pos").collect()]
 
 
 def first_match(text: Column, rules: Sequence[Rule]) -> Column:
     """``struct(weight, label)`` of the first rule that matches; null if none does."""
-    out = None
-    for r in rules:
-        value = F.struct(F.lit(r.weight).alias("weight"), F.lit(r.label).alias("label"))
-        out = F.when(text.rlike(r.pattern), value) if out is None else out.when(text.rlike(r.pattern), value)
-    return out
+    chains = []
+    for at in range(0, len(rules), CHAIN):
+        out = None
+        for r in rules[at : at + CHAIN]:
+            value = F.struct(F.lit(r.weight).alias("weight"), F.lit(r.label).alias("label"))
+            out = F.when(text.rlike(r.pattern), value) if out is None else out.when(text.rlike(r.pattern), value)
+        chains.append(out)
+    return F.coalesce(*chains)
 
 
 def best_match(text: Column, rules: Sequence[Rule]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.functions import contacts, languages
+from sitegauge.functions import contacts, languages, markup
 from sitegauge.functions.text import count_class, fingerprint, html_to_text
 from sitegauge.functions.urls import host_of, safe_url
 from sitegauge.operators import reports
@@ -14,8 +14,8 @@ from sitegauge.operators.quality import score_band, site_quality
 from sitegauge.plans import checks
 from sitegauge.plans.inputs import table
 from sitegauge.plans.profiles import ACCENTS, TRIAL
-from sitegauge.plans.rescore import page_columns, stored_facts
-from sitegauge.session import spread
+from sitegauge.plans.rescore import page_columns, page_facts
+from sitegauge.session import reliable, spread
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Stored home pages in the shape of the job's input, with the mark-up that the table lacks."""
@@ -30,7 +30,9 @@ def columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_quality(spark: SparkSession, sf: str) -> DataFrame:
-    facts = stored_facts(responses(spark, sf), TRIAL)
+    # Only what the score reads is computed and stored.
+    audit = F.col("audit").dropFields("emails", "socials").alias("audit")
+    facts = reliable(page_facts(spread(responses(spark, sf)), TRIAL).select("place_id", audit))
     return site_quality(facts.withColumn("page_id", F.substr("place_id", F.lit(2)).cast("long")), TRIAL.year, name="q")
 
 
@@ -91,10 +93,10 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Visible text; every page ends in entities: a character in two halves, a high one, half a one, and none."""
     entities = "<p>&#55357;&#56832; &#128512; &#55357;x &#1234567890; &#169;</p>"
     text = html_to_text(F.concat("html", F.lit(entities)))
-    base = table(spark, sf, "pages").select("page_id", text.alias("t"), F.length("html").alias("n"))
+    base = table(spark, sf, "pages").select("page_id", text.alias("t"), "html")
     return base.select(
         "page_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5"),
-        ((F.length("t") < 250) & (F.col("n") > 500)).alias("empty_shell"),
+        markup.empty_shell(F.col("html"), F.col("t")).alias("empty_shell"),
     )
 
 

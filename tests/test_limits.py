@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from sitegauge.functions import contacts, structure, technology, text
-from sitegauge.operators import mentions, merge, reports, tasks, verdict
+from sitegauge.operators import mentions, merge, reports, rules, tasks, verdict
 from sitegauge.sources import readers
 
 
@@ -106,3 +106,11 @@ def test_thousands_of_decisions(spark):
     state = places.selectExpr("*", "'manual' AS bucket", "true AS has_audit", "CAST(null AS string) AS fetch_error", "5 AS site_score")
     picked = verdict.pick_by_prefix(state, [("firm 1", "first"), ("Firm 12", "second"), ("zzz", "none")]).collect()
     assert {r["why"] for r in picked} == {"first"} and all(r["passes"] for r in picked)
+
+
+def test_rule_tables_of_any_length(spark, one):
+    table = spark.range(1200).selectExpr("id AS pos", "concat('^w', id, '$') AS pattern", "cast(id % 7 AS int) AS weight", "concat('l', id) AS label")
+    made = rules.rules_from(table)
+    assert len(made) == 1200
+    got = one(rules.first_match(F.lit("w1199"), made), rules.first_match(F.lit("none"), made))
+    assert got[0]["label"] == "l1199" and got[1] is None
