@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import components, reliable, semi_join, with_package
+from sitegauge.llm.common import bounded, components, reliable, semi_join, with_package
 from sitegauge.llm.wordarrays import mix64, shingle_sets, text_chunks
 
 SHINGLE_WORDS = 5
@@ -120,15 +120,14 @@ def _reaches(common: Column, a: str, b: str, num: int, den: int) -> Column:
     return F.lit(den) * common >= F.lit(num) * (F.col(a) + F.col(b) - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the size of their intersection and their own sizes, from the full sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    sized = pairs.join(right, "b").join(left, "a").select(
-        "a", "b", common.alias("n"), F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b")
+    return pairs.join(right, "b").join(left, "a").select(
+        "a", "b", common.alias("common"), F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b")
     )
-    return sized.where(_reaches(F.col("n"), "n_a", "n_b", num, den)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
@@ -141,9 +140,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     component is null, and it is kept. Other columns, whatever their names, are not looked at.
 
     1. One pass makes signatures; equal sets (128-bit digests) become one class, so copies go no further.
-    2. In each bucket every class is compared with the least one, and links are contracted to components.
-    3. What is left to compare is a pair of one bucket in two components. A pair's intersection is at most each
-       set's size less the shingles that no other open set has; this exact bound is part of the join, so a large
+    2. In each bucket every class is compared with the most central one (the least share of shingles that no other
+       open set has), and links are contracted to components.
+    3. What is left to compare is a pair of one bucket in two components. Exact bounds of a pair's intersection, from
+       the comparisons with the hub and the shingles that no other open set has, are part of the join, so a large
        group of loose variants doesn't come out as pairs. Pairs that pass are confirmed on their full sets.
     A link at exactly 0.85 is missed by all 25 bands of 6 with probability 8e-6; nothing else is left out.
     """
@@ -156,25 +156,30 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
         known, repeats = known.where("digest_a = d.digest_a and digest_b = d.digest_b").drop("d"), True
     classes = reliable(known.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("class_id")))
     one = known.join(classes.select(F.col("class_id").alias("doc_id"), "digest_a", "digest_b"), ["doc_id", "digest_a", "digest_b"])
-    members = one.select(
-        F.explode("bands").alias("bucket"), F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).alias("m")
-    )
-    hubs = members.groupBy("bucket").agg(F.min("m").alias("hub"), F.max("m").alias("top")).where("hub.id < top.id")
-    open_ = reliable(
-        members.join(hubs, "bucket").select("bucket", F.col("m.id").alias("id"), F.col("m.n").alias("n"), "hub")
-    )
+    members = one.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    shared = members.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    open_ = reliable(members.join(shared.select("bucket"), "bucket"))
     wanted = reliable(open_.select(F.col("id").alias("doc_id")).distinct())
     sets = reliable(semi_join(docs, wanted, "doc_id").mapInArrow(_full_sets, _SETS))
     if repeats:
         named = classes.select(F.col("class_id").alias("doc_id"), "digest_a", "digest_b")
         sets = sets.join(named, ["doc_id", "digest_a", "digest_b"], "left_semi").dropDuplicates(["doc_id"])
+    # The member with the smallest share of shingles of its own is the most central.
+    share = F.coalesce("own", F.lit(0)) / F.col("n")
+    ranked = open_.join(_own(sets), "id", "left").select("bucket", F.struct(share.alias("share"), "id", "n").alias("m"))
+    hubs = ranked.groupBy("bucket").agg(F.min("m").alias("hub"))
+    placed = reliable(ranked.join(hubs, "bucket").select(
+        "bucket", F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("n_hub")
+    ))
     star = (
-        open_.where("id > hub.id").select(F.col("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("id").alias("b"), "n")
-        .where(_reaches(F.least("n_a", "n"), "n_a", "n", num, den)).select("a", "b").distinct()
+        placed.where("id <> hub").where(_reaches(F.least("n", "n_hub"), "n", "n_hub", num, den))
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     )
-    links = reliable(_confirmed(star, sets, num, den))
+    close = _reaches(F.col("common"), "n_a", "n_b", num, den)
+    stars = reliable(_compared(star, sets))
+    links = reliable(stars.where(close).select("a", "b"))
     found = components(links)
-    links_2 = reliable(_confirmed(_open_pairs(open_, found, sets, num, den), sets, num, den))
+    links_2 = reliable(_compared(_open_pairs(placed, found, stars, sets, num, den), sets).where(close).select("a", "b"))
     if not links_2.isEmpty():
         found = components(links.unionByName(links_2))
     of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
@@ -191,28 +196,60 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     )
 
 
-def _open_pairs(open_: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of one bucket in different components that the exact bound doesn't rule out."""
-    at = open_.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", "n", F.coalesce("component", "id").alias("c")
-    )
+def _own(sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a set are in no other of these sets, where there are any."""
+    each = sets.select("doc_id", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("id")).where("k = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _open_pairs(placed: DataFrame, found: DataFrame, stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of one bucket in different components that the exact bounds don't rule out.
+
+    An upper bound of the intersection of x and y, h being the hub of their bucket, both compared with it before:
+    what each shares with h, and what each has besides h and not for itself alone, the lesser of the two in each case.
+    """
+    at = placed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = at.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("bucket")
-    at = reliable(at.join(split, "bucket"))
-    ids = at.select(F.col("id").alias("doc_id")).distinct()
-    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
-    own = each.groupBy("s").agg(F.count("*").alias("k"), F.first("doc_id").alias("id")).where("k = 1").groupBy("id").agg(
-        F.count("*").alias("own")
+    at = reliable(at.join(split, "bucket").select("bucket", "id", "n", "c", "hub"))
+    own = _own(sets.join(at.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    with_hub = stars.select("a", "b", "common")
+    at = (
+        at.join(own, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+        # No partner can help a set whose own shingles alone are too many.
+        .where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n"))
+        .withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub")).join(with_hub, ["a", "b"], "left")
     )
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    at = at.join(own, "id", "left").select("bucket", "id", "n", "c", shared.alias("most"))
-    # No partner can help a set whose own shingles alone are too many.
-    at = reliable(at.where(F.lit(den) * F.col("most") >= F.lit(num) * F.col("n")))
+    # Sets that weren't compared with the hub, their sizes being too far apart, are bounded by themselves.
+    inside = F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.coalesce("common", "n"))
+    besides = F.when(F.col("id") == F.col("hub"), F.lit(0)).otherwise(F.col("shared") - F.coalesce("common", F.lit(0)))
+    at = reliable(at.select("bucket", "id", "n", "c", "shared", inside.alias("inside"), F.greatest(besides, F.lit(0)).alias("besides")))
     sides = [
-        at.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "c", "most")]) for side in ("a", "b")
+        at.select("bucket", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "n", "c", "shared", "inside", "besides")]) for side in ("a", "b")
     ]
     # One side is dealt out by a salt, so a large bucket is compared in many tasks.
     a = sides[0].withColumn("salt", F.pmod(F.xxhash64("id_a"), F.lit(_SALTS)))
     b = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    bound = _reaches(F.least("most_a", "most_b"), "n_a", "n_b", num, den)
+    most = F.least(F.least("shared_a", "shared_b"), F.least("inside_a", "inside_b") + F.least("besides_a", "besides_b"))
+    bound = _reaches(most, "n_a", "n_b", num, den)
     pairs = a.join(b, ["bucket", "salt"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & bound)
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def without_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of `docs` that :func:`near_duplicates` keeps, all columns, one row for a repeated doc_id.
+
+    The texts are not shuffled unless the list of ids that go is too long to broadcast.
+    """
+    found = reliable(near_duplicates(docs, num, den).where("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept"))
+    gone = reliable(found.where(~F.col("kept")).select("_id").distinct())
+    twice = bounded(reliable(found.where("kept").groupBy("_id").count().where("count > 1").select(F.col("_id").alias("_twice"))))
+    gone = bounded(gone)
+    id_ = docs["doc_id"].cast("long")
+    left = docs.join(gone, id_ == gone["_id"], "left_anti")
+    repeated = left.join(twice, id_ == twice["_twice"], "left_semi")
+    columns = docs.columns
+    # Rows of one id that differ in text: one of them stays as well, the least.
+    text = F.col("text").cast("string")
+    one = repeated.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])).groupBy(id_.alias("_key")).agg(F.min_by("_row", F.coalesce(text, F.lit(""))).alias("_row"))
+    return left.join(twice, id_ == twice["_twice"], "left_anti").unionByName(one.select("_row.*"))
