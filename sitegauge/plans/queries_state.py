@@ -618,7 +618,7 @@ ORACLES = {
         UNION ALL SELECT 'score', v.l, count(m.place_id) FROM (VALUES ('55+'), ('40-54'), ('25-39'), ('10-24'), ('0-9')) v(l) LEFT JOIN m ON m.sb = v.l GROUP BY v.l
         UNION ALL SELECT 'reviews', v.l, count(m.place_id) FROM (VALUES ('200+'), ('100-199'), ('50-99'), ('20-49'), ('5-19')) v(l) LEFT JOIN m ON m.rb = v.l GROUP BY v.l""",
     "panel_figures": f"{_S} SELECT count(*) AS rows, count(*) FILTER (trim(coalesce(status, '')) = '') AS untouched, count(*) FILTER (site_score <= 3) AS hot, floor(avg(site_score) * 10 + 0.5) / 10 AS mean_score FROM state WHERE site_score IS NOT NULL",
-    "top_metros": f"{_S}, l AS (SELECT metro_key || ' metropolitan area of ' || hood_name AS label, count(*) AS n FROM state GROUP BY 1 ORDER BY n DESC, label LIMIT 8) SELECT left(label, 23) || '…' AS label, n FROM l",
+    "top_metros": f"{_S}, l AS (SELECT metro_key || ' metropolitan area of ' || hood_name AS label, count(*) AS n FROM state GROUP BY 1 ORDER BY n DESC, label LIMIT 8) SELECT left(label, 23) || '…' AS label, label AS full_label, n FROM l",
     "state_score_histogram": f"{_S} SELECT s AS score, count(state.place_id) AS n FROM (SELECT unnest(range(1, 11)) AS s) LEFT JOIN state ON site_score = s GROUP BY s",
     "status_funnel": f"{_S} SELECT CASE WHEN trim(coalesce(status, '')) = '' THEN 'Не опрацьовано' ELSE trim(status) END AS status, count(*) AS n FROM state GROUP BY 1",
     "phone_patterns": f"{_P} SELECT count(*) AS phones, count(*) FILTER (regexp_matches(phone, '\\+?\\s?7[\\s\\-(]?9\\d{{2}}[\\s\\-)]?\\d{{3}}')) AS ru_hits, count(*) FILTER (regexp_matches(phone, '\\+?\\s?380[\\s\\-(]?\\d{{2}}')) AS ua_hits, CAST(floor(count(*) FILTER (regexp_matches(phone, '\\+?\\s?7[\\s\\-(]?9\\d{{2}}[\\s\\-)]?\\d{{3}}')) * 100 / count(*) + 0.5) AS BIGINT) AS ru_share FROM places",

@@ -1,6 +1,7 @@
 """Status, quality, effort, owner score and the verdict cascade on literal rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from sitegauge import texts
 from sitegauge.functions.evidence import evidence, item
 from sitegauge.operators import effort, quality, reviews, rules, verdict
 from sitegauge.params import DEFAULT
-from sitegauge.plans.rescore import rescore, reverdict
+from sitegauge.plans.rescore import audits_of, rescore, reverdict, stored_facts
+from sitegauge.session import reliable
 
 AUDIT = (
     "struct<http_status:int,fetch_error:string,html_bytes:bigint,title:string,meta_description:string,h1:string,"
@@ -161,9 +163,15 @@ def test_rescore_is_idempotent_and_reads_old_audits_without_a_page(job):
     assert {r["place_id"]: r["owner"]["score"] for r in stored.collect()}["a"] == 98
 
 
-def test_reverdict_touches_changed_places_only(job, spark):
+def test_reverdict_touches_changed_places_only_and_no_page(job, spark):
     changed = spark.createDataFrame([("a",)], "place_id string")
-    assert [r["place_id"] for r in reverdict(job[0], changed, *job[1:]).collect()] == ["a"]
+    state, pages, rev, psi, pins = job
+    audits = reliable(audits_of(stored_facts(pages.where("role = 'home'") if "role" in pages.columns else pages)))
+    again = reverdict(state, changed, audits, rev, psi, pins)
+    assert not re.search(r"\bhtml#", again._jdf.queryExecution().optimizedPlan().toString())
+    full = {r["place_id"]: r for r in rescore(state, pages, rev, psi, pins).collect()}
+    (row,) = again.collect()
+    assert row["place_id"] == "a" and (row["bucket"], row["owner_score"], row["site_score"]) == (full["a"]["bucket"], full["a"]["owner_score"], full["a"]["site_score"])
 
 
 def test_review_points(one):
@@ -189,11 +197,10 @@ def test_heaviest_rule_wins_and_first_of_equals(one):
     assert got == ("second", "second", "first", None)
 
 
-def test_rule_table_is_refused_when_it_is_data(spark):
-    big = spark.range(rules.MAX_RULES + 1).select(F.col("id").alias("pos"), F.lit("x").alias("pattern"), F.lit(1).alias("weight"), F.lit("l").alias("label"))
-    with pytest.raises(ValueError):
-        rules.rules_from(big)
-    assert len(rules.rules_from(big.limit(3))) == 3
+def test_rule_tables_are_read_whole_and_in_order(spark):
+    big = spark.range(2500).select((-F.col("id")).alias("pos"), F.lit("x").alias("pattern"), F.lit(1).alias("weight"), F.col("id").cast("string").alias("label"))
+    made = rules.rules_from(big)
+    assert len(made) == 2500 and made[0].label == "2499"
 
 
 def test_mentions_and_probes_add_evidence(job, spark):

@@ -145,6 +145,7 @@ def test_route_must_differ_from_home_and_junk(spark):
             ("s", "candidate", "u/ru/", 200, "<p>home</p>"), ("s", "candidate", "u/ua/", 200, "<p>nothing here</p>"),
             ("s", "candidate", "u/x/", 200, "<h1>Сторінку не знайдено</h1>" + other), ("s", "candidate", "u/y/", 404, other), ("s", "negotiated", "u/", 200, other)]
     df = spark.createDataFrame(rows, "place_id string, role string, final_url string, http_status int, html string")
+    df = probes.stored_answers(df, DEFAULT)
     assert [(r["url"], r["lang"]) for r in probes.confirmed_routes(df, DEFAULT).collect()] == [("u/uk/", "uk")]
     assert [r["lang"] for r in probes.negotiated(df, DEFAULT).collect()] == ["uk"]
 
