@@ -83,7 +83,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     template = reliable(gathered.unionByName(alone).select("line_id", "template_id"))
     member = keys.join(template, "line_id").select("doc", "line_no", "template_id")
     counts = member.groupBy("template_id").agg(F.count_distinct(F.coalesce("doc", F.lit(-(2**63)))).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    return member.join(counts, "template_id").select(F.col("doc").alias("doc_id"), "line_no", "template_id", "n_docs")
+    # Stored: joined straight to its aggregation, a frequent template would stay whole in one task.
+    return member.join(reliable(counts), "template_id").select(F.col("doc").alias("doc_id"), "line_no", "template_id", "n_docs")
 
 
 def without_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
