@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.common import bounded, reliable, with_package
-from sitegauge.llm.wordarrays import LOWER, sequence_hashes, span_hashes, spans, text_chunks
+from sitegauge.llm.wordarrays import LOWER, sequence_hashes, span_hashes, spans, text_chunks, tidy
 
 #: Template tokens in a window. A question of fewer tokens is one window of its own length.
 WINDOW = 8
@@ -146,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted({WINDOW, *[r[0] for r in of_items.select("width").distinct().collect()]})
     sent = spark.sparkContext.broadcast(_bit_filter(of_items))
     found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: (x for b in batches for x in _windows(b, widths, sent.value)), _SCHEMA
+        lambda batches: tidy(x for b in batches for x in _windows(b, widths, sent.value)), _SCHEMA
     )
     of_items = of_items.select(
         F.col("id").alias("item_id"), "window", "width", F.col("at").alias("item_at"), F.col("size").alias("item_size"), F.col("slots").alias("asked")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.common import bounded, components, reliable, semi_join, with_package
-from sitegauge.llm.wordarrays import mix64, shingle_sets, text_chunks
+from sitegauge.llm.wordarrays import mix64, shingle_sets, text_chunks, tidy
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 6
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     A link at exactly 0.85 is missed by all 25 bands of 6 with probability 8e-6; nothing else is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = reliable(with_package(docs).mapInArrow(_profiles, _PROFILE))
+    profiles = reliable(with_package(docs).mapInArrow(lambda b: tidy(_profiles(b)), _PROFILE))
     known, repeats = profiles.where("doc_id is not null and n_shingles > 0"), False
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         first = F.min(F.struct("digest_a", "digest_b")).alias("d")
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     shared = members.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     open_ = reliable(members.join(shared.select("bucket"), "bucket"))
     wanted = reliable(open_.select(F.col("id").alias("doc_id")).distinct())
-    sets = reliable(semi_join(docs, wanted, "doc_id").mapInArrow(_full_sets, _SETS))
+    sets = reliable(semi_join(docs, wanted, "doc_id").mapInArrow(lambda b: tidy(_full_sets(b)), _SETS))
     if repeats:
         named = classes.select(F.col("class_id").alias("doc_id"), "digest_a", "digest_b")
         sets = sets.join(named, ["doc_id", "digest_a", "digest_b"], "left_semi").dropDuplicates(["doc_id"])

@@ -13,7 +13,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from sitegauge.llm.wordarrays import span_hashes
 
 #: Distinct pre-tokens whose pieces a worker remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
 # The endings that the pre-token pattern takes off after an apostrophe.
@@ -24,20 +24,25 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 def classes() -> np.ndarray:
     """Class of every code point, as the library's own pre-tokenizer sees it.
 
-    The code points in order, without blank and apostrophe, are one text; each of its pre-tokens is of one class.
+    The code points in order, without blank and apostrophe, are texts of a few thousand; each of their pre-tokens is of
+    one class.
     """
     out = np.full(0x110000, _OTHER, np.uint8)
     out[0x20] = _SPACE
-    at = np.array([c for c in range(0x110000) if c not in (0x20, 0x27) and not 0xD800 <= c < 0xE000])
-    every = at.astype(np.uint32).tobytes().decode("utf-32-le")
     byte_level = ByteLevel(add_prefix_space=False)
-    for _, (a, b) in byte_level.pre_tokenize_str(every):
-        for kind, before in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
-            if len(byte_level.pre_tokenize_str(before + every[a])) == 1:
-                break
-        else:
-            kind = _SPACE
-        out[at[a:b]] = kind
+    for low in range(0, 0x110000, 0x1000):
+        at = np.arange(low, low + 0x1000, dtype=np.uint32)
+        at = at[(at != 0x20) & (at != 0x27) & ((at < 0xD800) | (at >= 0xE000))]
+        if not len(at):
+            continue
+        every = at.tobytes().decode("utf-32-le")
+        for _, (a, b) in byte_level.pre_tokenize_str(every):
+            for kind, before in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
+                if len(byte_level.pre_tokenize_str(before + every[a])) == 1:
+                    break
+            else:
+                kind = _SPACE
+            out[at[a:b]] = kind
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitegauge.llm.common import bounded, reliable, with_package
-from sitegauge.llm.wordarrays import SPACE, mix64, sequence_hashes, span_hashes, spans, text_chunks, words
+from sitegauge.llm.wordarrays import SPACE, give_back, mix64, sequence_hashes, span_hashes, spans, text_chunks, words
 
 #: Relative width of a sketch bucket: quantiles are right to 1 %.
 GAMMA = 1.02
@@ -82,6 +82,7 @@ def measures_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def measures(text: pa.Array) -> pa.Array:
     parts = [measures_of(data, offsets) for _, _, data, offsets in text_chunks(text)]
     columns = [np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(np.int64) for i in range(len(MEASURES))]
+    give_back()
     return pa.StructArray.from_arrays([pa.array(c) for c in columns], list(MEASURES))
 
 
@@ -132,14 +133,19 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("metric", F.col("q10") - reach))).alias("low"),
         F.map_from_entries(F.collect_list(F.struct("metric", F.col("q90") + reach))).alias("high"),
     )
-    own, lang, every = (
+    fences = reliable(fences)
+    own, lang = (
         fences.where(F.col("depth") == d).select(
             *[F.col(k) for k in ("lang", "source")[:d]], *[F.col(c).alias(f"{c}_{d}") for c in ("rows", "low", "high")]
         )
-        for d in (2, 1, 0)
+        for d in (2, 1)
     )
-    joined = own.join(lang, "lang", "left").withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one", "left")
-    pick = lambda c: F.when(F.col("rows_2") >= MIN_ROWS, F.col(f"{c}_2")).when(F.col("rows_1") >= MIN_ROWS, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0"))
+    every = fences.where("depth = 0").first()  # one row: two maps of four numbers
+    if every is None:
+        return own.select("lang", "source", F.col("low_2").alias("low"), F.col("high_2").alias("high"))
+    joined = own.join(lang, "lang", "left")
+    literal = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    pick = lambda c: F.when(F.col("rows_2") >= MIN_ROWS, F.col(f"{c}_2")).when(F.col("rows_1") >= MIN_ROWS, F.col(f"{c}_1")).otherwise(literal(every[c]))
     return joined.select("lang", "source", pick("low").alias("low"), pick("high").alias("high"))
 
 

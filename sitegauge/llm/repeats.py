@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitegauge.llm.common import reliable, with_package
-from sitegauge.llm.wordarrays import LOWER, SPACE, mix64, span_hashes, spans, text_chunks
+from sitegauge.llm.wordarrays import LOWER, SPACE, mix64, span_hashes, spans, text_chunks, tidy
 
 #: A run of repeated units is removed if one of them has so many words; shorter ones repeat by chance.
 ANCHOR_WORDS = 8
@@ -86,9 +86,11 @@ def repeated_spans(docs: DataFrame, anchor_words: int = ANCHOR_WORDS) -> DataFra
     back meets a frequent unit on one side only, where Spark can split it; a run is found within its document.
     """
     rows = with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = rows.mapInArrow(_units, _UNIT)
+    units = rows.mapInArrow(lambda batches: tidy(_units(batches)), _UNIT)
     at = F.struct("doc_id", "unit")
-    first = units.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("a", "b", "first")
+    first = units.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last")
+    # Stored: joined straight to its aggregation, a frequent unit would stay whole in one task.
+    first = reliable(first.select("a", "b", "first"))
     later = units.join(first, ["a", "b"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit")))
     ).select("doc_id", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.pretokens import of_file
-from sitegauge.llm.wordarrays import text_chunks
+from sitegauge.llm.wordarrays import text_chunks, tidy
 from sitegauge.session import with_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[row:end], pa.array(np.diff(offsets)), pa.array(tokens.counts(data, offsets))], ["doc_id", "n_bytes", "n_tokens"]
             )
+    tokens.forget()
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -40,5 +41,5 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = with_package(rows).mapInArrow(lambda batches: _counted(batches, path), "doc_id long, n_bytes long, n_tokens long")
+    counted = with_package(rows).mapInArrow(lambda batches: tidy(_counted(batches, path)), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

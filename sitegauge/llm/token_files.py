@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitegauge.llm.pretokens import of_file
-from sitegauge.llm.wordarrays import text_chunks
+from sitegauge.llm.wordarrays import text_chunks, tidy
 from sitegauge.session import with_package
 
 BLOCK_IDS = 65_536
@@ -100,6 +100,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 done += n
             while done - first >= BLOCK_IDS:
                 yield block(BLOCK_IDS)
+    tokens.forget()
     if done > first:
         yield block(done - first)
 
@@ -116,7 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     # The texts are moved, not the ids: finding the ranges reads the child twice, and encoding is the dear part.
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    with_package(ordered).mapInArrow(lambda batches: _chunks(batches, path), _CHUNK).write.parquet(folder)
+    with_package(ordered).mapInArrow(lambda batches: tidy(_chunks(batches, path)), _CHUNK).write.parquet(folder)
 
 
 _PIECE = "part int, doc_id long, at long, n long, piece_at long, piece_n long, crc long"
@@ -193,7 +194,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    pieces = with_package(chunks).select("part", "chunk", "first", "n_ids", "plane_at", "payload", "spans").mapInArrow(_pieces, _PIECE)
+    pieces = with_package(chunks).select("part", "chunk", "first", "n_ids", "plane_at", "payload", "spans").mapInArrow(lambda batches: tidy(_pieces(batches)), _PIECE)
     whole = pieces.where("piece_n = n").select("part", "doc_id", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     # Documents over several blocks: their pieces meet by document.
     cut = pieces.where("piece_n < n").groupBy("part", "doc_id", "at", F.col("n").alias("n_tokens")).agg(

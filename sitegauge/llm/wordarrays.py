@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once. A longer text is worked on alone, whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,6 +24,22 @@ _PLACE = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Free memory returns to the system; else idle workers hold what their largest batch needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory is given back at the end of the task."""
+    try:
+        yield from parts
+    finally:
+        give_back()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(33))
