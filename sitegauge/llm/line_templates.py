@@ -7,8 +7,11 @@ share its template, in which the places that differ are variable. Templates that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sitegauge.llm.common import bounded, reliable
 
@@ -18,8 +21,8 @@ DEPTH = 3
 MIN_TOKENS = 4
 #: Share of places with equal tokens that a line needs to join a template.
 SIMILARITY = 0.7
-#: Templates gathered in a leaf; lines beyond keep a template of their own, themselves.
-ROUNDS = 4
+#: Lines of a leaf looked at for centres in one round, in the first and at most in later ones; rounds go on until no line is open.
+BATCH, LARGEST_BATCH = 4, 256
 #: A template of so many documents is dropped.
 MIN_DOCS = 3
 FIELD = "<*>"
@@ -42,23 +45,57 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return _lines(docs).select("doc", "line_no", "masked", "n", F.md5("masked").alias("line_id"), leaf.alias("leaf"))
 
 
-def _alike(a: str, b: str) -> Column:
-    """Share of equal places of two arrays of one length."""
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two arrays of one length have enough equal places."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same / F.size(a)
+    return same / F.size(a) >= SIMILARITY
+
+
+def _centres(open_: DataFrame, batch: int) -> DataFrame:
+    """(leaf, centres): of the first `batch` lines of each leaf, in order, those that are like no centre before them."""
+    place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.col("n_docs").desc(), "line_id"))
+    first = open_.withColumn("place", place).where(F.col("place") <= batch)
+    lines = F.array_sort(F.collect_list(F.struct("place", "line_id", "tokens")))
+    none = F.array().cast("array<struct<place:int,line_id:string,tokens:array<string>>>")
+    add = lambda done, x: F.when(F.exists(done, lambda c: _alike(c["tokens"], x["tokens"])), done).otherwise(F.array_append(done, x))
+    return first.groupBy("leaf").agg(lines.alias("lines")).select("leaf", F.aggregate("lines", none, add).alias("centres"))
+
+
+def _with_others(open_: DataFrame) -> DataFrame:
+    """The lines that share a piece with another line of their leaf; a line without is like no other.
+
+    Lines that are alike differ in at most 3 of 10 places, so of one piece more than that, one is equal in both.
+    """
+    n = F.size("tokens")
+    pieces = F.floor(n * 3 / 10).cast("int") + 1
+    cut = lambda j: F.floor(j * (n - DEPTH) / pieces).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), pieces - 1), lambda j: F.xxhash64(j, F.slice("tokens", cut(j) + DEPTH + 1, cut(j + 1) - cut(j))))
+    each = reliable(open_.select("leaf", "line_id", F.explode(hashes).alias("piece")))
+    shared = reliable(each.groupBy("leaf", "piece").count().where("count > 1").select("leaf", "piece"))
+    return open_.join(reliable(each.join(shared, ["leaf", "piece"], "left_semi").select("line_id").distinct()), "line_id", "left_semi")
 
 
 def _gathered(lines: DataFrame) -> DataFrame:
-    """(leaf, line_id, template_id) for rows (leaf, line_id, n_docs, tokens): which line each gathers around."""
-    done, rest = None, lines
-    for _ in range(ROUNDS):
-        centre = rest.groupBy("leaf").agg(F.min(F.struct((-F.col("n_docs")).alias("order"), "line_id", "tokens")).alias("c"))
-        tried = rest.join(centre, "leaf").withColumn("near", _alike("tokens", "c.tokens") >= SIMILARITY)
-        tried = reliable(tried.select("leaf", "line_id", "n_docs", "tokens", F.col("c.line_id").alias("template_id"), "near"))
-        joined = tried.where("near").select("leaf", "line_id", "template_id")
-        done = joined if done is None else done.unionByName(joined)
-        rest = tried.where(~F.col("near")).select("leaf", "line_id", "n_docs", "tokens")
-    return done.unionByName(rest.select("leaf", "line_id", F.col("line_id").alias("template_id")))
+    """(leaf, line_id, template_id) for rows (leaf, line_id, n_docs, tokens): which line each gathers around.
+
+    The lines of a leaf are taken in order (most documents, then smaller MD5): one that is like no centre so far is a
+    centre, and each line gathers around the first centre that it is like. A round settles all centres among the first
+    lines that are open, so the last round leaves no line.
+    """
+    done, rest, batch = [], lines, BATCH
+    while True:
+        tried = rest.join(_centres(rest, batch), "leaf", "left")
+        near = F.filter("centres", lambda c: _alike(c["tokens"], F.col("tokens")))
+        tried = reliable(tried.select("leaf", "line_id", "n_docs", "tokens", F.get(near, F.lit(0))["line_id"].alias("template_id")))
+        done.append(tried.where("template_id IS NOT NULL").select("leaf", "line_id", "template_id"))
+        open_ = tried.where("template_id IS NULL").select("leaf", "line_id", "n_docs", "tokens")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        rest = reliable(_with_others(open_))
+        done.append(open_.join(rest, "line_id", "left_anti").select("leaf", "line_id", F.col("line_id").alias("template_id")))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        batch = min(4 * batch, LARGEST_BATCH)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
