@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return minhash.without_duplicates(docs)
+    """One document of each group of near-duplicates, of a similarity of 0.8 or more over five words, stays."""
+    return minhash.without_duplicates(docs, 80, 100)
 
 
 def decontamination_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,10 @@ from sitegauge.llm.wordarrays import mix64, shingle_sets, text_chunks, tidy
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 6
+#: A link at the threshold is missed by all bands with this probability at most.
+MISSED = 1e-5
 #: Fixed odd distance between neighbouring shifts.
-_SHIFTS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(2654435761)).astype(np.uint32)
+_SHIFT = np.uint64(2654435761)
 _WIDE = 4096
 _SALTS = 8
 
@@ -47,18 +49,25 @@ def order(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def bands_for(num: int, den: int) -> int:
+    """Bands of ROWS that a threshold of num / den needs: 25 for 0.85, 38 for 0.8."""
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-((num / den) ** ROWS))))) if num < den else 1
+
+
+def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """All coordinates of one non-empty set, any size, as 32-bit integers."""
     places = scatter(shingles)
-    least = np.full(len(_SHIFTS), 0xFFFFFFFF, np.uint32)
+    shifts = (np.arange(1, bands * ROWS + 1, dtype=np.uint64) * _SHIFT).astype(np.uint32)
+    least = np.full(len(shifts), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(places), _WIDE):
-        np.minimum(least, order(places[None, at : at + _WIDE] - _SHIFTS[:, None]).min(axis=1), out=least)
+        np.minimum(least, order(places[None, at : at + _WIDE] - shifts[:, None]).min(axis=1), out=least)
     return least
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of a signature."""
-    return sequence_hashes_by_row(least.reshape(BANDS, ROWS).astype(np.uint64), np.arange(BANDS, dtype=np.uint64))
+    rows = least.reshape(-1, ROWS).astype(np.uint64)
+    return sequence_hashes_by_row(rows, np.arange(len(rows), dtype=np.uint64))
 
 
 def sequence_hashes_by_row(rows: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -78,7 +87,7 @@ _SETS = "doc_id long, digest_a long, digest_b long, shingles array<long>"
 _PROFILE = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
     none: np.ndarray = np.zeros(0, np.int64)
     for batch in batches:
         for row, end, data, offsets in text_chunks(batch.column(1)):
@@ -86,7 +95,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in shingle_sets(data, offsets, SHINGLE_WORDS):
                 sizes.append(len(s))
                 digests.append(set_digest(s) if len(s) else (None, None))
-                bands.append(band_keys(signature(s)).view(np.int64) if len(s) else none)
+                bands.append(band_keys(signature(s, n_bands)).view(np.int64) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[row:end],
@@ -145,10 +154,12 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     3. What is left to compare is a pair of one bucket in two components. Exact bounds of a pair's intersection, from
        the comparisons with the hub and the shingles that no other open set has, are part of the join, so a large
        group of loose variants doesn't come out as pairs. Pairs that pass are confirmed on their full sets.
-    A link at exactly 0.85 is missed by all 25 bands of 6 with probability 8e-6; nothing else is left out.
+    A link at exactly 0.85 is missed by all 25 bands of 6 with probability 8e-6, and at other thresholds, which take as
+    many bands as that needs, with at most MISSED; nothing else is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = reliable(with_package(docs).mapInArrow(lambda b: tidy(_profiles(b)), _PROFILE))
+    n_bands = bands_for(num, den)
+    profiles = reliable(with_package(docs).mapInArrow(lambda b: tidy(_profiles(b, n_bands)), _PROFILE))
     known, repeats = profiles.where("doc_id is not null and n_shingles > 0"), False
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         first = F.min(F.struct("digest_a", "digest_b")).alias("d")
