@@ -16,6 +16,9 @@ from sitegauge.llm.wordarrays import LOWER, SPACE, mix64, span_hashes, spans, te
 
 #: A run of repeated units is removed if one of them has so many words; shorter ones repeat by chance.
 ANCHOR_WORDS = 8
+#: A run is removed as well if its units have so many words together. A passage of 50 words in units of fewer than
+#: ANCHOR_WORDS has at least so many in whole units: its first and last unit may stand in longer ones of the document.
+RUN_WORDS = 50 - 2 * (ANCHOR_WORDS - 1)
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -78,7 +81,7 @@ def repeated_spans(docs: DataFrame, anchor_words: int = ANCHOR_WORDS) -> DataFra
 
     docs: doc_id, text; other columns are ignored. A unit is repeated if the same unit stands earlier, by doc_id
     (null first) and then by place; neighbouring repeated units form a run, and a run goes if one of its units has
-    `anchor_words` words. Offsets are in code points of the original text, the end exclusive. `first_doc_id` is the
+    `anchor_words` words or all together have RUN_WORDS. Offsets are in code points of the original text, the end exclusive. `first_doc_id` is the
     document that keeps the longest unit of the run. Null and empty texts have no units; rows of one id are one
     document, so a row that stands twice is not a repetition of itself.
 
@@ -95,7 +98,9 @@ def repeated_spans(docs: DataFrame, anchor_words: int = ANCHOR_WORDS) -> DataFra
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit")))
     ).select("doc_id", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"))
     later = reliable(later)
-    anchored = later.where(F.col("n_words") >= anchor_words).select("doc_id").distinct()
+    # A document with too few words for either has no run to remove.
+    of_doc = later.groupBy("doc_id").agg(F.max("n_words").alias("longest"), F.sum("n_words").alias("n_words"))
+    anchored = of_doc.where((F.col("longest") >= anchor_words) | (F.col("n_words") >= RUN_WORDS)).select("doc_id")
     mine = later.alias("l").join(anchored.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi").distinct()
     # Consecutive numbers less their rank are equal. Rows of one id may hold other texts: ranks are dense.
     rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit"))
@@ -103,7 +108,7 @@ def repeated_spans(docs: DataFrame, anchor_words: int = ANCHOR_WORDS) -> DataFra
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"),
         F.max("n_words").alias("longest"), F.max_by("first_doc_id", "n_words").alias("first_doc_id"),
     )
-    return runs.where(F.col("longest") >= anchor_words).select("doc_id", "start", "end", "n_units", "n_words", "first_doc_id")
+    return runs.where((F.col("longest") >= anchor_words) | (F.col("n_words") >= RUN_WORDS)).select("doc_id", "start", "end", "n_units", "n_words", "first_doc_id")
 
 
 @F.arrow_udf(T.StringType())
