@@ -7,8 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegauge.llm import (
-    decontamination, line_templates, merkle, minhash, mixing, ngram_trie, oracles, periodic, pii, quality_rules, repeats, token_counts,
-    token_files,
+    decontamination, line_templates, merkle, minhash, mixing, ngram_trie, oracles, periodic, pii, quality_rules, repeats, suffixes,
+    token_counts, token_files,
 )
 from sitegauge.llm.common import read_table
 from sitegauge.session import ensure_checkpoint_dir
@@ -64,6 +64,10 @@ def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(periodic.with_planted_runs(read_table(spark, sf_dir, "documents")))
 
@@ -77,7 +81,7 @@ QUERIES = {
     for f in (
         op1_template_decontamination, op2_token_counts, op3_bit_planes, op4_minhash, op5_temperature_mixing,
         op6_repeated_units, op7_pii_field, op8_line_templates, op9_quality_rules, op10_ngram_trie,
-        op12_periodic_runs, op13_merkle_manifest,
+        op11_suffix_order, op12_periodic_runs, op13_merkle_manifest,
     )
 }
 ORACLES = {
