@@ -53,8 +53,42 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def decode_numeric_entities(text: Column) -> Column:
-    """Replace ``&#NNN;`` by its character; texts without one are passed through."""
-    return bind(text, _decode_numeric)
+    """Replace ``&#NNN;`` by its character, once and from left to right; texts without one are passed through.
+
+    The text is cut at ``&#``: a piece that begins with digits and a semicolon is an entity, any other keeps its mark.
+    What a decoded ``&`` may form with the text behind it is not decoded again. Two entities that follow each other and
+    are the halves of a character give that character.
+    """
+    cut = lambda t: bind(_pieces(t), _joined)
+    return bind(text, lambda t: F.when(t.contains("&#"), cut(t)).otherwise(t))
+
+
+def _pieces(text: Column) -> Column:
+    """Array of struct(digits, point, rest); digits are empty where a piece is no entity, as the first one."""
+
+    def piece(p: Column, i: Column) -> Column:
+        head = F.when(i > 0, F.regexp_extract(p, r"^(\d+);", 1)).otherwise("")
+        rest = lambda d: F.when(d == "", p).otherwise(F.substr(p, F.length(d) + 2))
+        return bind(head, lambda d: F.struct(d.alias("digits"), _number(d).alias("point"), rest(d).alias("rest")))
+
+    return F.transform(F.split(text, "&#", -1), piece)
+
+
+def _joined(pieces: Column) -> Column:
+    def half(p: Column, first: int) -> Column:
+        return F.coalesce(p["point"].between(first, first + 0x3FF), F.lit(False))
+
+    def told(p: Column, i: Column) -> Column:
+        before, behind = F.get(pieces, i - 1), F.get(pieces, i + 1)
+        whole = (p["point"] - 0xD800) * 1024 + (behind["point"] - 0xDC00) + 0x10000
+        return (
+            F.when(p["digits"] == "", F.concat(F.when(i > 0, "&#").otherwise(""), p["rest"]))
+            .when(half(p, 0xD800) & (p["rest"] == "") & half(behind, 0xDC00), character(whole))
+            .when(half(p, 0xDC00) & half(before, 0xD800) & (before["rest"] == ""), p["rest"])
+            .otherwise(F.concat(character(p["point"]), p["rest"]))
+        )
+
+    return F.array_join(F.transform(pieces, told), "")
 
 
 def character(point: Column) -> Column:
@@ -75,25 +109,7 @@ def character(point: Column) -> Column:
 def _number(code: Column) -> Column:
     """Digits as a number; null beyond nine of them, which is no code point."""
     digits = F.regexp_replace(code, "^0+(?=\\d)", "")
-    return F.when(F.length(digits) <= 9, digits.cast("int"))
-
-
-def _decode_numeric(text: Column) -> Column:
-    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(5[56]\d{3});&#(5[67]\d{3});"), F.lit(0)))
-
-    def put_pair(acc: Column, pair: Column) -> Column:
-        high, low = F.substring(pair, 3, 5).cast("int"), F.substring(pair, 11, 5).cast("int")
-        point = (high - 0xD800) * 1024 + (low - 0xDC00) + 0x10000
-        fits = high.between(0xD800, 0xDBFF) & low.between(0xDC00, 0xDFFF)
-        return F.when(fits, F.replace(acc, pair, character(point))).otherwise(acc)
-
-    codes = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d+);"), F.lit(1)))
-
-    def put(acc: Column, code: Column) -> Column:
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), character(_number(code)))
-
-    whole = lambda t: F.aggregate(codes(t), t, put)
-    return F.when(text.contains("&#"), bind(F.aggregate(pairs, text, put_pair), whole)).otherwise(text)
+    return F.when(F.length(digits) <= 9, digits.try_cast("int"))
 
 
 def decode_named_entities(text: Column) -> Column:

@@ -90,9 +90,13 @@ def page_structure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Visible text; every page ends in entities: a character in two halves, a high one, half a one, and none."""
-    entities = "<p>&#55357;&#56832; &#128512; &#55357;x &#1234567890; &#169;</p>"
-    text = html_to_text(F.concat("html", F.lit(entities)))
+    """Visible text; every page ends in entities.
+
+    A character in two halves, a high one, half a one, none, some that give the beginning of another one, and one of its own.
+    """
+    entities = "<p>&#55357;&#56832; &#128512; &#55357;x &#1234567890; &#169; &#38;#60; &#60; &amp;#60; &#&#65; &#"
+    own = (F.col("page_id") % 5000 + 1000).cast("string")
+    text = html_to_text(F.concat("html", F.lit(entities), own, F.lit(";</p>")))
     base = table(spark, sf, "pages").select("page_id", text.alias("t"), "html")
     return base.select(
         "page_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5"),
@@ -235,7 +239,10 @@ QUERIES = {
 _Q = "WITH " + checks.PAGE_FACTS + "," + checks.quality()
 _PATHS = "WITH " + checks.PAGE_PATHS
 _TEXT = checks.visible_text()
-_ENDED = checks.visible_text("(html || '<p>' || chr(128512) || ' ' || chr(128512) || ' ' || chr(65533) || 'x ' || chr(65533) || ' ©</p>')")
+_ENDED = (
+    f"trim({checks.visible_text("(html || '<p>')")} || ' ' || chr(128512) || ' ' || chr(128512) || ' ' || chr(65533) || 'x ' || chr(65533)"
+    " || ' © &#60; < < &#A ' || chr(CAST(page_id % 5000 + 1000 AS INTEGER)))"
+)
 _SWITCH = """(?i)href=["'']([^"'']*(?:/(?:fr|de|at)(?:/|["''?#])|[?&](?:lang|language|locale)=(?:fr|de|at)))"""
 _ROUTE = """(?i)href=["''][^"'']*(?:/([a-z]{2})/|[?&](?:lang|language|locale)=([a-z]{2}))(?:["''?#]|/)"""
 

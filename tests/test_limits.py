@@ -15,6 +15,27 @@ def test_entities_of_any_number(one):
     assert one(text.decode_numeric_entities(F.lit(html))) == "a 😀 b 😀 c �� d � e � f A g � h \U00100000"
 
 
+def test_entities_are_decoded_once(one):
+    told = lambda t: one(text.decode_numeric_entities(F.lit(t)))
+    assert told("&#38;#60; &#60;") == "&#60; <" and told("65;&#65;") == "65;A" and told("&#") == "&#" and told("&#&#;&#x41;&#66") == "&#&#;&#x41;&#66"
+    assert told("&#55357; &#56832;") == "� �" and told("&#56832;&#55357;&#56832;&#56832;") == "�😀�" and told("none") == "none"
+    assert one(text.html_to_text(F.lit("<p>&amp;#60;&#65;"))) == "<A" and told("&#0;") == "\x00"
+
+
+def test_many_different_entities_stay_linear(spark):
+    took = []
+    for n in (20_000, 200_000):
+        page = "".join(f"&#{1000 + i % 50_000};" for i in range(n))
+        df = spark.createDataFrame([(page,)], "html string").cache()
+        df.count()
+        query = df.select(F.length(text.html_to_text(F.col("html"))))
+        assert query.first()[0] > n * 0.9
+        started = time.perf_counter()
+        query.collect()
+        took.append(time.perf_counter() - started)
+    assert took[1] < 40 * max(took[0], 0.1) and took[1] < 4, took
+
+
 def test_random_bytes_are_read(spark):
     rnd = random.Random(1)
     names = [b"", b"<meta charset=koi8-r>", b"<meta charset=windows-1251>", b"<meta charset=iso-8859-1>", b"<meta charset=none>"]
