@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitegauge.llm.common import reliable, semi_join, with_package
+from sitegauge.llm.common import reliable, semi_join, stored, with_package
 from sitegauge.llm.wordarrays import mix64, span_hashes, text_chunks, tidy
 from sitegauge.operators.ranking import global_row_number
 
 LENGTH = 200
 #: Places of a string among which its anchor is chosen, a power of two, and the bytes hashed for each.
 REACH, GRAM = 128, 8
-#: Phrases that a name of the second round stands for.
-DEPTH = 9
+#: Phrases from a place on that are compared with those of its neighbours; a name of the second round stands for nine.
+DEPTH = 6
 #: Different surroundings of one anchor that are compared in one task; more of them are spread window by window.
 GROUP = 2000
 
@@ -89,15 +89,36 @@ def string_hashes(data: np.ndarray, length: int, salt: int) -> np.ndarray:
     return out
 
 
+def phrases_of(data: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, hash) of the phrase from each anchor to the next one of its text; the last has none, of 0 bytes."""
+    size, phrase = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+    if len(at):
+        size[:-1] = np.where(text[1:] == text[:-1], at[1:] - at[:-1], 0)
+        phrase[size > 0] = span_hashes(data, at[size > 0], at[size > 0] + size[size > 0])
+    return size, phrase
+
+
+def echoes_of(size: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of the runs of two and more equal phrases that follow each other: stretches with a period."""
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (size[1:] != size[:-1]) | (size[1:] == 0)])
+    first = np.flatnonzero(new)
+    many = np.diff(np.concatenate([first, [len(size)]]))
+    return first[many > 1], many[many > 1]
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Anchors with what follows them. Inside a stretch with a period they stand for nothing that its two ends lack."""
     for batch in batches:
         for row, end_row, data, offsets in text_chunks(batch.column(1)):
             text, at, _, _ = units_of(data, offsets, length)
-            size = np.zeros(len(at), np.int64)
-            if len(at):
-                size[:-1] = np.where(text[1:] == text[:-1], at[1:] - at[:-1], 0)
-            phrase = np.zeros(len(at), np.uint64)
-            phrase[size > 0] = span_hashes(data, at[size > 0], at[size > 0] + size[size > 0])
+            size, phrase = phrases_of(data, text, at)
+            keep = np.ones(len(at), bool)
+            for first, many in zip(*echoes_of(size, phrase), strict=True):
+                end = (length + REACH) // size[first] + 2
+                keep[first + end : max(first + end, first + many - end)] = False
+            text, at, size, phrase = text[keep], at[keep], size[keep], phrase[keep]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[row:end_row].take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32)),
@@ -138,10 +159,10 @@ def _neighbours(places: DataFrame, columns: list[str]) -> DataFrame:
 
     Equal suffixes are one row in the order; `later` says that an equal one stands before this one.
     """
-    keys = reliable(places.groupBy(*columns).agg(F.count("*").alias("many"), F.min(F.struct("text_id", "at")).alias("first"), F.first("seq").alias("seq")))
+    keys = places.groupBy(*columns).agg(F.count("*").alias("many"), F.min(F.struct("text_id", "at")).alias("first"), F.first("seq").alias("seq"))
     order = [F.col(c).asc_nulls_first() for c in columns]
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).select(
+    ranged = stored(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).select(
         "*", F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("place")
     ))
     # One row for each slice: what stands before and behind it.
@@ -159,7 +180,7 @@ def _neighbours(places: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     later = (F.col("many") > 1) & (F.struct("text_id", "at") != F.col("first"))
-    return places.join(found, same).select("text_id", "at", "shared", later.alias("later"))
+    return places.drop("seq").join(found, same).select("text_id", "at", "shared", later.alias("later"))
 
 
 def suffix_order(anchors: DataFrame) -> DataFrame:
@@ -173,15 +194,15 @@ def suffix_order(anchors: DataFrame) -> DataFrame:
     cut = F.coalesce(F.col("at") != F.lag(F.col("at") + F.col("size")).over(along), F.lit(True))
     strings = anchors.withColumn("_cut", cut.cast("int")).withColumn("run", F.sum("_cut").over(along))
     inside = Window.partitionBy("text_id", "run").orderBy("at")
-    places = reliable(strings.withColumn("n", F.row_number().over(inside)).select("text_id", "run", "n", "at", "size", "phrase"))
+    places = strings.withColumn("n", F.row_number().over(inside)).select("text_id", "run", "n", "at", "size", "phrase")
     triple = lambda c, by: {"a": F.col(c), "b": F.lead(c, by).over(inside), "c": F.lead(c, 2 * by).over(inside)}
-    first = reliable(_named(places.withColumns(triple("phrase", 1)), ["a", "b", "c"], "name1"))
-    second = reliable(_named(first.withColumns(triple("name1", 3)), ["a", "b", "c"], "rank"))
+    first = stored(_named(places.withColumns(triple("phrase", 1)), ["a", "b", "c"], "name1"))
+    second = stored(_named(first.withColumns(triple("name1", 3)), ["a", "b", "c"], "rank"))
     ahead = F.collect_list(F.struct("phrase", "size")).over(inside.rowsBetween(0, DEPTH - 1))
-    ready = reliable(second.select(
+    ready = second.select(
         "text_id", "n", "at", "phrase", "rank", F.lead("phrase").over(inside).alias("phrase2"), F.lead("rank").over(inside).alias("rank2"),
         F.lead("rank", 2).over(inside).alias("rank3"), F.filter(ahead, lambda p: p["phrase"].isNotNull()).alias("seq"),
-    ).where("phrase is not null"))
+    ).where("phrase is not null")
     sample = _neighbours(ready.where("n % 3 <> 0"), ["rank"])
     with_first = _neighbours(ready.where("n % 3 <> 2"), ["phrase", "rank2"])
     with_second = _neighbours(ready.where("n % 3 <> 1"), ["phrase", "phrase2", "rank3"])
@@ -210,6 +231,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             _, at, low, count = units_of(data, np.array([0, len(data)]), length)
             known = np.zeros(len(data) + 1, np.int64)
             covered = np.zeros(len(data) + 1, np.int64)
+            text_of = np.zeros(len(at), np.int64)
+            size, phrase = phrases_of(data, text_of, at)
+            for first, many in zip(*echoes_of(size, phrase), strict=True):
+                s, e, period = at[first], at[first] + many * size[first], size[first]
+                if e - s >= length + period:
+                    np.add.at(known, [s, e - length + 1], [1, -1])
+                    np.add.at(covered, [s + period, e - length + 1], [1, -1])
             for f in found or []:
                 np.add.at(known, [f["at"], f["at"] + f["shared"] - length + 1], [1, -1])
                 if f["later"]:
@@ -360,12 +388,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     place = F.xxhash64("text_id", "at")
     contexts = anchors.groupBy("context").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("context")
-    places = reliable(semi_join(anchors, reliable(contexts), "context").dropDuplicates(["text_id", "at"]))
+    places = stored(semi_join(anchors, reliable(contexts), "context").dropDuplicates(["text_id", "at"]))
     shared = suffix_order(places.select("text_id", "at", "size", "phrase")).where(F.col("shared") >= length)
     found = shared.groupBy("text_id").agg(F.collect_set(F.struct("at", "shared", "later")).alias("found"))
-    of_text = reliable(places.groupBy("text_id").agg(F.collect_list(F.struct("at", "context")).alias("places")).join(found, "text_id", "left"))
-    texts = reliable(semi_join(rows.select("text_id", "text"), of_text.select("text_id"), "text_id").groupBy("text_id").agg(F.first("text").alias("text")))
-    pieces = reliable(texts.join(of_text, "text_id").mapInArrow(lambda b: tidy(_pieces(b, length)), _PIECE))
+    of_text = stored(places.groupBy("text_id").agg(F.collect_list(F.struct("at", "context")).alias("places")).join(found, "text_id", "left"))
+    texts = stored(semi_join(rows.select("text_id", "text"), of_text.select("text_id"), "text_id").groupBy("text_id").agg(F.first("text").alias("text")))
+    pieces = stored(texts.join(of_text, "text_id").mapInArrow(lambda b: tidy(_pieces(b, length)), _PIECE))
     strings = pieces.where("context is null").select("text_id", "low", "n").unionByName(_borders(pieces, length))
     of_text = strings.groupBy("text_id").agg(F.collect_list(F.struct("low", "n")).alias("strings"))
     cut = reliable(texts.join(of_text, "text_id").mapInArrow(lambda b: tidy(_cut(b, length)), _CUT))
