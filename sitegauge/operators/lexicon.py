@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.text import name_key
+from sitegauge.session import reliable
 
 TOKEN_SPLIT = r"[\s'’,.\-]+"
 MIN_KEY = 3
@@ -72,25 +73,47 @@ def tokens_of(texts: DataFrame, id_col: str, text_col: str, normalise: bool = Tr
     return out.select(id_col, "pos", (name_key(F.col("token")) if normalise else F.lower("token")).alias("key"))
 
 
-def lookup(tokens: DataFrame, keyed: DataFrame, salt: int = 1, salt_on: Column | None = None) -> DataFrame:
+#: A lexicon of so many keys at most is sent to every task; a longer one is joined by shuffle.
+BROADCAST_KEYS = 500_000
+#: Keys that the count of frequent ones keeps track of; a key beyond that is not hot.
+TRACKED = 10_000
+
+
+def hot_keys(tokens: DataFrame) -> DataFrame:
+    """(key, parts) of the keys that have more tokens than a task should: how many tasks to spread each over.
+
+    The counts are a mergeable sketch of the most frequent keys, one aggregation over the tokens. At most one key for
+    each shuffle partition can have more than its share, so the table is short. A count that is too high or too low
+    changes the balance only, never the result.
+    """
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = tokens.where("key is not null").agg(F.expr(f"approx_top_k(key, {min(n, 1000)}, {TRACKED})").alias("top"), F.count("*").alias("n"))
+    each = top.select(F.explode("top").alias("t"), "n")
+    share = F.ceil(F.col("t.count") * n / F.col("n")).cast("int")
+    return each.select(F.col("t.item").alias("key"), share.alias("parts")).where("parts > 1")
+
+
+def lookup(tokens: DataFrame, keyed: DataFrame, most_rows: int = BROADCAST_KEYS) -> DataFrame:
     """Inner join on ``key``; ``keyed`` has one row per key.
 
-    Spark broadcasts ``keyed`` when its measured size allows.  When it does not,
-    ``salt`` > 1 spreads a key that a third of the texts contain over that many
-    tasks, at the price of ``salt`` copies of the (small) keyed side.
+    A short ``keyed`` is broadcast, after its rows were counted. With a long one the hot keys of the tokens are measured,
+    their tokens are dealt over as many tasks as their counts ask for, and their one row of ``keyed`` goes to each.
     """
-    if salt <= 1:
-        return tokens.join(keyed, "key")
-    part = F.pmod(F.xxhash64(salt_on if salt_on is not None else F.col(tokens.columns[0])), F.lit(salt))
-    left = tokens.withColumn("_salt", part.cast("int"))
-    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return left.join(right, ["key", "_salt"]).drop("_salt")
+    keyed = reliable(keyed)
+    if keyed.limit(most_rows + 1).count() <= most_rows:
+        return tokens.join(F.broadcast(keyed), "key")
+    hot = F.broadcast(reliable(hot_keys(tokens)))
+    parts = F.coalesce("parts", F.lit(1))
+    turn = F.when(parts > 1, F.pmod(F.xxhash64(*tokens.columns), parts)).otherwise(0).cast("int")
+    left = tokens.join(hot, "key", "left").withColumn("_part", turn).drop("parts")
+    right = keyed.join(hot, "key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["key", "_part"]).drop("_part")
 
 
 def text_verdicts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
-                  normalise: bool = True, salt: int = 1) -> DataFrame:
+                  normalise: bool = True, most_rows: int = BROADCAST_KEYS) -> DataFrame:
     """Verdict of a whole text: exclusive wins, else the last shared word, else the first foreign one."""
-    hits = lookup(tokens_of(texts, id_col, text_col, normalise), key_verdicts(lexicon).select("key", "verdict"), salt)
+    hits = lookup(tokens_of(texts, id_col, text_col, normalise), key_verdicts(lexicon).select("key", "verdict"), most_rows)
     spot = F.struct("pos", "key")
     v = F.col("verdict")
     best = hits.groupBy(id_col).agg(
@@ -127,7 +150,7 @@ class Cascade:
 
 
 def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, rules: Cascade,
-                   salt: int = 1) -> DataFrame:
+                   most_rows: int = BROADCAST_KEYS) -> DataFrame:
     """Ordered classification: (id, ok, strong, via).
 
     Curated words win over the lists, negative words come next, then the exclusivity
@@ -139,7 +162,7 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     keys = keyed_words(spoken.select("word").distinct(), "word")
     tokens = spoken.join(keys, "word").select(id_col, "pos", "key")
     last = tokens.groupBy(id_col).agg(F.max("pos").alias("_last"))
-    hits = lookup(tokens, key_verdicts(lexicon), salt).join(last, id_col)
+    hits = lookup(tokens, key_verdicts(lexicon), most_rows).join(last, id_col)
     by_text = hits.groupBy(id_col).agg(
         F.max("curated").alias("curated"),
         F.max("curated_second").alias("curated_second"),
@@ -150,33 +173,35 @@ def classify_texts(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     )
     words = F.filter(F.split(F.col("_text"), TOKEN_SPLIT), lambda w: F.length(w) >= MIN_KEY)
     last_word = F.get(words, F.size(words) - 1)
+    n = F.length("_text")
+    too_long = n > rules.max_len if rules.max_len is not None else F.lit(False)
+    blocked = F.lower("_text").isin(*[w.lower() for w in rules.block_words]) if rules.business and rules.block_words else F.lit(False)
+    negative = F.lit(False)
+    for pattern in rules.negative_patterns:
+        negative = negative | F.col("_text").rlike(pattern)
+    # What the cascade asks of a text, told where it is read: flags are joined, not texts.
+    asked = base.select(
+        id_col, ((n < rules.shortest) | too_long | F.col("_text").isNull() | blocked).alias("_none"), negative.alias("_negative"),
+        (last_word.rlike(rules.strong_suffix) if rules.strong_suffix else F.lit(False)).alias("_strong_end"),
+        (last_word.rlike(rules.weak_suffix) if rules.weak_suffix and not rules.business else F.lit(False)).alias("_weak_end"),
+    )
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
     result = lambda ok, strong, via: F.struct(
         F.lit(ok).alias("ok"), F.lit(strong).alias("strong"), F.lit(via).alias("via")
     )
     no = result(False, False, "none")
-    n = F.length("_text")
-    too_long = n > rules.max_len if rules.max_len is not None else F.lit(False)
-    out = F.when((n < rules.shortest) | too_long | F.col("_text").isNull(), no)
-    if rules.business and rules.block_words:
-        out = out.when(F.lower("_text").isin(*[w.lower() for w in rules.block_words]), no)
-    out = out.when(flag("curated"), result(True, True, "list"))
+    out = F.when(F.coalesce("_none", F.lit(True)), no).when(flag("curated"), result(True, True, "list"))
     if not rules.business:
         out = out.when(flag("curated_second"), result(True, True, "list"))
-    for pattern in rules.negative_patterns:
-        out = out.when(F.col("_text").rlike(pattern), no)
     out = (
-        out.when(flag("negative"), no)
+        out.when(flag("_negative") | flag("negative"), no)
         .when(flag("exclusive"), result(True, True, "lexicon"))
         .when(flag("shared"), result(True, False, "lexicon-shared"))
+        .when(~flag("vetoed") & flag("_strong_end"), result(True, True, "suffix"))
+        .when(~flag("vetoed") & flag("_weak_end"), result(True, False, "suffix-weak"))
     )
-    vetoed = flag("vetoed")
-    if rules.strong_suffix:
-        out = out.when(~vetoed & last_word.rlike(rules.strong_suffix), result(True, True, "suffix"))
-    if rules.weak_suffix and not rules.business:
-        out = out.when(~vetoed & last_word.rlike(rules.weak_suffix), result(True, False, "suffix-weak"))
     return (
-        base.join(by_text, id_col, "left")
+        asked.join(by_text, id_col, "left")
         .withColumn("_r", out.otherwise(no))
         .select(id_col, "_r.ok", "_r.strong", "_r.via")
     )

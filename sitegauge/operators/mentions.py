@@ -6,13 +6,10 @@ the lexicon and the rules the caller gives; only scores leave these operators.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitegauge.functions.evidence import evidence, item_when
 from sitegauge.functions.text import clamp, collapse, drop_tags, phrase
@@ -33,64 +30,65 @@ SURE_SCORE, OTHER_SCORE = 30, 25
 _SOURCE_ORDER = ("structured", "role", "copyright", "email", "script")
 
 
-def _structured_names_udf():
-    """The JSON walk as a pandas UDF.  Everything it needs is nested, so that it travels
-    with the task and the executors need no copy of this package."""
-    person_keys = set(PERSON_KEYS)
-
-    def names_in(node, inside: bool) -> Iterator[str]:
-        if isinstance(node, list):
-            for child in node:
-                yield from names_in(child, inside)
-        elif isinstance(node, dict):
-            if (inside or "person" in str(node.get("@type", "")).lower()) and isinstance(node.get("name"), str):
-                yield node["name"]
-            for key, child in node.items():
-                if key != "name":
-                    yield from names_in(child, key.lower() in person_keys)
-
-    def names_of(block: str) -> list[str]:
-        try:
-            return [n for n in names_in(json.loads(block), False) if 3 < len(n) < 60]
-        except ValueError:
-            return []
-
-    def walk(blocks: pd.Series) -> pd.Series:
-        return blocks.map(lambda bs: [n for b in bs for n in names_of(b)])
-
-    return F.pandas_udf(walk, T.ArrayType(T.StringType()))
-
-
 def structured_blocks(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(LD_JSON), F.lit(1))
 
 
 def structured_names(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Names in the person nodes of structured data; only those blocks go to Python."""
+    """Names in the person nodes of structured data."""
     return names_in_blocks(pages.select(key, structured_blocks(F.col(html)).alias("_b")), key)
 
 
 def names_in_blocks(blocks: DataFrame, key: str) -> DataFrame:
-    return blocks.where(F.size("_b") > 0).select(key, F.explode(_structured_names_udf()("_b")).alias("candidate"))
+    """(key, candidate): the names of person nodes in blocks (key, _b) of structured data.
+
+    A node is a person's by its type, or because it stands under one of PERSON_KEYS. The blocks become variants, and
+    each round opens one level of all of them; nodes of the deepest block give as many rounds. A block that is no JSON
+    has no nodes.
+    """
+    spark = blocks.sparkSession
+    nodes = blocks.select(key, F.explode("_b").alias("_t")).select(key, F.try_parse_json("_t").alias("_v"), F.lit(False).alias("_inside"))
+    nodes = reliable(nodes.where("_v is not null"))
+    found = []
+    while not nodes.isEmpty():
+        kind = F.to_json(F.try_variant_get("_v", "$['@type']", "variant"))
+        person = F.col("_inside") | F.coalesce(F.lower(kind).contains("person"), F.lit(False))
+        name = F.try_variant_get("_v", "$.name", "variant")
+        text = F.when(F.schema_of_variant(name) == "STRING", name.try_cast("string"))
+        found.append(nodes.where(person & F.length(text).between(4, 59)).select(key, text.alias("candidate")))
+        opened = nodes.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).where("key is null or key <> 'name'")
+        below = F.when(F.col("key").isNull(), F.col("_inside")).otherwise(F.lower("key").isin(*PERSON_KEYS))
+        complex_ = F.schema_of_variant("value").startswith("OBJECT") | F.schema_of_variant("value").startswith("ARRAY")
+        nodes = reliable(opened.where(complex_).select(nodes[key], F.col("value").alias("_v"), below.alias("_inside")))
+    out = blocks.select(key, F.lit("").alias("candidate")).limit(0)
+    for names in found:
+        out = out.unionByName(names)
+    return out
+
+
+#: Marks that text has no use for, put around what the one search for pairs finds.
+_AROUND, _BETWEEN = "\x01", "\x02"
 
 
 def near_role(text: Column, role_pattern: str) -> Column:
     """Capitalised word pairs with a role word within 40 characters on either side.
 
     The look-behind and look-ahead capture the surroundings without consuming them,
-    so neighbouring pairs keep their full context.
+    so neighbouring pairs keep their full context. The text is searched once: each find is
+    put between marks together with its surroundings, and cut out along them.
     """
-    padded = F.concat(F.lit(" " * WINDOW), text)
+    clean = F.translate(text, _AROUND + _BETWEEN, "  ")
+    padded = F.concat(F.lit(" " * WINDOW), clean)
     pattern = (
         rf"(?<![A-Za-z0-9_])(?=[A-Z][a-z'’\-]{{2}})(?<=([\s\S]{{{WINDOW}}}))({NAME_PAIR})"
         rf"(?:(?<=[a-z])(?![A-Za-z0-9_])|(?<=['’\-])(?=[A-Za-z0-9_]))(?=([\s\S]{{0,{WINDOW}}}))"
     )
-    part = lambda g: F.regexp_extract_all(padded, F.lit(pattern), F.lit(g))
-    zipped = F.arrays_zip(part(1).alias("before"), part(2).alias("pair"), part(3).alias("after"))
-    kept = F.filter(
-        zipped, lambda z: F.concat(z["before"], F.lit(" | "), z["after"]).rlike(f"(?i){role_pattern}")
-    )
-    return F.transform(kept, lambda z: z["pair"])
+    marked = F.regexp_replace(padded, pattern, f"{_AROUND}$1{_BETWEEN}$2{_BETWEEN}$3{_AROUND}")
+    # Every second piece is a find.
+    finds = F.filter(F.split(marked, _AROUND), lambda p, i: i % 2 == 1)
+    cut = F.transform(finds, lambda p: F.split(p, _BETWEEN))
+    kept = F.filter(cut, lambda z: F.concat(z[0], F.lit(" | "), z[2]).rlike(f"(?i){role_pattern}"))
+    return F.transform(kept, lambda z: z[1])
 
 
 def without_stop_words(candidates: Column, stop_words: Sequence[str]) -> Column:
@@ -123,7 +121,7 @@ def candidates(pages: DataFrame, key: str, role_pattern: str, stop_words: Sequen
                script_roles: str | None = None, script: str | None = None) -> DataFrame:
     """(key, source, candidate) of a table with ``html``, ``text`` and ``emails``; each word once, from its first source.
 
-    The pages are read once: what is found is stored, and only the structured blocks go to Python.
+    The pages are read once: what is found is stored, and the structured blocks are opened from there.
     """
     listed = [
         ("role", without_stop_words(near_role(collapse(F.col("text")), role_pattern), stop_words)),

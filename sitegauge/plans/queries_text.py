@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.functions.evidence import as_text, evidence, item_when
-from sitegauge.functions.text import KEY_RULES
+from sitegauge.functions.text import KEY_RULES, html_to_text
 from sitegauge.functions.urls import host_of
-from sitegauge.operators import display, lexicon, mentions, probes, reports, reviews, rules, verdict
+from sitegauge.operators import display, lexicon, mentions, probes, reports, reviews, rule_index, rules, verdict
 from sitegauge.params import DEFAULT, GlyphLanguage, LanguageProfile
 from sitegauge.plans import checks
 from sitegauge.plans.inputs import prelude, table, with_types
@@ -53,12 +53,11 @@ def lexicon_prepare(spark, sf):
 
 
 def _word_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Word lists by language out of the labelled documents."""
+    """Word lists by language out of all documents."""
     role = F.when(F.lit(False), "")
     for code, name in LANG_ROLES:
         role = role.when(F.col("lang") == code, name)
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    words = docs.select(F.col("lang").alias("lexicon"), role.alias("role"), F.explode(F.split(F.lower("text"), SPLIT)).alias("key"))
+    words = table(spark, sf, "documents").select(F.col("lang").alias("lexicon"), role.alias("role"), F.explode(F.split(F.lower("text"), SPLIT)).alias("key"))
     return words.where(F.length("key") >= 3).distinct()
 
 
@@ -75,8 +74,8 @@ def text_verdicts(spark, sf):
 
 
 def text_verdicts_salted(spark, sf):
-    """Same result by the salted join, for lexicons that cannot be broadcast."""
-    return lexicon.text_verdicts(_turns(spark, sf), "id", "text", _word_lists(spark, sf), normalise=False, salt=8).groupBy(
+    """Same result by the join that spreads measured hot words, for lexicons that cannot be broadcast."""
+    return lexicon.text_verdicts(_turns(spark, sf), "id", "text", _word_lists(spark, sf), normalise=False, most_rows=0).groupBy(
         "verdict"
     ).agg(F.count("*").alias("n"))
 
@@ -101,8 +100,23 @@ def text_classes(spark, sf):
 
 # --- rules -----------------------------------------------------------------------
 def rule_best_match(spark, sf):
-    hit = rules.best_match(F.col("p_name"), PART_RULES)
-    return table(spark, sf, "part").select("p_partkey", hit["weight"].alias("weight"), hit["label"].alias("label"))
+    """The heaviest rule of a table that matches a part's name; null where none does."""
+    parts = table(spark, sf, "part")
+    found = rule_index.rule_matches(parts, "p_partkey", "p_name", rule_index.rule_table(spark, PART_RULES))
+    return parts.select("p_partkey").join(rule_index.strongest(found, "p_partkey"), "p_partkey", "left")
+
+
+def rule_join(spark, sf):
+    """How many conversation turns each rule matches; every long word of the benchmark is a rule, with some of other kinds."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("w")).distinct()
+    other = F.when(F.length("w") % 3 == 0, F.concat(F.lit("(?i)(?:"), "w", F.lit("|no such thing)"))).otherwise(
+        F.concat(F.lit(r"(?i)\b"), F.substring("w", 1, 5), F.lit("[a-z]*"))
+    )
+    pattern = F.when(F.length("w") % 2 == 0, F.concat(F.lit(r"(?i)\b"), "w", F.lit(r"\b"))).otherwise(other)
+    made = words.select(F.col("w").alias("pos"), pattern.alias("pattern"), F.length("w").alias("weight"), F.col("w").alias("label"))
+    bare = spark.range(1).select(F.lit("~").alias("pos"), F.lit("[0-9]{3}").alias("pattern"), F.lit(1).alias("weight"), F.lit("three digits").alias("label"))
+    found = rule_index.rule_matches(_turns(spark, sf), "id", "text", made.unionByName(bare))
+    return found.groupBy("label").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"))
 
 
 def rule_hits(spark, sf):
@@ -273,12 +287,23 @@ def mention_candidates(spark, sf):
     return by_mail.unionByName(by_line)
 
 
+#: Pages with structured data, nested and broken, a name in another script, and an address.
+_MENTION_HTML = """(html || CASE CAST(page_id % 4 AS INT)
+  WHEN 1 THEN '<script type="application/ld+json">{"@graph":[{"@type":["Person","Thing"],"name":"Ana Belora"},{"@type":"Firm","name":"No One Here","Founder":{"name":"Mira Valt' || CAST(page_id AS STRING) || '"}},{"employee":[{"x":{"name":"Not Inside"}},{"name":"Zed Quorb"},{"name":7}]}]}</script>'
+  WHEN 2 THEN '<script type="application/ld+json">{"name": broken</script>'
+  WHEN 3 THEN '<p>Inhaber: Éèàç Öüßä</p>'
+  ELSE '<a href="mailto:mark.solter' || CAST(page_id AS STRING) || '@firm.example.org">m</a>' END)"""
+
+
 def mention_scores(spark, sf):
-    """Capitalised pairs near role words on pages, classified by a word list, to a score per page."""
-    pages = table(spark, sf, "pages").select(
-        "page_id", "html", F.regexp_replace("html", r"<[^>]+>", " ").alias("text"), F.array().cast("array<string>").alias("emails")
+    """Words on pages where people are named, classified by a word list, to a score per page; all five sources."""
+    from sitegauge.functions import contacts
+
+    html = F.col("html")
+    pages = table(spark, sf, "pages").select("page_id", F.expr(_MENTION_HTML).alias("html")).select(
+        "page_id", "html", html_to_text(html).alias("text"), contacts.best_emails(contacts.emails_found(html)).alias("emails")
     )
-    found = mentions.candidates(pages, "page_id", "(?:the|les|der|una)", ("menu", "search"))
+    found = mentions.candidates(pages, "page_id", "(?:the|les|der|una)", ("menu", "search"), script_roles="inhaber", script="À-ɏ")
     judged = found.withColumn("ok", F.length("candidate") % 2 == 0).withColumn("strong", F.length("candidate") % 4 == 0)
     return mentions.mention_score(judged, "page_id")
 
@@ -392,7 +417,7 @@ def decoded_pages(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexicon_prepare, key_verdicts, text_verdicts, text_verdicts_salted, text_classes, rule_best_match, rule_hits,
+        lexicon_prepare, key_verdicts, text_verdicts, text_verdicts_salted, text_classes, rule_best_match, rule_join, rule_hits,
         name_signals, review_languages, author_totals, review_signal, owner_scores, evidence_top, no_site_scores, rescore,
         reverdict, rescore_with_history, rescore_transitions, export_rows, mention_candidates, mention_scores, language_routes, negotiated_language,
         search_answers, review_answers, speed_answers, sitemap_pages, decoded_pages,
@@ -416,7 +441,7 @@ def _key_sql(word: str) -> str:
 
 
 _LISTS = f"""
-wl AS (SELECT DISTINCT lang, key FROM (SELECT lang, unnest({_WORDS.format('lower(text)')}) AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE length(key) >= 3),
+wl AS (SELECT DISTINCT lang, key FROM (SELECT lang, unnest({_WORDS.format('lower(text)')}) AS key FROM documents) WHERE length(key) >= 3),
 kv AS (SELECT key, CASE WHEN a AND NOT m1 THEN 'exclusive' WHEN a AND m1 THEN 'shared' WHEN b AND m1 THEN 'foreign' WHEN b AND NOT m2 THEN 'exclusive' WHEN b AND m2 THEN 'shared' ELSE 'foreign' END AS verdict
        FROM (SELECT key, bool_or(lang = 'fr') AS a, bool_or(lang = 'de') AS b, bool_or(lang = 'en') AS m1, bool_or(lang = 'es') AS m2 FROM wl GROUP BY key)),
 turns AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations),
@@ -509,22 +534,35 @@ base AS (SELECT place_id, max(fp) FILTER (role = 0) AS home_fp, max(fp) FILTER (
 
 _PAIR = "\\b[A-Z][a-z''’\\-]{2,19}\\s+[A-Z][a-z''’\\-]{3,24}\\b"
 _MENTIONS = f"""
-t AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages),
+rich AS (SELECT page_id, {_MENTION_HTML} AS html FROM pages),
+{checks.email_ctes('rich', 'page_id', 'html').strip()},
+t AS (SELECT page_id, html, {checks.visible_text()} AS t FROM rich),
 p AS (SELECT page_id, t, regexp_extract_all(t, '{_PAIR}') AS ps, string_split_regex(t, '{_PAIR}') AS ss FROM t),
 i AS (SELECT page_id, t, ps[k] AS c, CAST(list_sum(list_transform(ss[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ps[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS off
       FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM p)),
-r AS (SELECT page_id, 'role' AS source, c FROM i WHERE regexp_matches(substr(repeat(' ', 40) || t, off + 1, 40) || ' | ' || substr(t, off + length(c) + 1, 40), '(?i)(?:the|les|der|una)')
-      UNION ALL SELECT page_id, 'copyright', unnest(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM t),
-d AS (SELECT DISTINCT page_id, source, c FROM r WHERE NOT list_has_any(regexp_split_to_array(lower(c), '[\\s''’.\\-]+'), ['menu', 'search']))"""
+r AS (SELECT page_id, 2 AS source, c FROM i WHERE regexp_matches(substr(repeat(' ', 40) || t, off + 1, 40) || ' | ' || substr(t, off + length(c) + 1, 40), '(?i)(?:the|les|der|una)')
+      UNION ALL SELECT page_id, 3, unnest(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '(?:©|&copy;|copyright)\\s*(?:\\d{{4}}(?:\\s*[-–]\\s*\\d{{4}})?)?\\s*([A-Z][A-Za-z''’\\-]{{2,24}})', 1)) FROM t
+      UNION ALL SELECT page_id, 4, w FROM (SELECT page_id, unnest(regexp_split_to_array(split_part(e, '@', 1), '[._\\-+0-9]+')) AS w FROM (SELECT page_id, unnest(string_split(emails, ',')) AS e FROM best)) WHERE length(w) >= 4),
+n AS (SELECT page_id, source, c FROM r WHERE NOT list_has_any(regexp_split_to_array(lower(c), '[\\s''’.\\-]+'), ['menu', 'search'])
+      UNION ALL SELECT page_id, 1, unnest(['Ana Belora', 'Mira Valt' || page_id, 'Zed Quorb']) FROM pages WHERE page_id % 4 = 1
+      UNION ALL SELECT page_id, 5, unnest(regexp_extract_all(t, '(?i:inhaber)[\\s:,\\-]{{1,4}}([À-ÖØ-Þ][ß-öø-ÿ]{{2,}}\\s+[À-ÖØ-Þ][ß-öø-ÿ]{{2,}})', 1)) FROM t),
+d AS (SELECT page_id, c, min(source) AS source FROM n GROUP BY page_id, c)"""
 
 ORACLES = {
-    "mention_scores": f"WITH {_MENTIONS} SELECT page_id, count(DISTINCT c) AS mentions, CASE WHEN bool_or(length(c) % 4 = 0) THEN 25 ELSE 0 END AS mention_score FROM d WHERE length(c) % 2 = 0 GROUP BY page_id",
+    "mention_scores": f"""WITH {_MENTIONS}, g AS (SELECT page_id, count(*) AS mentions, min(source) FILTER (length(c) % 4 = 0) AS first FROM d WHERE length(c) % 2 = 0 GROUP BY page_id)
+        SELECT page_id, mentions, CASE WHEN first IS NULL THEN 0 WHEN first IN (1, 5) THEN 30 ELSE 25 END AS mention_score FROM g""",
     "lexicon_prepare": f"WITH t AS (SELECT source, lang, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), k AS (SELECT DISTINCT source, lang, {_key_sql('w')} AS key FROM t WHERE NOT contains(w, ':')) SELECT lang AS role, count(DISTINCT key) AS keys, min(key) AS first_key, max(key) AS last_key, count(*) AS entries FROM k WHERE length(key) >= 3 GROUP BY lang",
     "key_verdicts": f"WITH {_LISTS} SELECT verdict, count(*) AS n FROM kv GROUP BY verdict",
     "text_verdicts": f"WITH {_LISTS} SELECT id, verdict, matched FROM tv",
     "text_verdicts_salted": f"WITH {_LISTS} SELECT verdict, count(*) AS n FROM tv GROUP BY verdict",
     "text_classes": f"WITH {_CLASSES} SELECT via <> 'none' AS ok, via IN ('list', 'lexicon', 'suffix') AS strong, via, count(*) AS n FROM c GROUP BY 1, 2, 3",
     "rule_best_match": f"SELECT p_partkey, r.w AS weight, r.l AS label FROM (SELECT p_partkey, {_PARTS} AS r FROM part)",
+    "rule_join": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM benchmark),
+        t AS (SELECT conv_id * 1000 + turn AS id, text, lower(text) AS low FROM conversations),
+        m AS (SELECT w AS label, id FROM w JOIN t ON CASE WHEN length(w) % 2 = 0 THEN contains(low, w) AND regexp_matches(low, '\\b' || w || '\\b')
+          WHEN length(w) % 3 = 0 THEN contains(low, w) OR contains(low, 'no such thing') ELSE contains(low, substr(w, 1, 5)) AND regexp_matches(low, '\\b' || substr(w, 1, 5) || '[a-z]*') END
+          UNION ALL SELECT 'three digits', id FROM t WHERE regexp_matches(text, '[0-9]{3}'))
+        SELECT label, count(*) AS hits, min(id) AS first_id FROM m GROUP BY label""",
     "rule_hits": f"WITH r AS (SELECT p_partkey, {_FIRST} AS rule FROM part), x AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY p_partkey) AS i FROM r WHERE rule IS NOT NULL) SELECT rule, count(*) AS hits, string_agg(p_partkey, ',' ORDER BY p_partkey) FILTER (i <= 6) AS samples FROM x GROUP BY rule",
     "name_signals": f"{prelude('places')}, {_names('places')} SELECT place_id, name_score AS score, name_exclusion AS exclusion, array_to_string(list_transform(name_ev, lambda e: e.s || '+' || e.w), ';') AS signals FROM nm",
     "review_languages": f"{prelude('reviews')}, {_REV} SELECT place_id, sample_size, n_uk, n_ru, n_target, recent_target, n_target / sample_size AS ratio FROM rl",

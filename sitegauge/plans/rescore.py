@@ -239,16 +239,22 @@ def score(rows: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
 
 def rescore(state: DataFrame, responses: DataFrame, reviews: DataFrame, psi: DataFrame, pins: DataFrame,
             preset: Preset = DEFAULT, old_audits: DataFrame | None = None,
-            mentions: DataFrame | None = None, use_probes: bool = False) -> DataFrame:
+            mentions: DataFrame | None = None, use_probes: bool = False, facts_at: str | None = None) -> DataFrame:
     """Next verdict of every place from its stored page; places without one are judged by name.
 
     ``state`` carries the column ``name_signal`` (see :mod:`sitegauge.operators.rules`).
     ``mentions`` is ``(place_id, mention_score, mentions)`` of
     :func:`sitegauge.operators.mentions.mention_score`.  ``use_probes`` also reads the
-    stored answers with the roles junk, candidate and negotiated.
+    stored answers with the roles junk, candidate and negotiated. ``facts_at`` is the folder of
+    a facts store (see :mod:`sitegauge.plans.facts`): pages in it are not parsed again.
     """
-    home = responses.where(F.col("role") == "home") if "role" in responses.columns else responses
-    facts = stored_facts(home, preset)
+    home = responses.where(F.col("role") == "home").drop("role") if "role" in responses.columns else responses
+    if facts_at is None:
+        facts = stored_facts(home, preset)
+    else:
+        from sitegauge.plans.facts import facts_by_content
+
+        facts = facts_by_content(home, facts_at, preset)
     if use_probes:
         facts = with_probe_evidence(facts, responses, preset)
     if mentions is not None:

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "sitegauge", memory: str = "12g") -> SparkSession:
@@ -49,13 +50,26 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key list of so many rows at most is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` (narrow, already stored) marked for broadcast if it has at most `rows` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Tables of fewer bytes, as Spark estimates them, may be one split of a scan; larger ones have splits for all cores.
+SMALL_SCAN = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly over ``spark.sql.shuffle.partitions`` tasks, for heavy work on each row.
+    """Rows for heavy work on each of them: a small table is dealt out over all cores, a large one stays where it is.
 
-    Splits of a scan are even in bytes on disk, not in work; moving a page costs about a hundredth of reading
-    all its facts.
+    So at most SMALL_SCAN bytes are moved, once; ``spark.sql.files.maxPartitionBytes`` makes the splits of a scan smaller.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimate < SMALL_SCAN else df
 
 
 def with_package(df: DataFrame) -> DataFrame:
