@@ -190,6 +190,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.arrays_zip(F.col("asked").alias("asked"), F.col("slots").alias("given")).alias("slots"),
         ).distinct()
     )
+    # What it was needed for is stored; executors need not hold it for the rest of the session.
+    sent.destroy()
     keys = ["doc_id", "item_id", "form", "shift"]
     filled = matches.select(*keys, F.explode("slots").alias("slot")).groupBy(*keys, "slot.asked", "slot.given").count()
     by_value = filled.groupBy(*keys, "asked").agg(F.sum("count").alias("n"), F.max("count").alias("usual"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitegauge.llm.common import bounded, reliable, with_package
-from sitegauge.llm.wordarrays import text_chunks, words
+from sitegauge.llm.wordarrays import give_back, text_chunks, words
 from sitegauge.operators.ranking import global_running_sum
 
 #: Tokens in a block, the unit that is permuted. Only one block of a source is ever cut.
@@ -24,6 +24,7 @@ _POINTS, _ROUNDS = 16, 8
 @F.arrow_udf(T.LongType())
 def count_words(text: pa.Array) -> pa.Array:
     parts = [np.diff(words(data, offsets)[2]) for _, _, data, offsets in text_chunks(text)]
+    give_back()
     return pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64))
 
 

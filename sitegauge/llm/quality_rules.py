@@ -153,9 +153,9 @@ def _base_failed(m: str) -> Column:
     return (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}.n_words"))
 
 
-def _decided(measured: DataFrame) -> DataFrame:
+def _decided(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """`measured` with _kept: within the fences of its group and not failed by the base rules."""
-    fences = bounded(reliable(thresholds(sketches(measured))).select(
+    fences = bounded(reliable(fences).select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("low").alias("_low"), F.col("high").alias("_high")
     ))
     with_fences = measured.join(fences, (_group("lang") == F.col("_lang")) & (_group("source") == F.col("_source")), "left")
@@ -174,7 +174,8 @@ def quality(docs: DataFrame) -> DataFrame:
     columns are ignored. The texts are read once; the measures, a few numbers a row, are stored.
     """
     narrow = with_package(docs).select("doc_id", "lang", "source", measures(F.col("text").cast("string")).alias("_m"))
-    decided = _decided(reliable(narrow))
+    narrow = reliable(narrow)
+    decided = _decided(narrow, thresholds(sketches(narrow)))
     return decided.select(
         "doc_id", *[F.col(f"_m.{c}").alias(c) for c in MEASURES[:-1]], _base_failed("_m").alias("base_failed"),
         F.col("_kept").alias("kept"), F.col("_m.n_lines").alias("n_lines"),
@@ -183,6 +184,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that :func:`quality` keeps, with all their columns; texts stay where they are read."""
+    text = measures(F.col("text").cast("string"))
+    # Only a few numbers a row are stored for the thresholds; the texts are read a second time for the verdict. The array of
+    # one keeps filters and projections on the measures above them: each text is measured once in either pass.
+    once = lambda *kept: with_package(docs).select(*kept, "lang", "source", F.explode(F.array(text)).alias("_m"))
+    fences = thresholds(sketches(reliable(once())))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    measured = with_package(docs).select(row, "lang", "source", measures(F.col("text").cast("string")).alias("_m"))
-    return _decided(measured).where("_kept").select("_row.*")
+    return _decided(once(row), fences).where("_kept").select("_row.*")
