@@ -19,12 +19,13 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitegauge.llm.common import reliable, semi_join, stored, with_package
-from sitegauge.llm.wordarrays import mix64, span_hashes, text_chunks, tidy
+from sitegauge.llm.wordarrays import mix64, spans, text_chunks, tidy
 from sitegauge.operators.ranking import global_row_number
 
 LENGTH = 200
@@ -33,45 +34,64 @@ REACH, GRAM = 128, 8
 #: Phrases from a place on that are compared with those of its neighbours; a name of the second round stands for nine.
 DEPTH = 6
 #: Different surroundings of one anchor that are compared in one task; more of them are spread window by window.
-GROUP = 2000
+GROUP = 20_000
 
 _LOW = np.uint64(2**32 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD92)
 
 
-def units_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def grams_of(data: np.ndarray) -> np.ndarray:
+    """The GRAM bytes from every place on as one number; behind the end are zeros."""
+    padded = np.concatenate([data, np.zeros(2 * GRAM, np.uint8)])
+    out = np.empty(-(-len(data) // GRAM) * GRAM, np.uint64)
+    for o in range(GRAM):
+        out[o::GRAM] = np.frombuffer(padded, "<u8", len(out) // GRAM, o)
+    return out[: len(data)]
+
+
+def units_of(gram: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text, anchor, first string, number of strings) of every anchor; strings that share one are neighbours."""
-    n = len(data)
-    empty = np.zeros(0, np.int64)
-    if n < length:
-        return empty, empty, empty, empty
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    gram = np.empty(-(-n // 8) * 8, np.uint64)
-    for o in range(8):
-        gram[o::8] = np.frombuffer(padded, "<u8", len(gram) // 8, o)
+    n = len(gram)
+    sizes = np.maximum(np.diff(offsets) - length + 1, 0)
+    if not sizes.any():
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     # The leftmost of equal grams: the place stands in the lower half.
-    key = (mix64(gram[:n]) & ~_LOW) | np.arange(n, dtype=np.uint64)
+    key = ((gram * _MIX) & ~_LOW) | np.arange(n, dtype=np.uint64)
     reach = 1
     while reach < REACH:
         key = np.minimum(key[:-reach], key[reach:])
         reach *= 2
-    starts = np.arange(n - length + 1)
-    sizes = np.maximum(np.diff(offsets) - length + 1, 0)
-    whole = np.zeros(n + 1, np.int8)
-    some = sizes > 0
-    np.add.at(whole, offsets[:-1][some], 1)
-    np.add.at(whole, offsets[:-1][some] + sizes[some], -1)
-    starts = starts[np.cumsum(whole, dtype=np.int8)[: len(starts)] > 0]
-    if not len(starts):
-        return empty, empty, empty, empty
+    some = np.flatnonzero(sizes)
+    starts = np.repeat(offsets[some] - np.cumsum(sizes[some]) + sizes[some], sizes[some]) + np.arange(int(sizes.sum()))
     anchor = (key[starts] & _LOW).astype(np.int64)
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    new = np.ones(len(starts), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(starts)]]))
+    count = np.diff(np.append(first, len(starts)))
     low = starts[first]
     return np.searchsorted(offsets, low, "right") - 1, anchor[first], low, count
 
 
+def stretch_hashes(gram: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each (non-empty) stretch, GRAM at a time; the last piece overlaps the one before."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    pieces = -(-sizes // GRAM)
+    first = np.cumsum(pieces) - pieces
+    nth = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(starts, pieces) + np.minimum(nth * GRAM, np.repeat(np.maximum(sizes - GRAM, 0), pieces))
+    value = gram[at]
+    short = sizes < GRAM
+    if short.any():
+        value[first[short]] &= (np.uint64(1) << (sizes[short] * 8).astype(np.uint64)) - np.uint64(1)
+    # An odd factor for each place; the products are mixed before they are added up.
+    value *= nth.astype(np.uint64) * _STEP + _MIX
+    value ^= value >> np.uint64(32)
+    value *= _MIX
+    return mix64(np.add.reduceat(value, first) ^ (sizes.astype(np.uint64) * _STEP))
+
+
 def string_hashes(data: np.ndarray, length: int, salt: int) -> np.ndarray:
     """Hash of the `length` bytes from every place on, as many as bytes less length - 1."""
     h = mix64(data.astype(np.uint64) + np.uint64(salt))
@@ -89,12 +109,12 @@ def string_hashes(data: np.ndarray, length: int, salt: int) -> np.ndarray:
     return out
 
 
-def phrases_of(data: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def phrases_of(gram: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, hash) of the phrase from each anchor to the next one of its text; the last has none, of 0 bytes."""
     size, phrase = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
     if len(at):
         size[:-1] = np.where(text[1:] == text[:-1], at[1:] - at[:-1], 0)
-        phrase[size > 0] = span_hashes(data, at[size > 0], at[size > 0] + size[size > 0])
+        phrase[size > 0] = stretch_hashes(gram, at[size > 0], size[size > 0])
     return size, phrase
 
 
@@ -112,8 +132,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """Anchors with what follows them. Inside a stretch with a period they stand for nothing that its two ends lack."""
     for batch in batches:
         for row, end_row, data, offsets in text_chunks(batch.column(1)):
-            text, at, _, _ = units_of(data, offsets, length)
-            size, phrase = phrases_of(data, text, at)
+            gram = grams_of(data)
+            text, at, _, _ = units_of(gram, offsets, length)
+            size, phrase = phrases_of(gram, text, at)
             keep = np.ones(len(at), bool)
             for first, many in zip(*echoes_of(size, phrase), strict=True):
                 end = (length + REACH) // size[first] + 2
@@ -123,7 +144,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 [
                     batch.column(0)[row:end_row].take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32)),
                     pa.array(size.astype(np.int32)), pa.array(phrase.view(np.int64), mask=size == 0),
-                    pa.array(span_hashes(data, at, at + (length - REACH)).view(np.int64)),
+                    pa.array(stretch_hashes(gram, at, np.full(len(at), length - REACH)).view(np.int64)),
                 ],
                 ["text_id", "at", "size", "phrase", "context"],
             )
@@ -220,41 +241,69 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PIECE = "text_id long, low int, n int, context long, at int, open boolean, content binary"
 
 
+def _flat(column: pa.Array, row: int, end_row: int) -> tuple[np.ndarray, pa.Array]:
+    """(row of each entry, entries) of a list column, for the rows from `row` on; rows without a list have no entries."""
+    part = column.slice(row, end_row - row)
+    sizes = np.array(pa.compute.list_value_length(part).fill_null(0))
+    return np.repeat(np.arange(len(part)), sizes), part.flatten()
+
+
+def _numbers(entries: pa.Array, name: str) -> np.ndarray:
+    return entries.field(name).to_numpy(zero_copy_only=False)
+
+
+def _add_ranges(counts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    np.add.at(counts, starts, 1)
+    np.add.at(counts, ends, -1)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Strings known to be repeated (rows without context), and the surroundings of anchors that are still to be compared."""
     names = [c.split()[0] for c in _PIECE.split(", ")]
     for batch in batches:
-        for r in range(batch.num_rows):
-            text_id, text, places, found = (batch.column(c)[r].as_py() for c in ("text_id", "text", "places", "found"))
-            raw = text.encode()
-            data = np.frombuffer(raw, np.uint8)
-            _, at, low, count = units_of(data, np.array([0, len(data)]), length)
-            known = np.zeros(len(data) + 1, np.int64)
-            covered = np.zeros(len(data) + 1, np.int64)
-            text_of = np.zeros(len(at), np.int64)
-            size, phrase = phrases_of(data, text_of, at)
-            for first, many in zip(*echoes_of(size, phrase), strict=True):
-                s, e, period = at[first], at[first] + many * size[first], size[first]
-                if e - s >= length + period:
-                    np.add.at(known, [s, e - length + 1], [1, -1])
-                    np.add.at(covered, [s + period, e - length + 1], [1, -1])
-            for f in found or []:
-                np.add.at(known, [f["at"], f["at"] + f["shared"] - length + 1], [1, -1])
-                if f["later"]:
-                    np.add.at(covered, [f["at"], f["at"] + f["shared"] - length + 1], [1, -1])
+        ids, places, found = (batch.column(c) for c in ("text_id", "places", "found"))
+        for row, end_row, data, offsets in text_chunks(batch.column("text")):
+            gram = grams_of(data)
+            text, at, low, count = units_of(gram, offsets, length)
+            known, covered = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
+            size, phrase = phrases_of(gram, text, at)
+            first, many = echoes_of(size, phrase)
+            s, period = at[first], size[first]
+            e = s + many * period
+            long = e - s >= length + period
+            _add_ranges(known, s[long], e[long] - length + 1)
+            _add_ranges(covered, s[long] + period[long], e[long] - length + 1)
+            of, entries = _flat(found, row, end_row)
+            if len(of):
+                s = offsets[of] + _numbers(entries, "at")
+                e = s + _numbers(entries, "shared") - length + 1
+                later = _numbers(entries, "later").astype(bool)
+                _add_ranges(known, s, e)
+                _add_ranges(covered, s[later], e[later])
             known, covered = np.cumsum(known) > 0, np.cumsum(covered) > 0
-            out = []
-            for a, b in zip(*_ranges(np.flatnonzero(known)), strict=True):
-                out.append((text_id, int(a), int(b - a), None, None, None, None))
-            wanted = np.isin(at, np.array([p["at"] for p in places]))
-            context = dict((p["at"], p["context"]) for p in places)
-            for a, s, k in zip(at[wanted].tolist(), low[wanted].tolist(), count[wanted].tolist(), strict=True):
-                if not covered[s : s + k].all():
-                    out.append((text_id, s, k, context[a], a - s, not known[s : s + k].all(), raw[s : s + k + length - 1]))
-            if out:
-                columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            starts, ends = _ranges(np.flatnonzero(known))
+            of = np.searchsorted(offsets, starts, "right") - 1
+            none = [pa.nulls(len(starts), t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(row + of)), pa.array((starts - offsets[of]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), *none], names
+            )
+            of, entries = _flat(places, row, end_row)
+            unit = np.searchsorted(at, offsets[of] + _numbers(entries, "at"))
+            context = _numbers(entries, "context")
+            upto = np.concatenate([[0], np.cumsum(covered)])
+            some = upto[low[unit] + count[unit]] - upto[low[unit]] < count[unit]
+            unit, context = unit[some], context[some]
+            upto = np.concatenate([[0], np.cumsum(known)])
+            s, k, t = low[unit], count[unit], text[unit]
+            raw = data.tobytes()
+            contents = [raw[a : a + n + length - 1] for a, n in zip(s.tolist(), k.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(row + t)), pa.array((s - offsets[t]).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(context),
+                    pa.array((at[unit] - s).astype(np.int32)), pa.array(upto[s + k] - upto[s] < k), pa.array(contents, pa.binary()),
+                ],
+                names,
+            )
 
 
 def _windows(contents: list[bytes], length: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +318,7 @@ def _windows(contents: list[bytes], length: int, salt: int) -> tuple[np.ndarray,
 
 
 _KEY = "d1 long, d2 long"
-_FOUND = f"{_KEY}, starts array<int>"
+_FOUND = f"{_KEY}, starts array<int>, ends array<int>"
 
 
 def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -283,10 +332,9 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         _, group, many = np.unique(mix64(hashes * _MIX + context), return_inverse=True, return_counts=True)
         twice = many[group] > 1
         first = np.searchsorted(which, np.arange(len(rows) + 1))
-        starts = [np.flatnonzero(twice[a:b]).tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(starts, pa.list_(pa.int32()))], ["d1", "d2", "starts"]
-        )
+        runs = [_ranges(np.flatnonzero(twice[a:b]).astype(np.int32)) for a, b in zip(first[:-1], first[1:], strict=True)]
+        lists = [pa.array([r[i] for r in runs], pa.list_(pa.int32())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), *lists], ["d1", "d2", "starts", "ends"])
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("d1", "d2", "context", "content")], strict=True):
@@ -313,15 +361,15 @@ def _spread(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _borders(pieces: DataFrame, length: int) -> DataFrame:
-    """(text_id, low, n) of one repeated string each (n = 1), by comparing the strings around the open anchors."""
+    """(text_id, low, starts, ends): repeated strings by comparing those around the open anchors, as ranges from `low` on."""
     units = pieces.where("context is not null").select(
         "*", F.xxhash64("content", "at").alias("d1"), F.xxhash64(F.lit(1), "content", "at").alias("d2")
     )
-    contexts = units.where("open").select("context").distinct()
-    classes = reliable(units.join(contexts, "context", "left_semi").groupBy("context", "d1", "d2").agg(
+    contexts = reliable(units.where("open").select("context").distinct())
+    classes = stored(semi_join(units, contexts, "context").groupBy("context", "d1", "d2").agg(
         F.count("*").alias("many"), F.first("content").alias("content"), F.first("n").alias("n")
     ))
-    twice = classes.where("many > 1").select("d1", "d2", F.sequence(F.lit(0), F.col("n") - 1).alias("starts"))
+    twice = classes.where("many > 1").select("d1", "d2", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
     crowds = reliable(classes.groupBy("context").count().where(F.col("count") > GROUP).select("context"))
     few = classes.join(crowds, "context", "left_anti").select("d1", "d2", "context", "content")
     few = few.repartition("context").sortWithinPartitions("context").mapInArrow(lambda b: tidy(_compared(b, length)), _FOUND)
@@ -329,37 +377,46 @@ def _borders(pieces: DataFrame, length: int) -> DataFrame:
     each = many.mapInArrow(lambda b: tidy(_spread(b, length)), f"{_KEY}, start int, h1 long, h2 long")
     again = each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     crowded = each.join(again, ["h1", "h2"]).groupBy("d1", "d2").agg(F.collect_list("start").alias("starts"))
+    crowded = crowded.select("d1", "d2", "starts", F.transform("starts", lambda s: s + 1).alias("ends"))
     found = few.unionByName(crowded).unionByName(twice).where(F.size("starts") > 0)
     open_units = units.where("open").select("text_id", "low", "d1", "d2")
     # An open unit may be in two of the lists; strings marked twice are marked once.
-    return open_units.join(reliable(found), ["d1", "d2"]).select(
-        "text_id", F.explode(F.transform("starts", lambda s: F.col("low") + s)).alias("low"), F.lit(1).alias("n")
-    )
+    return open_units.join(reliable(found), ["d1", "d2"]).select("text_id", "low", "starts", "ends")
 
 
 _CUT = "text_id long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """What is left of each text when its repeated strings are gone."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        for r in range(batch.num_rows):
-            text_id, text, strings = (batch.column(c)[r].as_py() for c in ("text_id", "text", "strings"))
-            raw = text.encode()
-            gone = np.zeros(len(raw) + 1, np.int64)
-            low = np.array([s["low"] for s in strings])
-            np.add.at(gone, low, 1)
-            np.add.at(gone, low + np.array([s["n"] for s in strings]) + length - 1, -1)
-            starts, ends = _ranges(np.flatnonzero(np.cumsum(gone)[:-1] > 0))
-            kept = sha256()
-            at = 0
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                kept.update(raw[at:s])
-                at = e
-            kept.update(raw[at:])
-            spans = [{"start": int(s), "end": int(e)} for s, e in zip(starts, ends, strict=True)]
+        for row, end_row, data, offsets in text_chunks(batch.column("text")):
+            of, entries = _flat(batch.column("strings"), row, end_row)
+            base = offsets[of] + _numbers(entries, "low")
+            gone = np.zeros(len(data) + 1, np.int64)
+            lists = entries.field("starts")
+            base = np.repeat(base, np.array(pa.compute.list_value_length(lists)))
+            starts, ends = (pa.compute.list_flatten(entries.field(c)).to_numpy(zero_copy_only=False) for c in ("starts", "ends"))
+            _add_ranges(gone, base + starts, base + ends + length - 1)
+            starts, ends = spans(np.cumsum(gone)[:-1] > 0, offsets)
+            first = np.searchsorted(starts, offsets)
+            total = np.concatenate([[0], np.cumsum(ends - starts)])
+            raw, kept, lists = data.tobytes(), [], []
+            for i in range(end_row - row):
+                left, at = sha256(), int(offsets[i])
+                mine = list(zip(starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist(), strict=True))
+                for s, e in mine:
+                    left.update(raw[at:s])
+                    at = e
+                left.update(raw[at : offsets[i + 1]])
+                kept.append(left.hexdigest())
+                lists.append([{"start": s - int(offsets[i]), "end": e - int(offsets[i])} for s, e in mine])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([text_id]), pa.array([int((ends - starts).sum())]), pa.array([len(starts)]), pa.array([kept.hexdigest()]), pa.array([spans], span)],
+                [
+                    batch.column("text_id").slice(row, end_row - row), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(np.diff(first)),
+                    pa.array(kept), pa.array(lists, span),
+                ],
                 ["text_id", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
@@ -394,8 +451,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     of_text = stored(places.groupBy("text_id").agg(F.collect_list(F.struct("at", "context")).alias("places")).join(found, "text_id", "left"))
     texts = stored(semi_join(rows.select("text_id", "text"), of_text.select("text_id"), "text_id").groupBy("text_id").agg(F.first("text").alias("text")))
     pieces = stored(texts.join(of_text, "text_id").mapInArrow(lambda b: tidy(_pieces(b, length)), _PIECE))
-    strings = pieces.where("context is null").select("text_id", "low", "n").unionByName(_borders(pieces, length))
-    of_text = strings.groupBy("text_id").agg(F.collect_list(F.struct("low", "n")).alias("strings"))
+    inside = pieces.where("context is null").select("text_id", "low", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
+    strings = inside.unionByName(_borders(pieces, length))
+    of_text = strings.groupBy("text_id").agg(F.collect_list(F.struct("low", "starts", "ends")).alias("strings"))
     cut = reliable(texts.join(of_text, "text_id").mapInArrow(lambda b: tidy(_cut(b, length)), _CUT))
     copies = reliable(facts.groupBy("text_id", "text_id2").agg(F.count("*").alias("many")).where("many > 1"))
     copied = F.col("many").isNotNull() & (F.col("n_bytes") >= length)
