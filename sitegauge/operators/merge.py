@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.session import reliable
+
 CONTEXT = ("metro_key", "hood_name", "niche_key", "tier", "found_via")
 
 
@@ -36,17 +38,47 @@ def merge_sightings(sightings: DataFrame, key: str, at: Sequence[str], context:
     )
 
 
+#: A change of so many keys at most goes to where the state is; a larger one is joined by shuffle.
+CHANGE_ROWS = 1_000_000
+
+
+def changed(state: DataFrame, change: DataFrame, key: str, most_rows: int = CHANGE_ROWS) -> list[DataFrame]:
+    """Parts that together are the full outer join of ``state`` (alias ``o``) and ``change`` (``n``) on ``key``.
+
+    Both have one row a key. A short change is broadcast: the rows of the state stay in their tasks, and only the keys
+    that the change has are looked up, to tell which of its rows are new. A long one shuffles both sides once.
+    """
+    change = reliable(change)
+    on = F.col(f"o.{key}") == F.col(f"n.{key}")
+    if change.limit(most_rows + 1).count() > most_rows:
+        return [state.alias("o").join(change.alias("n"), on, "full_outer")]
+    known = reliable(state.select(key).join(F.broadcast(change.select(key)), key, "left_semi"))
+    fresh = change.join(F.broadcast(known), key, "left_anti")
+    nobody = state.sparkSession.createDataFrame([], state.schema)
+    return [
+        state.alias("o").join(F.broadcast(change).alias("n"), on, "left"),
+        F.broadcast(nobody).alias("o").join(fresh.alias("n"), on, "right"),
+    ]
+
+
+def _combined(parts: list[DataFrame], columns: list[Column]) -> DataFrame:
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
+    return out
+
+
 def upsert_places(state: DataFrame, sightings: DataFrame, at: Sequence[str], context: Sequence[str] = CONTEXT,
-                  facts: Sequence[str] = ()) -> DataFrame:
+                  facts: Sequence[str] = (), most_rows: int = CHANGE_ROWS) -> DataFrame:
     """Next version of the places: known ones keep context and bucket and get new facts;
-    unknown ones are added with stage ``discovered``.  ``is_new`` tells which is which."""
+    unknown ones are added with stage ``discovered``.  ``is_new`` tells which is which.
+    The state is not shuffled while the sightings are of ``most_rows`` places at most."""
     merged = merge_sightings(sightings, "place_id", at, context, facts)
-    old, new = state.alias("o"), merged.alias("n")
     known = F.col("o.place_id").isNotNull()
     seen = F.col("n.place_id").isNotNull()
     kept = [c for c in state.columns if c not in ("place_id", "is_new", *context, *facts)]
     defaults = {"stage": F.lit("discovered"), "bucket": F.lit("pending")}
-    return old.join(new, F.col("o.place_id") == F.col("n.place_id"), "full_outer").select(
+    return _combined(changed(state, merged, "place_id", most_rows), [
         F.coalesce("o.place_id", "n.place_id").alias("place_id"),
         *[F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in context],
         *[F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in facts],
@@ -55,31 +87,37 @@ def upsert_places(state: DataFrame, sightings: DataFrame, at: Sequence[str], con
             for c in kept
         ],
         (~known).alias("is_new"),
-    )
+    ])
+
+
+def _replaced(old: DataFrame, new: DataFrame, key: str, columns: list[str], sticky: str | None, most_rows: int) -> DataFrame:
+    seen = F.col(f"n.{key}").isNotNull()
+    picked = [F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns]
+    if sticky:
+        picked.append(F.coalesce(f"n.{sticky}", f"o.{sticky}").alias(sticky))
+    return _combined(changed(old, new, key, most_rows), [F.coalesce(f"o.{key}", f"n.{key}").alias(key), *picked])
 
 
-def upsert_newest(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
+def upsert_newest(old: DataFrame, new: DataFrame, key: str, at: str, most_rows: int = CHANGE_ROWS) -> DataFrame:
     """Next version of a one-row-per-key table: a new row replaces the old one.
 
-    Copies inside ``new`` are settled by ``at``.
+    Copies inside ``new`` are settled by ``at``. The old rows are not shuffled, see :func:`changed`.
     """
     cols = [c for c in old.columns if c != key]
-    both = old.withColumn("_gen", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_gen", F.lit(1)))
-    picked = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct("_gen", at)).alias("_row"))
-    return picked.select(key, *[F.col("_row")[c].alias(c) for c in cols])
+    picked = new.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(at)).alias("_row"))
+    return _replaced(old, picked.select(key, *[F.col("_row")[c].alias(c) for c in cols]), key, cols, None, most_rows)
 
 
 def upsert_audits(old: DataFrame, new: DataFrame, key: str = "place_id", at: str = "audited_at",
-                  sticky: str = "version_evidence") -> DataFrame:
+                  sticky: str = "version_evidence", most_rows: int = CHANGE_ROWS) -> DataFrame:
     """As :func:`upsert_newest`, but a null ``sticky`` value does not wipe the old one."""
     cols = [c for c in old.columns if c not in (key, sticky)]
-    both = old.withColumn("_gen", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_gen", F.lit(1)))
-    order = F.struct("_gen", at)
-    picked = both.groupBy(key).agg(
-        F.max_by(F.struct(*cols), order).alias("_row"),
-        F.max(F.when(F.col(sticky).isNotNull(), F.struct(order.alias("o"), F.col(sticky).alias("v")))).alias("_sticky"),
+    picked = new.groupBy(key).agg(
+        F.max_by(F.struct(*cols), F.col(at)).alias("_row"),
+        F.max(F.when(F.col(sticky).isNotNull(), F.struct(F.col(at).alias("o"), F.col(sticky).alias("v")))).alias("_sticky"),
     )
-    return picked.select(key, *[F.col("_row")[c].alias(c) for c in cols], F.col("_sticky")["v"].alias(sticky))
+    settled = picked.select(key, *[F.col("_row")[c].alias(c) for c in cols], F.col("_sticky")["v"].alias(sticky))
+    return _replaced(old, settled, key, cols, sticky, most_rows)
 
 
 def derive_stage(places: DataFrame, audits: DataFrame, reviews: DataFrame, psi: DataFrame,

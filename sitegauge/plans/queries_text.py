@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,14 @@ from sitegauge.functions.urls import host_of
 from sitegauge.operators import display, lexicon, mentions, probes, reports, reviews, rule_index, rules, verdict
 from sitegauge.params import DEFAULT, GlyphLanguage, LanguageProfile
 from sitegauge.plans import checks
+from sitegauge.plans.facts import facts_by_content
 from sitegauge.plans.inputs import prelude, table, with_types
 from sitegauge.plans.profiles import CATEGORY_RULES, NAME_RULES, PART_RULES, TRIAL
 from sitegauge.plans.queries_pages import DECLARED, SIGNALS, responses
 from sitegauge.plans.rescore import audits_of, stored_facts
 from sitegauge.plans.rescore import rescore as rescore_job
 from sitegauge.plans.rescore import reverdict as reverdict_job
-from sitegauge.session import reliable
+from sitegauge.session import ensure_checkpoint_dir, reliable
 from sitegauge.schemas import REVIEW_RESPONSE, SEARCH_RESPONSE
 from sitegauge.sources import readers
 
@@ -110,9 +112,9 @@ def rule_join(spark, sf):
     """How many conversation turns each rule matches; every long word of the benchmark is a rule, with some of other kinds."""
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("w")).distinct()
     other = F.when(F.length("w") % 3 == 0, F.concat(F.lit("(?i)(?:"), "w", F.lit("|no such thing)"))).otherwise(
-        F.concat(F.lit(r"(?i)\b"), F.substring("w", 1, 5), F.lit("[a-z]*"))
+        F.concat(F.lit("(?i)(?:^|[^a-z])"), F.substring("w", 1, 5), F.lit("[a-z]*"))
     )
-    pattern = F.when(F.length("w") % 2 == 0, F.concat(F.lit(r"(?i)\b"), "w", F.lit(r"\b"))).otherwise(other)
+    pattern = F.when(F.length("w") % 2 == 0, F.concat(F.lit("(?i)(?:^|[^a-z])"), "w", F.lit("(?:$|[^a-z])"))).otherwise(other)
     made = words.select(F.col("w").alias("pos"), pattern.alias("pattern"), F.length("w").alias("weight"), F.col("w").alias("label"))
     bare = spark.range(1).select(F.lit("~").alias("pos"), F.lit("[0-9]{3}").alias("pattern"), F.lit(1).alias("weight"), F.lit("three digits").alias("label"))
     found = rule_index.rule_matches(_turns(spark, sf), "id", "text", made.unionByName(bare))
@@ -247,6 +249,27 @@ def rescore_with_history(spark, sf):
     ).select(*_VERDICT)
 
 
+def _site_answers(spark, sf):
+    """Home pages, and of every four pages three as answers of a site: to a junk address, a route and a preference."""
+    home = responses(spark, sf).select("place_id", F.lit("home").alias("role"), "final_url", F.lit(200).alias("http_status"), "html")
+    others = _answers(spark, sf).where(F.col("role") != "home").withColumn("place_id", F.concat(F.lit("p"), F.substr("place_id", F.lit(2))))
+    return home.unionByName(others)
+
+
+def rescore_with_all(spark, sf):
+    """The job with everything it can use: probe answers, mentions, a store of facts, and old audits of pages that are gone."""
+    store = f"{ensure_checkpoint_dir(spark)}/facts-{uuid4().hex}"
+    answers = _site_answers(spark, sf)
+    gone = table(spark, sf, "psi").select("place_id")
+    homes = answers.where(F.col("role") == "home").drop("role")
+    old = reliable(audits_of(facts_by_content(homes.join(gone, "place_id", "left_semi"), store, TRIAL)))
+    named = mention_scores(spark, sf).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("place_id"), "mentions", "mention_score")
+    return rescore_job(
+        _named_state(spark, sf), answers.join(gone, "place_id", "left_anti"), _review_signal(spark, sf), table(spark, sf, "psi"), _pins(spark, sf),
+        TRIAL, old_audits=old, mentions=named, use_probes=True, facts_at=store,
+    ).select(*_VERDICT)
+
+
 def rescore(spark, sf):
     return _rescored(spark, sf).select(*_VERDICT)
 
@@ -419,7 +442,7 @@ QUERIES = {
     for f in (
         lexicon_prepare, key_verdicts, text_verdicts, text_verdicts_salted, text_classes, rule_best_match, rule_join, rule_hits,
         name_signals, review_languages, author_totals, review_signal, owner_scores, evidence_top, no_site_scores, rescore,
-        reverdict, rescore_with_history, rescore_transitions, export_rows, mention_candidates, mention_scores, language_routes, negotiated_language,
+        reverdict, rescore_with_history, rescore_with_all, rescore_transitions, export_rows, mention_candidates, mention_scores, language_routes, negotiated_language,
         search_answers, review_answers, speed_answers, sitemap_pages, decoded_pages,
     )
 }
@@ -548,9 +571,29 @@ n AS (SELECT page_id, source, c FROM r WHERE NOT list_has_any(regexp_split_to_ar
       UNION ALL SELECT page_id, 5, unnest(regexp_extract_all(t, '(?i:inhaber)[\\s:,\\-]{{1,4}}([À-ÖØ-Þ][ß-öø-ÿ]{{2,}}\\s+[À-ÖØ-Þ][ß-öø-ÿ]{{2,}})', 1)) FROM t),
 d AS (SELECT page_id, c, min(source) AS source FROM n GROUP BY page_id, c)"""
 
+_SCORED_MENTIONS = """g AS (SELECT page_id, count(*) AS mentions, min(source) FILTER (length(c) % 4 = 0) AS first FROM d WHERE length(c) % 2 = 0 GROUP BY page_id),
+ms AS (SELECT page_id, mentions, CASE WHEN first IS NULL THEN 0 WHEN first IN (1, 5) THEN 30 ELSE 25 END AS mention_score FROM g)"""
+
+# The job with probe answers and mentions for the places whose page is still there.
+_PROBED = f"""
+an AS (SELECT 'p' || CAST(floor(page_id / 4) AS BIGINT) AS place_id, page_id % 4 AS role, url, CASE WHEN page_id % 4 = 1 AND page_id % 8 = 1 THEN 404 ELSE 200 END AS st, sha1({checks.normalized()}) AS fp, length(html) AS n,
+   regexp_matches({checks.visible_text()}, '(?i)page not found|404 error|nothing found|no results found|страница не найдена|сторінку не знайдено|oops') AS soft,
+   len(regexp_extract_all(html, '[À-ɏ]')) AS script FROM pages WHERE page_id % 4 > 0),
+home AS (SELECT 'p' || page_id AS place_id, sha1({checks.normalized()}) AS home_fp FROM {checks.RICH_PAGES}),
+junk AS (SELECT place_id, fp AS junk_fp, n AS junk_n, st = 404 AS honest FROM an WHERE role = 1),
+asked AS (SELECT an.*, home_fp, junk_fp, coalesce(junk_n, 0) AS junk_n, coalesce(honest, false) AS honest FROM an LEFT JOIN home USING (place_id) LEFT JOIN junk USING (place_id)),
+probe AS (SELECT place_id, max(CASE WHEN role = 3 AND fp <> home_fp AND script >= 100 THEN 35
+   WHEN role = 2 AND st = 200 AND (honest OR junk_fp IS NULL OR fp <> junk_fp) AND fp IS DISTINCT FROM home_fp AND (honest OR abs(n - junk_n) >= 200) AND NOT soft AND script >= 150 THEN 32 ELSE 0 END) AS w FROM asked GROUP BY place_id)"""
+_TOP, _SITE = "coalesce(list_max(list_transform(v.ev, lambda e: e.w)), 0)", "coalesce(list_sum(list_transform(o.ev, lambda e: e.w)), 0)"
+_PIN = "LEFT JOIN pin ON pin.place_id = nm.place_id"
+_JOB_WITH_ALL = _JOB.replace("allv AS (", f"{_MENTIONS}, {_SCORED_MENTIONS}, {_PROBED},\nallv AS (").replace(
+    f"{_TOP} AS top_w", f"greatest({_TOP}, CASE WHEN p.place_id IS NULL AND q.page_id IS NOT NULL AND len(list_filter(v.ev, lambda e: e.s <> 'flag_icons')) = 0 THEN coalesce(probe.w, 0) ELSE 0 END) AS top_w"
+).replace(
+    f"{_SITE} AS site_w", f"{_SITE} + CASE WHEN p.place_id IS NULL AND q.page_id IS NOT NULL AND o.hard_exclusion IS NULL THEN coalesce(ms.mention_score, 0) ELSE 0 END AS site_w"
+).replace(_PIN, f"{_PIN} LEFT JOIN probe ON probe.place_id = nm.place_id LEFT JOIN ms ON 'p' || ms.page_id = nm.place_id")
+
 ORACLES = {
-    "mention_scores": f"""WITH {_MENTIONS}, g AS (SELECT page_id, count(*) AS mentions, min(source) FILTER (length(c) % 4 = 0) AS first FROM d WHERE length(c) % 2 = 0 GROUP BY page_id)
-        SELECT page_id, mentions, CASE WHEN first IS NULL THEN 0 WHEN first IN (1, 5) THEN 30 ELSE 25 END AS mention_score FROM g""",
+    "mention_scores": f"WITH {_MENTIONS}, {_SCORED_MENTIONS} SELECT * FROM ms",
     "lexicon_prepare": f"WITH t AS (SELECT source, lang, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), k AS (SELECT DISTINCT source, lang, {_key_sql('w')} AS key FROM t WHERE NOT contains(w, ':')) SELECT lang AS role, count(DISTINCT key) AS keys, min(key) AS first_key, max(key) AS last_key, count(*) AS entries FROM k WHERE length(key) >= 3 GROUP BY lang",
     "key_verdicts": f"WITH {_LISTS} SELECT verdict, count(*) AS n FROM kv GROUP BY verdict",
     "text_verdicts": f"WITH {_LISTS} SELECT id, verdict, matched FROM tv",
@@ -559,8 +602,8 @@ ORACLES = {
     "rule_best_match": f"SELECT p_partkey, r.w AS weight, r.l AS label FROM (SELECT p_partkey, {_PARTS} AS r FROM part)",
     "rule_join": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM benchmark),
         t AS (SELECT conv_id * 1000 + turn AS id, text, lower(text) AS low FROM conversations),
-        m AS (SELECT w AS label, id FROM w JOIN t ON CASE WHEN length(w) % 2 = 0 THEN contains(low, w) AND regexp_matches(low, '\\b' || w || '\\b')
-          WHEN length(w) % 3 = 0 THEN contains(low, w) OR contains(low, 'no such thing') ELSE contains(low, substr(w, 1, 5)) AND regexp_matches(low, '\\b' || substr(w, 1, 5) || '[a-z]*') END
+        m AS (SELECT w AS label, id FROM w JOIN t ON CASE WHEN length(w) % 2 = 0 THEN contains(low, w) AND regexp_matches(low, '(?:^|[^a-z])' || w || '(?:$|[^a-z])')
+          WHEN length(w) % 3 = 0 THEN contains(low, w) OR contains(low, 'no such thing') ELSE contains(low, substr(w, 1, 5)) AND regexp_matches(low, '(?:^|[^a-z])' || substr(w, 1, 5) || '[a-z]*') END
           UNION ALL SELECT 'three digits', id FROM t WHERE regexp_matches(text, '[0-9]{3}'))
         SELECT label, count(*) AS hits, min(id) AS first_id FROM m GROUP BY label""",
     "rule_hits": f"WITH r AS (SELECT p_partkey, {_FIRST} AS rule FROM part), x AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY p_partkey) AS i FROM r WHERE rule IS NOT NULL) SELECT rule, count(*) AS hits, string_agg(p_partkey, ',' ORDER BY p_partkey) FILTER (i <= 6) AS samples FROM x GROUP BY rule",
@@ -580,6 +623,7 @@ ORACLES = {
     "rescore": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
     "reverdict": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd WHERE psi_done",
     "rescore_with_history": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
+    "rescore_with_all": f"{_JOB_WITH_ALL} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
     "rescore_transitions": f"{_JOB} SELECT old_bucket AS from_bucket, v.b AS to_bucket, count(*) AS n FROM vd WHERE old_bucket <> v.b GROUP BY 1, 2",
     "mention_candidates": f"""WITH {checks.email_ctes('documents', 'doc_id', 'text')}, lp AS (SELECT doc_id, split_part(unnest(string_split(emails, ',')), '@', 1) AS l FROM best), w AS (SELECT doc_id, unnest(regexp_split_to_array(l, '[._\\-+0-9]+')) AS candidate FROM lp)
         SELECT doc_id, 'email' AS source, candidate FROM w WHERE length(candidate) >= 4

@@ -72,6 +72,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimate < SMALL_SCAN else df
 
 
+#: Bytes of small files that are read in one task.
+TASK_BYTES = 128 << 20
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A scan of many small files in few tasks, without a shuffle.
+
+    Spark adds some megabytes to the size of every file when it cuts a scan into splits, so ten thousand files of a
+    kilobyte are hundreds of tasks. Splits are put together until each has about TASK_BYTES of what is really there;
+    all cores are kept busy.
+    """
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-estimate // TASK_BYTES)))
+
+
 def with_package(df: DataFrame) -> DataFrame:
     """Let Python code of this package run on the executors of the session of `df`, once for a session.
 

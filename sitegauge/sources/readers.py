@@ -11,6 +11,7 @@ from sitegauge.functions.markup import sitemap_locations
 from sitegauge.functions.text import round_half_up
 from sitegauge.operators.lexicon import prepare_lexicon
 from sitegauge.schemas import CACHED_PAGE, PAGE_SPEED_RESPONSE, REVIEW_RESPONSE, SEARCH_RESPONSE
+from sitegauge.session import packed, reliable
 
 # --- fixed values -----------------------------------------------------------
 CHARSET_ALIASES = {
@@ -76,14 +77,18 @@ def page_speed_from(raw: DataFrame) -> DataFrame:
 
 
 def read_cached_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per key; a broken file gives a row without a page."""
-    raw = (
-        spark.read.schema(CACHED_PAGE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"))
-    )
-    return raw.select(
-        F.regexp_replace("_file", r"\.json$", "").alias("place_id"),
-        F.col("finalUrl").alias("final_url"), F.try_to_timestamp(F.col("fetchedAt")).alias("fetched_at"), "html",
+    """One JSON file per key as (place_id, final_url, fetched_at, html, state); a broken file gives a row without a page.
+
+    `state` is ``page``, ``no page`` (JSON without one) or ``broken``. The names of the files are their keys; many small
+    files are read by few tasks.
+    """
+    files = packed(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("_file")))
+    parsed = F.from_json("value", CACHED_PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    read = files.select(F.regexp_replace("_file", r"\.json$", "").alias("place_id"), parsed.alias("p"), (F.trim("value") == "").alias("_blank"))
+    p = F.col("p")
+    return read.select(
+        "place_id", p["finalUrl"].alias("final_url"), F.try_to_timestamp(p["fetchedAt"]).alias("fetched_at"), p["html"].alias("html"),
+        F.when(F.col("_blank") | p.isNull() | p["_corrupt_record"].isNotNull(), "broken").when(p["html"].isNull(), "no page").otherwise("page").alias("state"),
     )
 
 
@@ -113,16 +118,16 @@ def sitemap_urls(maps: DataFrame) -> DataFrame:
     """Page addresses per site from stored site maps ``(place_id, url, xml)``.
 
     The first of the usual addresses that holds a map wins; an index file leads to all its children. The addresses
-    are taken out in one scan; the mark-up goes no further.
+    are taken out in one scan and stored; the mark-up goes no further.
     """
     xml = F.col("xml")
     rank = F.lit(None).cast("int")
     for i, suffix in reversed(list(enumerate(SITEMAP_CANDIDATES))):
         rank = F.when(F.col("url").endswith(suffix), i).otherwise(rank)
-    read = maps.select(
+    read = reliable(maps.select(
         "place_id", "url", rank.alias("_rank"), xml.rlike("(?i)<(?:urlset|sitemapindex)").alias("_valid"),
         xml.rlike("(?i)<sitemapindex").alias("is_index"), sitemap_locations(xml).alias("locs"),
-    )
+    ))
     chosen = read.where(F.col("_valid") & F.col("_rank").isNotNull()).groupBy("place_id").agg(
         F.min_by(F.struct("is_index", "locs"), "_rank").alias("c")
     )

@@ -32,8 +32,28 @@ def test_page_speed_prefers_mobile(spark):
 def test_cached_pages_tolerate_a_broken_file(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"finalUrl": "https://a.com/", "fetchedAt": "2026-01-01T00:00:00Z", "html": "<p>"}))
     (tmp_path / "b.json").write_text("{broken")
-    got = {r["place_id"]: r["html"] for r in readers.read_cached_pages(spark, str(tmp_path)).collect()}
-    assert got == {"a": "<p>", "b": None}
+    (tmp_path / "c.json").write_text("")
+    (tmp_path / "d.json").write_text('{"finalUrl": "https://d.com/"}')
+    (tmp_path / "e.json").write_text('[1]')
+    got = {r["place_id"]: (r["html"], r["state"]) for r in readers.read_cached_pages(spark, str(tmp_path)).collect()}
+    assert got.pop("a") == ("<p>", "page") and got.pop("d") == (None, "no page") and got.keys() <= {"b", "c", "e"}
+    assert got["b"] == (None, "broken") and all(html is None for html, _ in got.values())
+
+
+def test_ten_thousand_small_files_are_a_few_tasks(spark, tmp_path):
+    for i in range(10_000):
+        (tmp_path / f"k{i}.json").write_text("{" if i % 1000 == 7 else '{"html": "<p>%d"}' % i)
+    pages = readers.read_cached_pages(spark, str(tmp_path))
+    assert pages.rdd.getNumPartitions() <= 8
+    by_state = {r["state"]: r["count"] for r in pages.groupBy("state").count().collect()}
+    assert by_state == {"page": 9990, "broken": 10}
+
+
+def test_site_maps_are_read_once(spark, tmp_path):
+    rows = [("a", "https://a/sitemap.xml", "<sitemapindex><loc>https://a/m.xml</loc></sitemapindex>"), ("a", "https://a/m.xml", "<urlset><loc>https://a/p</loc></urlset>")]
+    spark.createDataFrame(rows, "place_id string, url string, xml string").write.parquet(str(tmp_path / "maps"))
+    out = readers.sitemap_urls(spark.read.parquet(str(tmp_path / "maps")))
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString() and [r["page_url"] for r in out.collect()] == ["https://a/p"]
 
 
 def test_keyed_config_skips_comments_and_the_byte_order_mark(spark, tmp_path):
