@@ -19,11 +19,14 @@ from sitegauge.llm.wordarrays import SPACE, spans, text_chunks
 KINDS = ("email", "ip", "card", "phone")
 #: Segments of the labelled table at most; those of least hash are taken, so the sample is the same on every run.
 SAMPLE = 3000
-#: Words on either side of a word with a digit or an at sign that belong to its segment.
+#: Words on either side of a word with a cue that belong to its segment.
 CONTEXT = 3
 #: Buckets for word shapes, and rounds and rate of the training.
 SHAPES, TRAIN_ROUNDS, RATE, PENALTY = 2048, 80, 0.3, 1e-3
 
+#: Words that stand for marks of an address, and how many words on from `at` a `dot` makes both a cue.
+SPELLED, DOT_WITHIN = ("at", "dot"), 6
+
 _LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 _DIGIT, _LOCAL, _DIAL, _DOTTED = (np.zeros(256, bool) for _ in range(4))
 _DIGIT[48:58] = True
@@ -32,6 +35,7 @@ _LOCAL[[*_ALNUM, *b"._%+-"]] = True
 _DIAL[[*range(48, 58), *b" ().-"]] = True
 _DOTTED[[*range(48, 58), 46]] = True
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_AT_SIGN = re.compile(r"\w(?:@|\[at\]|\(at\))\w", re.IGNORECASE)
 _IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 
 
@@ -85,15 +89,27 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
 
 
 def shape(word: str) -> str:
-    """A word's letters as a and A, its digits as 9, runs of letters cut to one and of digits to five."""
+    """A word's letters as a and A, its digits as 9, runs of letters cut to one and of digits to five.
+
+    The words that stand for an at sign or a point in a written-out address are shapes of their own, and so are all words
+    with an at sign, in brackets or not, between letters or digits.
+    """
+    if word.lower() in SPELLED:
+        return f"<{word.lower()}>"
+    if _AT_SIGN.search(word):
+        return "<address>"
     kinds = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word))
     return re.sub(r"9{6,}", "99999+", re.sub(r"([aA])\1+", r"\1", kinds))
 
 
 def _features(words: list[str]) -> np.ndarray:
-    """Four feature numbers for each word: its shape, the shapes beside it, and its digits by number."""
-    bucket = [crc32(shape(w).encode()) % SHAPES for w in words]
-    digits = [SHAPES - 1 - min(sum(c.isdigit() for c in w), 24) for w in words]
+    """Four feature numbers for each word: its shape, the shapes beside it, and its digits by number.
+
+    The digits of an address say nothing.
+    """
+    shapes = [shape(w) for w in words]
+    bucket = [crc32(s.encode()) % SHAPES for s in shapes]
+    digits = [SHAPES - 1 - (25 if s[:1] == "<" else min(sum(c.isdigit() for c in w), 24)) for w, s in zip(words, shapes, strict=True)]
     around = [0, *bucket, 0]
     return np.array([[b, SHAPES + around[i], 2 * SHAPES + around[i + 2], 3 * SHAPES + d] for i, (b, d) in enumerate(zip(bucket, digits, strict=True))])
 
@@ -108,15 +124,50 @@ def _core(word: bytes) -> tuple[int, int]:
     return a, b
 
 
+def _bracketed(data: np.ndarray) -> np.ndarray:
+    """Where `[at]` or `(at)` stands, in letters of any case."""
+    marks = np.zeros(len(data), bool)
+    if len(data) >= 4:
+        low = data | np.uint8(32)
+        square = (data[:-3] == 91) & (data[3:] == 93)
+        marks[:-3] = (square | ((data[:-3] == 40) & (data[3:] == 41))) & (low[1:-2] == 97) & (low[2:-1] == 116)
+    return marks
+
+
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Numbers of the words `at` that a `dot` follows within DOT_WITHIN words of the same text, and of those dots."""
+    low = data | np.uint8(32)
+
+    def places(word: bytes) -> np.ndarray:
+        out = np.flatnonzero(ends - starts == len(word))
+        for i, c in enumerate(word):
+            out = out[low[starts[out] + i] == c]
+        return out
+
+    at, dot = places(b"at"), places(b"dot")
+    if not len(at) or not len(dot):
+        return np.zeros(0, np.int64)
+    first = np.searchsorted(dot, at)
+    next_dot = dot[np.minimum(first, len(dot) - 1)]
+    near = (first < len(dot)) & (next_dot - at <= DOT_WITHIN) & (text_of[next_dot] == text_of[at])
+    before = np.searchsorted(at[near], dot) - 1
+    after_at = before >= 0
+    after_at[after_at] = dot[after_at] - at[near][before[after_at]] <= DOT_WITHIN
+    return np.concatenate([at[near], dot[after_at]])
+
+
 def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text, word starts, word ends) of the runs of words near a digit or an at sign."""
+    """(text, word starts, word ends) of the runs of words near a cue: a digit, an at sign, or one written out.
+
+    Every form that the field is trained on holds a cue, so no other word can get a label.
+    """
     starts, ends = spans(~SPACE[data], offsets)
     if not len(starts):
         return
-    cues = np.concatenate([[0], np.cumsum(_DIGIT[data] | (data == 64))])
+    cues = np.concatenate([[0], np.cumsum(_DIGIT[data] | (data == 64) | _bracketed(data))])
     near = np.zeros(len(starts), bool)
     text_of = np.searchsorted(offsets, starts, "right") - 1
-    at = np.flatnonzero(cues[ends] > cues[starts])
+    at = np.union1d(np.flatnonzero(cues[ends] > cues[starts]), _spelled(data, starts, ends, text_of))
     for shift in range(-CONTEXT, CONTEXT + 1):
         to = np.clip(at + shift, 0, len(starts) - 1)
         near[to[text_of[to] == text_of[at]]] = True
@@ -276,6 +327,8 @@ def _variants(words: list[str], labels: list[int]) -> Iterator[tuple[list[str],
         if x == 1 and "@" in w:  # addresses with the at sign in brackets
             for mark in ("[at]", "(at)"):
                 yield [*words[:i], w.replace("@", mark), *words[i + 1 :]], labels
+            spelled = w.replace("@", " at ").replace(".", " dot ").split()
+            yield [*words[:i], *spelled, *words[i + 1 :]], [*labels[:i], 1, *[2] * (len(spelled) - 1), *labels[i + 1 :]]
 
 
 def train(table: DataFrame, rows: int = SAMPLE) -> Field:
@@ -287,7 +340,7 @@ def train(table: DataFrame, rows: int = SAMPLE) -> Field:
 
 def _plausible(kind: int, text: bytes) -> bool:
     digits = sum(48 <= b < 58 for b in text)
-    return (digits >= 4, digits >= 4, 13 <= digits <= 19, 7 <= digits <= 15)[kind] if kind else b"@" in text or b"at" in text
+    return (digits >= 4, digits >= 4, 13 <= digits <= 19, 7 <= digits <= 15)[kind] if kind else b"@" in text or b"at" in text.lower()
 
 
 def _added(data: np.ndarray, offsets: np.ndarray, field: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -356,8 +409,8 @@ def personal_data(docs: DataFrame, table: DataFrame | None = None, rows: int = S
     default :func:`labelled_table` of the documents. Null and empty texts have none; null ids and repeated rows keep a
     row each; other columns are ignored. With nothing to train on, the field adds nothing.
 
-    A word far from any digit or at sign is outside by definition: the field's sequences are the runs of words within
-    CONTEXT words of one.
+    The field's sequences are the runs of words within CONTEXT words of a cue: a digit, an at sign, `[at]` or `(at)`, or
+    the words `at` and `dot` near each other. All that it is trained to label holds one, so no span is lost by that.
     """
     docs = with_package(docs)
     field = train(labelled_table(docs, rows) if table is None else table, rows)

@@ -106,6 +106,26 @@ def test_the_field_finds_held_out_variants(trained):
     assert found_by(trained, "abc abc 4929/1182/7710/2284 abc ab") == [("card", "4929/1182/7710/2284")]
 
 
+def test_written_out_addresses_in_text_without_digits(trained):
+    assert found_by(trained, "please write to jane.doe[at]example.org for details about the course") == [("email", "jane.doe[at]example.org")]
+    assert found_by(trained, "or ask jane.doe(AT)example.org about the course") == [("email", "jane.doe(AT)example.org")]
+    assert found_by(trained, "please write to jane dot doe at example dot org for details about the course") == [("email", "jane dot doe at example dot org")]
+    far = "call +1 (714) 555-9921 or write a few more words to jane.doe(at)example.org instead"
+    assert found_by(trained, far) == [("email", "jane.doe(at)example.org")]
+
+
+def test_words_at_and_dot_in_prose_stay(trained):
+    for text in ("we met at noon and the rest of us went home", "look at the small blue line there", "the last dot of the row", "at home [at] (at) all"):
+        assert not [f for f in found_by(trained, text) if "example" in f[1] or " " in f[1]]
+
+
+def test_every_cue_is_in_a_segment():
+    text = "x [AT] y " + "w " * 9 + "(aT)z " + "w " * 9 + "At a b c d e dot " + "w " * 9 + "at a b c d e f dot"
+    (_, _, data, offsets), = text_chunks(pa.array([text, "at", "dot a"]))
+    held = [data.tobytes()[s[0] : e[-1]].decode() for _, s, e in pii.segments(data, offsets)]
+    assert held == ["x [AT] y w w", "w w w (aT)z w w w", "w w w At a b c d e dot w w w"]
+
+
 def test_the_field_leaves_plain_numbers_alone(trained):
     rnd = random.Random(6)
     for _ in range(50):
