@@ -36,7 +36,7 @@ def brute(rows):
             if again:
                 run.append((a, b, len(w)))
             elif run:
-                if max(n for *_, n in run) >= 8:
+                if max(n for *_, n in run) >= 8 or sum(n for *_, n in run) >= 36:
                     out.append((i, run[0][0], run[-1][1], len(run), sum(n for *_, n in run)))
                 run = []
     return sorted(out, key=str)
