@@ -161,17 +161,18 @@ class Decision:
     place_id: str | None = None
 
 
-def by_prefix(rows: DataFrame, name: str, prefixes: DataFrame, prefix: str, letters: int = 4) -> DataFrame:
+def by_prefix(rows: DataFrame, name: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """Rows joined to the prefixes that their name begins with, in lower case.
 
-    Equal first letters are joined, the rest is tested, so the plan is the same for any number of prefixes. Shorter
-    prefixes meet the names by as many letters as they have; there are at most ``letters`` lengths.
+    A name is asked for at each length that a prefix has, and the whole prefix is the key of the join: what is joined is
+    what matches, however common a beginning is, and the plan is the same for any number of prefixes.
     """
-    wanted = prefixes.withColumn("_p", F.lower(prefix)).withColumn("_n", F.least(F.length("_p"), F.lit(letters)))
-    wanted = wanted.withColumn("_k", F.left("_p", F.col("_n")))
+    wanted = prefixes.withColumn("_p", F.lower(prefix)).where("_p is not null")
+    lengths = wanted.agg(F.collect_set(F.length("_p")).alias("_lengths"))  # one row, of no more numbers than a name has letters
     low = F.lower(F.col(name))
-    keyed = rows.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(letters)))).withColumn("_k", F.left(low, F.col("_n")))
-    return keyed.join(wanted, ["_n", "_k"]).where(low.startswith(F.col("_p"))).drop("_n", "_k", "_p")
+    fits = F.filter("_lengths", lambda n: n <= F.length(low))
+    keyed = rows.join(F.broadcast(lengths)).withColumn("_n", F.explode(fits)).withColumn("_p", F.left(low, F.col("_n")))
+    return keyed.drop("_lengths", "_n").join(wanted, "_p").drop("_p")
 
 
 def resolve_decisions(places: DataFrame, decisions: Sequence[Decision]) -> DataFrame:
