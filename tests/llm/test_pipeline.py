@@ -102,7 +102,7 @@ def test_stages_of_odd_rows(spark, documents, odd_rows, tmp_path):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
 
 
 def test_nothing_else_imports_this():
