@@ -15,6 +15,7 @@ from sitegauge.functions.urls import host_of
 from sitegauge.operators import display, lexicon, mentions, probes, reports, reviews, rule_index, rules, verdict
 from sitegauge.params import DEFAULT, GlyphLanguage, LanguageProfile
 from sitegauge.plans import checks
+from sitegauge.plans.export_sql import export_sql
 from sitegauge.plans.facts import facts_by_content
 from sitegauge.plans.inputs import prelude, table, with_types
 from sitegauge.plans.profiles import CATEGORY_RULES, NAME_RULES, PART_RULES, TRIAL
@@ -623,6 +624,7 @@ ORACLES = {
     "rescore": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
     "reverdict": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd WHERE psi_done",
     "rescore_with_history": f"{_JOB} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
+    "export_rows": export_sql(_JOB),
     "rescore_with_all": f"{_JOB_WITH_ALL} SELECT place_id, v.b AS bucket, v.r AS reject_reason, v.n AS rule_no, CASE WHEN v.n > 3 THEN score END AS owner_score, site_score, site_status FROM vd",
     "rescore_transitions": f"{_JOB} SELECT old_bucket AS from_bucket, v.b AS to_bucket, count(*) AS n FROM vd WHERE old_bucket <> v.b GROUP BY 1, 2",
     "mention_candidates": f"""WITH {checks.email_ctes('documents', 'doc_id', 'text')}, lp AS (SELECT doc_id, split_part(unnest(string_split(emails, ',')), '@', 1) AS l FROM best), w AS (SELECT doc_id, unnest(regexp_split_to_array(l, '[._\\-+0-9]+')) AS candidate FROM lp)
