@@ -64,12 +64,13 @@ SMALL_SCAN = 1 << 30
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows for heavy work on each of them: a small table is dealt out over all cores, a large one stays where it is.
+    """Rows for heavy work on each of them: a small table is dealt out evenly over ``spark.sql.shuffle.partitions`` tasks, a
+    large one stays where it is.
 
     So at most SMALL_SCAN bytes are moved, once; ``spark.sql.files.maxPartitionBytes`` makes the splits of a scan smaller.
     """
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimate < SMALL_SCAN else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if estimate < SMALL_SCAN else df
 
 
 #: Bytes of small files that are read in one task.
