@@ -3,7 +3,7 @@
 A trie has two levels, each a monotone sequence in Elias-Fano form: the contexts of the shard, and (rank of the context,
 successor), in which a successor is looked for relative to its context; the unary half of the second level is the
 pointers of the first. Smoothed probabilities are quantised to 16 bits. The levels are written to a file, mapped into
-memory, and queried by all texts that need the shard.
+memory, and queried there, undecoded, by all texts that need the shard.
 """
 
 from __future__ import annotations
@@ -35,8 +35,18 @@ _LOW = np.uint64((1 << 40) - 1)
 _STEP = 4096.0
 
 
+#: Bytes of the unary half for each count of its directory, and values that are looked up at once.
+_GROUP, _ASKED = 16, 1 << 17
+#: Zeros of each byte, and the place of its r-th zero from the left.
+_ZEROS = np.array([8 - x.bit_count() for x in range(256)], np.uint8)
+_ZERO_AT = np.array([([b for b in range(8) if not x >> (7 - b) & 1] + [0] * 8)[:8] for x in range(256)], np.int64)
+
+
 class EliasFano:
-    """A sorted array of 64-bit integers: low bytes as they are, the rest in unary."""
+    """A sorted array of 64-bit integers: low bytes as they are, the rest in unary, with a directory of the zeros there.
+
+    Look-ups read both halves where they lie; :meth:`values` decodes all of them.
+    """
 
     @staticmethod
     def pack(values: np.ndarray) -> list[np.ndarray]:
@@ -47,18 +57,69 @@ class EliasFano:
         bits = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
         bits[high + np.arange(n)] = 1
         lows = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low])
-        return [np.array([n, low, len(bits)], np.int64), lows.reshape(-1), np.packbits(bits)]
+        packed = np.packbits(bits)
+        packed = np.concatenate([packed, np.full(-len(packed) % _GROUP, 255, np.uint8)])
+        zeros = np.cumsum(_ZEROS[packed].reshape(-1, _GROUP).sum(axis=1, dtype=np.int64))
+        return [np.array([n, low, len(bits)], np.int64), lows.reshape(-1), packed, np.concatenate([[0], zeros[:-1]])]
 
-    def __init__(self, head: np.ndarray, lows: np.ndarray, bits: np.ndarray):
+    def __init__(self, head: np.ndarray, lows: np.ndarray, bits: np.ndarray, zeros: np.ndarray):
         self.n, self.low, self.size = (int(x) for x in head)
-        self.lows, self.bits = lows, bits
+        self.lows, self.bits, self.zeros = lows.reshape(self.n, self.low), bits, zeros
 
     def values(self) -> np.ndarray:
         out = np.zeros((self.n, 8), np.uint8)
-        out[:, : self.low] = self.lows.reshape(self.n, self.low)
+        out[:, : self.low] = self.lows
         high = np.flatnonzero(np.unpackbits(self.bits, count=self.size)) - np.arange(self.n)
         return out.reshape(-1).view("<u8") | (high.astype(np.uint64) << np.uint64(8 * self.low))
 
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 where it isn't held."""
+        if not self.n:
+            return np.full(len(wanted), -1)
+        parts = [self._find(wanted[i : i + _ASKED]) for i in range(0, len(wanted), _ASKED)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def _find(self, wanted: np.ndarray) -> np.ndarray:
+        # Neighbours often have their high part in common, and so the stretch of the unary half that it points to.
+        high = (wanted >> np.uint64(8 * self.low)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+        runs = np.diff(np.concatenate([first, [len(high)]]))
+        high = high[first]
+        most = self.size - self.n - 1
+        held = high <= most
+        high = np.minimum(high, most)
+        begin = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0) - high
+        end = self._zero(high) - high
+        low, end = np.repeat(begin, runs), np.repeat(np.where(held, end, begin), runs)
+        least = wanted & np.uint64((1 << 8 * self.low) - 1)
+        high, at = end.copy(), np.flatnonzero(low < end)
+        while len(at):
+            middle = (low[at] + high[at]) >> 1
+            below = self._low(middle) < least[at]
+            low[at[below]] = middle[below] + 1
+            high[at[~below]] = middle[~below]
+            at = at[low[at] < high[at]]
+        at = np.flatnonzero(low < end)
+        out = np.full(len(wanted), -1)
+        at = at[self._low(low[at]) == least[at]]
+        out[at] = low[at]
+        return out
+
+    def _zero(self, nth: np.ndarray) -> np.ndarray:
+        """Places of the zeros of these numbers in the unary half."""
+        group = np.searchsorted(self.zeros, nth, "right") - 1
+        rest = nth - self.zeros[group]
+        bytes_ = self.bits.reshape(-1, _GROUP)[group]
+        upto = np.cumsum(_ZEROS[bytes_], axis=1, dtype=np.uint8)
+        byte, row = (upto <= rest[:, None]).sum(axis=1), np.arange(len(nth))
+        value = bytes_[row, byte]
+        return (group * _GROUP + byte) * 8 + _ZERO_AT[value, rest - (upto[row, byte] - _ZEROS[value])]
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 8), np.uint8)
+        out[:, : self.low] = self.lows[at]
+        return out.reshape(-1).view("<u8")
+
 
 def quantised(p: np.ndarray) -> np.ndarray:
     """Codes of probabilities: 1 + 4096ths of the negative log10; 0 means none."""
@@ -88,15 +149,16 @@ class Trie:
         self.file.flush()
         self.size = self.file.tell()
         mapped = [np.memmap(self.file, d, "r", at, (n,)) if n else np.zeros(0, d) for at, d, n in places]
-        self.contexts, self.backoff = EliasFano(*mapped[:3]).values(), mapped[3]
-        self.keys, self.codes = EliasFano(*mapped[4:7]).values(), mapped[7]
+        self.contexts, self.backoff = EliasFano(*mapped[:4]), mapped[4]
+        self.keys, self.codes = EliasFano(*mapped[5:9]), mapped[9]
 
     def ask(self, contexts: np.ndarray, runs: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code of each context's weight of the unigrams, code of each successor), 0 where the trie has none."""
-        rank = _find(self.contexts, contexts)
+        rank = self.contexts.find(contexts)
         known = np.repeat(rank, runs)
         key = (np.maximum(known, 0).astype(np.uint64) << _RANK) | successors
-        at = np.where(known >= 0, _find(self.keys, key), -1)
+        at = np.full(len(key), -1)
+        at[known >= 0] = self.keys.find(key[known >= 0])
         return _take(self.backoff, rank), _take(self.codes, at)
 
 

@@ -101,3 +101,21 @@ def test_trie_finds_what_it_holds():
     assert (backoff > 0).tolist() == [True, False, True] and (codes > 0).tolist() == [True, True, False, False, True, False]
     assert np.allclose(lm.probability(codes, 0.0), [1 / 8, 3 / 8, 0, 0, 6 / 10, 0], rtol=1e-3)
     assert np.allclose(lm.probability(backoff, 1.0), [4 / 8, 1, 4 / 10], rtol=1e-3)
+
+
+def test_tries_are_searched_as_they_are_packed(monkeypatch):
+    """Every value is found at its place, nothing else is, and no level is decoded."""
+    rnd = np.random.default_rng(4)
+    monkeypatch.setattr(lm, "_ASKED", 1000)
+    packed = []
+    for values in ([], [0], [2**64 - 1], range(1000), rnd.integers(0, 2**63, 5000), (np.arange(300) << 40) + rnd.integers(0, 2**40, 300), [*range(3000), 2**62]):
+        values = np.unique(np.array(list(values), np.uint64))
+        wanted = np.concatenate([values, values + np.uint64(1), values - np.uint64(1), rnd.integers(0, 2**63, 500).astype(np.uint64)])
+        packed.append((lm.EliasFano(*lm.EliasFano.pack(values)), values, rnd.permutation(wanted)))
+    monkeypatch.delattr(lm.EliasFano, "values")
+    for held, values, wanted in packed:
+        at = {int(v): i for i, v in enumerate(values)}
+        assert held.find(wanted).tolist() == [at.get(int(w), -1) for w in wanted]
+    trie = lm.Trie(np.array([3, 9], np.uint64), np.array([7, (1 << 40) | 7], np.uint64), np.array([1, 6]), np.array([4, 6]))
+    backoff, codes = trie.ask(np.array([3, 4, 9], np.uint64), np.array([1, 1, 2]), np.array([7, 7, 7, 8], np.uint64))
+    assert (backoff > 0).tolist() == [True, False, True] and (codes > 0).tolist() == [True, False, True, False]
