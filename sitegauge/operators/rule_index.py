@@ -8,6 +8,7 @@ out too little are kept in one array and tried on every text.
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 from re import _parser as patterns
 
 import pandas as pd
@@ -15,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitegauge.session import with_package
+from sitegauge.session import BROADCAST_ROWS, reliable, spread, with_package
 
 GRAM = 3
+#: A rule of more literals is kept out of the index that is brought to the texts, where a literal knows those before it.
+MANY = 32
 #: Letters whose lower case depends on their surroundings, or differs between engines.
 _UNSURE = frozenset("ΣσςİıK")
 
@@ -72,25 +75,53 @@ def literals_of(pattern: str | None) -> list[str]:
 
 def _with_literals(batches):
     for rows in batches:
-        yield rows.assign(literals=[literals_of(p) for p in rows["pattern"]])
+        yield rows.assign(literals=[list(dict.fromkeys(literals_of(p))) for p in rows["pattern"]])
 
 
-def grams(text: Column) -> Column:
-    """The different runs of GRAM characters of a text, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+def grams(low: Column) -> Column:
+    """The different runs of GRAM characters of a lower-cased text."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
-def gram_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, pos) for the rules that spell something out, and (pos, pattern) of the others.
+def with_literals(rules: DataFrame) -> DataFrame:
+    """The rules (pos, pattern, weight, label) with the `literals` that their patterns spell out, stored."""
+    rules = rules.select("pos", "pattern", "weight", "label")
+    return reliable(with_package(rules).mapInPandas(_with_literals, T.StructType([*rules.schema, T.StructField("literals", T.ArrayType(T.StringType()))])))
+
+
+def gram_index(read: DataFrame) -> DataFrame:
+    """(gram, pos, nth, literal) for each literal of the rules that :func:`with_literals` read.
 
     Of a literal's grams the one that the fewest other literals of the table hold stands for it.
     """
-    schema = T.StructType([*rules.select("pos", "pattern").schema, T.StructField("literals", T.ArrayType(T.StringType()))])
-    read = with_package(rules).select("pos", "pattern").mapInPandas(_with_literals, schema)
-    each = read.select("pos", F.posexplode("literals").alias("nth", "literal")).select("pos", "nth", F.explode(grams(F.col("literal"))).alias("gram"))
+    each = read.select("pos", F.posexplode("literals").alias("nth", "literal"))
+    each = each.select("pos", "nth", F.lower("literal").alias("literal"))
+    each = each.select("*", F.explode(grams(F.col("literal"))).alias("gram"))
     common = each.groupBy("gram").agg(F.count("*").alias("n"))
-    picked = each.join(common, "gram").groupBy("pos", "nth").agg(F.min(F.struct("n", "gram")).alias("best"))
-    return picked.select(F.col("best.gram").alias("gram"), "pos").distinct(), read.where(F.size("literals") == 0).select("pos", "pattern")
+    return each.join(common, "gram").groupBy("pos", "nth", "literal").agg(F.min(F.struct("n", "gram")).alias("best")).select(
+        F.col("best.gram").alias("gram"), "pos", "nth", "literal"
+    )
+
+
+def _met_in_place(texts: DataFrame, key: str, index: DataFrame) -> DataFrame:
+    """Texts meet a short index where they lie; a rule stands for its first literal that is in the text.
+
+    The conditions are ones that Spark compiles with the explosion and the join, so that a text is lower-cased once and
+    not copied for each of its grams.
+    """
+    low = spread(texts.select(key, "_text")).withColumn("_low", F.lower("_text"))
+    met = low.select("*", F.explode(grams(F.col("_low"))).alias("gram")).join(F.broadcast(index), "gram")
+    first = F.contains("_low", "literal") & (F.col("earlier").isNull() | ~F.rlike("_low", F.col("earlier")))
+    return met.where(first & F.rlike("_text", F.col("pattern"))).select(key, "pos", "weight", "label")
+
+
+def _met_by_shuffle(texts: DataFrame, key: str, index: DataFrame, rules: DataFrame) -> DataFrame:
+    """Grams of the texts are joined to an index of any length; a text is joined again to what it may match."""
+    spoken = texts.select(key, F.explode(grams(F.lower("_text"))).alias("gram"))
+    met = spoken.join(index.select("gram", "pos").distinct(), "gram").select(key, "pos").distinct()
+    checked = met.join(texts.select(key, "_text", F.lower("_text").alias("_low")), key).join(rules, "pos")
+    spelt = F.exists("literals", lambda x: F.contains(F.col("_low"), F.lower(x)))
+    return checked.where(spelt & F.rlike("_text", F.col("pattern"))).select(key, "pos", "weight", "label")
 
 
 def rule_matches(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
@@ -98,17 +129,31 @@ def rule_matches(texts: DataFrame, key: str, text: str, rules: DataFrame) -> Dat
 
     ``pos`` tells rules apart and orders them, ``key`` tells texts apart. Nothing is collected, and the plan does not
     grow with the table. Null texts and null patterns match nothing.
+
+    A rule is tried only where one of its literals is in the text. An index of up to BROADCAST_ROWS literals is brought
+    to the texts; that of a longer table, and of rules of more than MANY literals, is joined by shuffle.
     """
-    index, rest = gram_index(rules)
-    spoken = texts.where(F.col(text).isNotNull()).select(F.col(key), F.explode(grams(F.col(text))).alias("gram"))
-    met = spoken.join(index, "gram").select(key, "pos").distinct()
-    patterns_ = rules.select("pos", "pattern", "weight", "label")
-    checked = met.join(texts.select(key, F.col(text).alias("_text")), key).join(patterns_, "pos").where(F.rlike("_text", F.col("pattern")))
-    others = F.broadcast(rest.where(F.col("pattern").isNotNull()).agg(F.collect_list(F.struct("pos", "pattern")).alias("_rest")))
+    read = with_literals(rules)
+    spelt = read.where((F.size("literals") > 0) & F.col("pos").isNotNull())
+    known = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).alias("_text"))
+    few, many = spelt.where(F.size("literals") <= MANY), spelt.where(F.size("literals") > MANY)
+    found = []
+    if few.select(F.explode("literals")).limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        found.append(_met_by_shuffle(known, key, gram_index(spelt), spelt))
+    else:
+        # The literals before one, as a pattern.
+        quoted = F.transform(F.slice("literals", F.lit(1), F.col("nth")), lambda x: F.concat(F.lit("\\Q"), F.replace(F.lower(x), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+        earlier = F.when(F.col("nth") > 0, F.array_join(quoted, "|")).alias("earlier")
+        found.append(_met_in_place(known, key, gram_index(few).join(few, "pos").select("gram", "pos", "literal", earlier, "pattern", "weight", "label")))
+        if not many.isEmpty():
+            found.append(_met_by_shuffle(known, key, gram_index(many), many))
+    rest = read.where((F.size("literals") == 0) & F.col("pattern").isNotNull())
+    others = F.broadcast(rest.agg(F.collect_list(F.struct("pos", "pattern")).alias("_rest")))
     tried = texts.select(key, F.col(text).alias("_text")).join(others).select(
         key, F.explode(F.filter("_rest", lambda r: F.rlike("_text", r["pattern"]))["pos"]).alias("pos")
     )
-    return checked.select(key, "pos", "weight", "label").unionByName(tried.join(patterns_.drop("pattern"), "pos").select(key, "pos", "weight", "label"))
+    found.append(tried.join(rules.select("pos", "weight", "label"), "pos").select(key, "pos", "weight", "label"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def strongest(matches: DataFrame, key: str) -> DataFrame:

@@ -65,3 +65,20 @@ def test_a_hot_key_meets_in_no_single_task(spark):
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_texts_meet_a_short_table_where_they_lie(spark, monkeypatch):
+    """No text is dealt out by its key; rules of several literals are met once; the shuffled form gives the same rows."""
+    rules = [(1, "(?i)(?:deli|bakery)s?", 1, "a"), (2, r"(?:x\\Ey|deli|cafe)", 2, "b"), (3, "(?i)CAFE$", 3, "c"), (4, "[0-9]{3}", 4, "d"), (5, None, 5, "e")]
+    texts = [(1, "Deli bakery deli"), (1, "no bakery"), (2, r"cafe x\Ey deli"), (2, "CAFE"), (None, "deli 123"), (3, None)]
+    table = spark.createDataFrame(rules, "pos int, pattern string, weight int, label string")
+    rows = spark.createDataFrame(texts, "id int, text string")
+    want = sorted([(1, 1), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (None, 4)], key=str)
+    out = lambda: sorted(((r["id"], r["pos"]) for r in rule_index.rule_matches(rows, "id", "text", table).collect()), key=str)
+    assert out() == want
+    found = rule_index.rule_matches(rows, "id", "text", table)
+    assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rule_index, "MANY", 1)
+    assert out() == want
+    monkeypatch.setattr(rule_index, "BROADCAST_ROWS", 0)
+    assert out() == want
