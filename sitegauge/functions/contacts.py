@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sitegauge.functions.text import bind
 
 # --- fixed values -----------------------------------------------------------
-# What stands between addresses, and the parts before and after an at sign.
-NOT_IN_ADDRESS = r"[^A-Za-z0-9._%+@\-]+"
+# A whole run of what an address may hold, with an at sign in it; then the parts before and after that.
+WITH_AT_SIGN = r"(?<![A-Za-z0-9._%+@\-])[A-Za-z0-9._%+\-]*+@[A-Za-z0-9._%+@\-]*+"
 LOCAL_LEAD = r"^[.%+\-]+"
 DOMAIN = r"^(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9_])"
 # What a spelled-out address must contain (on lower-cased text).
@@ -46,7 +46,7 @@ SOCIAL_SERVICE_PATH = (
 def strip_binary(text: Column) -> Column:
     """Embedded base64 data out of the way of the address search."""
     out = F.regexp_replace(text, r"(?i)data:[a-z+/\-]+;base64,[A-Za-z0-9+/=]+", "data:stripped")
-    return F.regexp_replace(out, r"[A-Za-z0-9+/]{200,}+={0,2}", " ")
+    return F.regexp_replace(out, r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{200,}+={0,2}", " ")
 
 
 def xor_decode(hex_text: Column) -> Column:
@@ -72,7 +72,7 @@ def email_rank(address: Column) -> Column:
 
 
 def plain_addresses(text: Column) -> Column:
-    """Addresses in a text: it is cut at what no address may hold, and the pieces at their at signs.
+    """Addresses in a text: the runs with an at sign between what no address may hold are cut at their at signs.
 
     Each part is looked at once, whatever its length.
     """
@@ -93,7 +93,7 @@ def plain_addresses(text: Column) -> Column:
 
         return bind(F.split(piece, "@", -1), joined)
 
-    pieces = F.filter(F.split(text, NOT_IN_ADDRESS, -1), lambda p: p.contains("@"))
+    pieces = F.regexp_extract_all(text, F.lit(WITH_AT_SIGN), F.lit(0))
     return F.filter(F.flatten(F.transform(pieces, of_piece)), _valid)
 
 

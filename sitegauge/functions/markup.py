@@ -13,8 +13,8 @@ DESCRIPTION_TAG = r"""(?i)<meta[^>]*\sname\s*=\s*["']?description["'\s/>][^>]*>?
 OG_TAG = r"""(?i)<meta[^>]*\sproperty\s*=\s*["']?og:"""
 ICON = r"""(?i)<link[^>]*\srel\s*=\s*(?:"[^"]*icon|'[^']*icon|[^\s"'>]*icon)"""
 CHARSET = r"(?i)<meta[^>]+charset"
-TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
-H1 = r"(?i)<h1[^>]*>([\s\S]*?)</h1>"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
 MIXED = r"""(?i)(?:src|href)=["']http://(?!localhost)"""
 
 

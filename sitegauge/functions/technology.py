@@ -94,9 +94,9 @@ BOOTSTRAP_VERSION = (
     r"bootstrap\s+v(\d+)\.",
     r"bootstrap/(\d+)\.\d+",
 )
-COPYRIGHT_MARK = r"©|&copy;|copyright|\(c\)"
+# Here and below the look-ahead rejects most positions by one character class.
+COPYRIGHT_MARK = r"(?=[©&c(])(?:©|&copy;|copyright|\(c\))"
 MARKED_YEAR = r"^[^<>]*?((?:19|20)\d{2})"
-# The look-ahead rejects most positions by one character class.
 YEAR_RANGE = r"(?=[12])((?:19|20)\d{2})\s*(?:—|-|–)\s*((?:19|20)\d{2})"
 # --- end of fixed values --------------------------------------------------------
 

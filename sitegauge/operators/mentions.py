@@ -16,7 +16,7 @@ from sitegauge.functions.text import clamp, collapse, drop_tags, phrase
 from sitegauge.session import reliable
 
 # --- fixed values -----------------------------------------------------------
-LD_JSON = r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""
+LD_JSON = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 PERSON_KEYS = ("founder", "employee", "author", "member", "owner", "director", "creator")
 NAME_PAIR = r"[A-Z][a-z'’\-]{2,19}\s+[A-Z][a-z'’\-]{3,24}"
 WINDOW = 40
@@ -80,8 +80,8 @@ def near_role(text: Column, role_pattern: str) -> Column:
     clean = F.translate(text, _AROUND + _BETWEEN, "  ")
     padded = F.concat(F.lit(" " * WINDOW), clean)
     pattern = (
-        rf"(?<![A-Za-z0-9_])(?=[A-Z][a-z'’\-]{{2}})(?<=([\s\S]{{{WINDOW}}}))({NAME_PAIR})"
-        rf"(?:(?<=[a-z])(?![A-Za-z0-9_])|(?<=['’\-])(?=[A-Za-z0-9_]))(?=([\s\S]{{0,{WINDOW}}}))"
+        rf"(?<![A-Za-z0-9_])(?=[A-Z][a-z'’\-]{{2}})(?<=((?s:.){{{WINDOW}}}))({NAME_PAIR})"
+        rf"(?:(?<=[a-z])(?![A-Za-z0-9_])|(?<=['’\-])(?=[A-Za-z0-9_]))(?=((?s:.){{0,{WINDOW}}}))"
     )
     marked = F.regexp_replace(padded, pattern, f"{_AROUND}$1{_BETWEEN}$2{_BETWEEN}$3{_AROUND}")
     # Every second piece is a find.
