@@ -23,7 +23,7 @@ from sitegauge.plans.queries_pages import DECLARED, SIGNALS, responses
 from sitegauge.plans.rescore import audits_of, stored_facts
 from sitegauge.plans.rescore import rescore as rescore_job
 from sitegauge.plans.rescore import reverdict as reverdict_job
-from sitegauge.session import ensure_checkpoint_dir, reliable
+from sitegauge.session import ensure_checkpoint_dir, reliable, spread
 from sitegauge.schemas import REVIEW_RESPONSE, SEARCH_RESPONSE
 from sitegauge.sources import readers
 
@@ -324,7 +324,7 @@ def mention_scores(spark, sf):
     from sitegauge.functions import contacts
 
     html = F.col("html")
-    pages = table(spark, sf, "pages").select("page_id", F.expr(_MENTION_HTML).alias("html")).select(
+    pages = spread(table(spark, sf, "pages").select("page_id", F.expr(_MENTION_HTML).alias("html"))).select(
         "page_id", "html", html_to_text(html).alias("text"), contacts.best_emails(contacts.emails_found(html)).alias("emails")
     )
     found = mentions.candidates(pages, "page_id", "(?:the|les|der|una)", ("menu", "search"), script_roles="inhaber", script="À-ɏ")
