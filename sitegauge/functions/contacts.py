@@ -13,7 +13,7 @@ WITH_AT_SIGN = r"(?<![A-Za-z0-9._%+@\-])[A-Za-z0-9._%+\-]*+@[A-Za-z0-9._%+@\-]*+
 LOCAL_LEAD = r"^[.%+\-]+"
 DOMAIN = r"^(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9_])"
 # What a spelled-out address must contain (on lower-cased text).
-SPELLED_OUT = r"[\s(]at\s*[\s)]\s*[a-z0-9\-]++(?:\s*\(\s*dot|\s+dot|\.)"
+SPELLED_OUT = r"[ \t\n\x0B\f\r(]at\s*[\s)]\s*[a-z0-9\-]++(?:\s*\(\s*dot|\s+dot|\.)"
 MAILTO = r"""(?i)mailto:([^"'?>\s]{3,})"""
 OBFUSCATED = r"""(?i)data-cfemail=["']([0-9a-f]+)["']"""
 EMAIL_BLOCKED = (

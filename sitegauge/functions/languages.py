@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegauge.functions.evidence import evidence, item, item_when, total
-from sitegauge.functions.text import clamp, count_class, phrase
+from sitegauge.functions.text import beyond_ascii, bind, clamp, count_class, phrase
 from sitegauge.params import LanguageProfile
 
 # --- fixed values -----------------------------------------------------------
@@ -143,16 +143,26 @@ def declared_signal(d: Column, profile: LanguageProfile) -> Column:
 def glyph_counts(text: Column, profile: LanguageProfile) -> Column:
     """Letter counts per class, done once for all rules that need them.
 
-    One search tells whether the script occurs at all; only then are the classes counted.
+    One search tells whether the script occurs at all; only then are the classes counted, those without ASCII characters
+    in what is left of the text without these.
     """
     present = text.rlike(f"[{profile.script}]")
-    counted = lambda c: F.when(present, c).otherwise(0)
-    fields = [counted(count_class(text, t.glyphs)).alias(t.code) for t in profile.targets]
-    fields.append(counted(count_class(text, profile.script)).alias("script"))
-    fields.append(F.length(text).alias("chars"))
-    if profile.excluded_pattern:
-        fields.append(counted(F.regexp_count(text, F.lit(profile.excluded_pattern[0]))).alias("excluded"))
-    return F.struct(*fields)
+
+    def counts(foreign: Column) -> Column:
+        def counted(char_class: str) -> Column:
+            if beyond_ascii(char_class):
+                return count_class(foreign, char_class)
+            return F.when(present, count_class(text, char_class)).otherwise(0)
+
+        fields = [counted(t.glyphs).alias(t.code) for t in profile.targets]
+        fields.append(counted(profile.script).alias("script"))
+        fields.append(F.length(text).alias("chars"))
+        if profile.excluded_pattern:
+            found = F.regexp_count(text, F.lit(profile.excluded_pattern[0]))
+            fields.append(F.when(present, found).otherwise(0).alias("excluded"))
+        return F.struct(*fields)
+
+    return bind(F.when(present, F.regexp_replace(text, r"[\x00-\x7F]+", "")).otherwise(""), counts)
 
 
 def percent(x: Column, digits: int) -> Column:

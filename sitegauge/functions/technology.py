@@ -94,10 +94,10 @@ BOOTSTRAP_VERSION = (
     r"bootstrap\s+v(\d+)\.",
     r"bootstrap/(\d+)\.\d+",
 )
-# Here and below the look-ahead rejects most positions by one character class.
-COPYRIGHT_MARK = r"(?=[©&c(])(?:©|&copy;|copyright|\(c\))"
+# Here and below the first character, a class of its own, rejects most positions.
+COPYRIGHT_MARK = r"[©&c(](?:(?<=©)|(?<=&)copy;|(?<=c)opyright|(?<=\()c\))"
 MARKED_YEAR = r"^[^<>]*?((?:19|20)\d{2})"
-YEAR_RANGE = r"(?=[12])((?:19|20)\d{2})\s*(?:—|-|–)\s*((?:19|20)\d{2})"
+YEAR_RANGE = r"([12](?:(?<=1)9|(?<=2)0)\d{2})\s*(?:—|-|–)\s*((?:19|20)\d{2})"
 # --- end of fixed values --------------------------------------------------------
 
 TABLE_OPEN = r"<table\b"

@@ -47,6 +47,10 @@ KEY_RULES = (
 # A dot that stands for any character: a class such as [\s\S] means the same and takes ten times as long.
 _COMMENT = r"(?s)<!--.*?-->"
 
+# Runs of blanks but for a single space, which stays as it is: most of a text's blanks are that. The class is written out
+# because its characters alone are looked up in a table, here and in other patterns that try each position of a page.
+_BLANKS = r"[ \t\n\x0B\f\r](?:[ \t\n\x0B\f\r]+|(?<! ))"
+
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
@@ -152,8 +156,7 @@ def html_to_text(html: Column) -> Column:
     out = html
     for tag in ("script", "style", "noscript"):
         out = drop_blocks(out, tag, " ")
-    out = decode_numeric_entities(decode_named_entities(drop_tags(out, " ")))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return collapse(decode_numeric_entities(decode_named_entities(drop_tags(out, " "))))
 
 
 def normalize_html(html: Column) -> Column:
@@ -162,8 +165,7 @@ def normalize_html(html: Column) -> Column:
     The whole page is kept, so that two long pages that differ only near their end differ.
     """
     out = drop_blocks(drop_blocks(html, "script", ""), "style", "")
-    out = _up_to_last(out, "-->", _COMMENT, "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return collapse(_up_to_last(out, "-->", _COMMENT, ""))
 
 
 def fingerprint(html: Column) -> Column:
@@ -180,8 +182,17 @@ def count_class(text: Column, char_class: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{char_class}]"))
 
 
+def beyond_ascii(char_class: str) -> bool:
+    """Whether a character class surely holds no ASCII character; told for plain classes only."""
+    try:
+        one = re.compile(f"[{char_class}]")
+    except re.error:
+        return False
+    return not any(one.match(chr(c)) for c in range(128))
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
 def blank_to_null(text: Column) -> Column:

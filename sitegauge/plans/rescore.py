@@ -19,7 +19,7 @@ from sitegauge.operators.mentions import with_mentions
 from sitegauge.operators.quality import site_quality
 from sitegauge.operators.verdict import apply_verdict, owner_score, with_pins
 from sitegauge.params import DEFAULT, Preset
-from sitegauge.session import reliable, spread
+from sitegauge.session import bounded, reliable, spread
 
 # Facts a re-score reads anew from the page; the others are kept from the first audit.
 FROM_HTML = (
@@ -143,6 +143,16 @@ def stored_facts(responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
     return reliable(page_facts(spread(responses), preset))
 
 
+def without_places(responses: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stored answers but for those of the places of ``gone`` (place_id); answers without a place stay.
+
+    Only keys are shuffled: those that stay are listed first, and the bodies are looked up in that list where they are.
+    """
+    staying = responses.select("place_id").join(gone.select("place_id"), "place_id", "left_anti").distinct()
+    staying = bounded(reliable(staying.select(F.col("place_id").alias("_staying"))))
+    return responses.join(staying, F.col("place_id").eqNullSafe(F.col("_staying")), "left_semi")
+
+
 def with_probe_evidence(facts: DataFrame, responses: DataFrame, preset: Preset = DEFAULT) -> DataFrame:
     """Add the evidence of stored probe answers, cheapest source first.
 

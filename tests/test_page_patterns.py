@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from sitegauge.functions import contacts, markup, technology, text
+from sitegauge.functions import contacts, languages, markup, technology, text
 from sitegauge.operators import mentions
+from sitegauge.params import GlyphLanguage, LanguageProfile
+from sitegauge.plans import rescore
 
 # Ends of lines that a plain dot does not take, beside characters of two halves.
 ENDS = "\n\r\u0085  \t😀 é"
@@ -74,3 +76,39 @@ def test_copyright_marks(one):
     for mark in ("©", "&copy;", "copyright", "(c)"):
         assert one(technology.footer_year(F.lit(f"c ( & {mark} 2011 <p> {mark} of 2014 c"), 2024)) == 2014
     assert one(technology.footer_year(F.lit("(d) 2011 &cop; 2012 copy 2013"), 2024)) is None
+
+
+def test_blanks_are_collapsed_as_runs(one):
+    for t in ("a  b\tc \n d e\x0b\x0cf\r\ng", " x ", "\t", "", "\u00a0 \u2003  y", "é \u0085\n"):
+        assert one(text.collapse(F.lit(t))) == re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")
+
+
+def test_years_in_ranges(one):
+    found = one(F.regexp_extract_all(F.lit("2011 - 2013 1999–2001 2911-2012 1011-2013 219-2014 12005—2006"), F.lit(technology.YEAR_RANGE), F.lit(2)))
+    assert found == ["2013", "2001", "2006"]
+
+
+def test_letters_are_counted_without_the_plain_ones(one, spark):
+    """Classes with plain letters are counted in the whole text, the others in what is left without ASCII characters."""
+    profile = LanguageProfile(
+        targets=(GlyphLanguage("fr", "french", "éœ", 40, 0.1), GlyphLanguage("xx", "mixed", "aé", 40, 0.1), GlyphLanguage("nn", "other", "^a", 40, 0.1)),
+        script="\\u00C0-\\u024F", script_code="lat", excluded_pattern=("\\p{Ll}œ\\p{Ll}", "c", "l"),
+    )
+    for t, want in (("banané œuf aœb 😀é", (4, 5, 14, 4, 17, 1)), ("banana", (0, 0, 0, 0, 6, 0)), (None, (0, 0, 0, 0, None, 0))):
+        assert tuple(one(languages.glyph_counts(F.lit(t).cast("string"), profile))) == want
+    counts = languages.glyph_counts(F.col("text"), profile)
+    plan = spark.createDataFrame([("x",)], "text string").select(counts)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") >= 1
+
+
+def test_pages_stay_where_they_are_while_places_are_left_out(spark):
+    pages = spark.createDataFrame([("a", "1"), ("b", "2"), ("b", "3"), ("c", "4"), (None, "5"), (None, "6"), ("c", "7")], "place_id string, html string")
+    gone = spark.createDataFrame([("b", 1), (None, 2), ("b", 3), ("z", 4)], "place_id string, n int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = rescore.without_places(pages, gone)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert left.columns == pages.columns and sorted(r["html"] for r in left.collect()) == ["1", "4", "5", "6", "7"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
